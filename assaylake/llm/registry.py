@@ -1,7 +1,11 @@
 """The queries of this folder and, where SQL can express one, its SQL."""
 
+from .decontaminate import op2_benchmark_decontamination
+from .language_id import op4_language_id
+from .packing import op7_packing
+from .sharding import OP6_SQL, op6_sharding
 from .substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_benchmark_decontamination, op4_language_id, op6_sharding, op7_packing)}
 
-ORACLE = {}
+ORACLE = {"op6_sharding": OP6_SQL}
