@@ -11,8 +11,8 @@ Tokens are made once, after the shuffle, a document at a time; a partition holds
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,10 +33,6 @@ DIMENSIONS = 4
 BITS = 8
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECES_SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Where a space meets other white space, the tokenizer's split depends on the whole run.
-RUNS = re.compile(r"\s | \s")
-CACHE, CACHED_CHARACTERS = 250_000, 40
-
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     """Place on the Hilbert curve of each row of whole numbers under 2**bits (transposed axes, then their bits in turn)."""
@@ -92,10 +88,12 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=["doc_id", "text", "key"])
 
 
-class Ids(dict):
-    """Token ids (little-endian unsigned 32-bit) of what follows a space, kept for what was seen before.
+class Ids:
+    """Token ids (little-endian unsigned 32-bit) of texts, as `tokenizers` makes them from a byte-level BPE file.
 
-    A byte-level tokenizer of this family always cuts before a lone space, so a text's ids are those of its parts.
+    Where the file's merges are in the order of their ids, merging by the lowest id is the same thing; the vocabulary then
+    runs in a faster library, and tests hold its ids against those of `tokenizers`. Any other file is left to `tokenizers`.
+    Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -104,23 +102,31 @@ class Ids(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        model = json.loads(self.tokenizer.to_str())
+        vocabulary = model["model"].get("vocab", {})
+        merged = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1), -1) for m in model["model"].get("merges", ())]
+        split = (model.get("pre_tokenizer") or {}) | {"trim_offsets": None}
+        plain = model.get("normalizer") is None and split == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": None, "use_regex": True}
+        self.fast = None
+        if plain and merged and merged == sorted(merged):
+            import tiktoken
+            from public_tokenizers import PATTERN
+
+            special = {t["content"] for t in model["added_tokens"]}
+            byte = {c: b for b, c in _visible().items()}
+            ranks = {bytes(byte[ord(c)] for c in t): i for t, i in vocabulary.items() if t not in special}
+            self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def encode(self, text: str) -> bytes:
+        ids = self.fast.encode_ordinary(text) if self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.whole(f" {part}")
-        if len(part) <= CACHED_CHARACTERS:
-            if len(self) >= CACHE:
-                self.clear()
-            self[part] = ids
-        return ids
 
-    def encode(self, text: str) -> bytes:
-        if RUNS.search(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return self.whole(first) + b"".join(map(self.__getitem__, rest))
+def _visible() -> dict[int, int]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself where it prints, else the next above 255."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: b for b in prints} | {b: 256 + i for i, b in enumerate(rest)}
 
 
 @lru_cache(maxsize=1)
