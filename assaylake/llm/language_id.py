@@ -29,7 +29,7 @@ NO_LETTERS = re.compile(r"[\W\d_]+")
 #: A margin in bytes below this is no decision.
 MARGIN = 1
 UNKNOWN = "und"
-PREDICTED = T.StructType.fromDDL("lang_pred string, score double, margin long, rejected boolean")
+PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.LongType()), T.StructField("rejected", T.BooleanType())])
 
 
 def held_out(doc_id: Column) -> Column:
