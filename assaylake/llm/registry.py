@@ -1,11 +1,30 @@
 """The queries of this folder and, where SQL can express one, its SQL."""
 
 from .decontaminate import op2_benchmark_decontamination
+from .html_extract import op3_html_extraction
 from .language_id import op4_language_id
+from .line_dedup import OP9_SQL, op9_line_dedup
+from .media import op5_media_columns
+from .ngram_join import op10_ngram_jaccard_join
 from .packing import op7_packing
 from .sharding import OP6_SQL, op6_sharding
 from .substring_dedup import op1_substring_dedup
+from .warc import op8_warc_derivatives
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_benchmark_decontamination, op4_language_id, op6_sharding, op7_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_benchmark_decontamination,
+        op3_html_extraction,
+        op4_language_id,
+        op5_media_columns,
+        op6_sharding,
+        op7_packing,
+        op8_warc_derivatives,
+        op9_line_dedup,
+        op10_ngram_jaccard_join,
+    )
+}
 
-ORACLE = {"op6_sharding": OP6_SQL}
+ORACLE = {"op6_sharding": OP6_SQL, "op9_line_dedup": OP9_SQL}
