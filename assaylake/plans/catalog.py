@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import basics, chemistry, evaluation, funnels, matching, modelling, texts  # noqa: F401
+from .registry import ORACLE, QUERIES
+
+FLAGSHIP = "funnel_backcalc"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
