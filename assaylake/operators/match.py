@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 
 def match_stable(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:
     """keys, left_id, right_id: the i-th record of each side by its id, in each bucket; those left over have a null."""
-    a = left.select(*keys, left_id).withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(left_id)))
-    b = right.select(*keys, right_id).withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(right_id)))
-    return a.join(b, [*keys, "__k"], "full").drop("__k")
+    a = left.select(*keys, left_id).withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(left_id)))
+    b = right.select(*keys, right_id).withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(right_id)))
+    return a.join(b, [*keys, "__rank"], "full").drop("__rank")
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -57,13 +57,13 @@ def match_by_value(left: DataFrame, right: DataFrame, keys: list[str], left_id:
     b = right.select(*keys, F.col(right_id), F.col(value).alias("vb"), F.col(context).alias("cb"))
     wa = Window.partitionBy(*keys, "va", "ca").orderBy(left_id)
     wb = Window.partitionBy(*keys, "vb", "cb").orderBy(right_id)
-    a, b = a.withColumn("__k", F.row_number().over(wa)), b.withColumn("__k", F.row_number().over(wb))
-    b = b.withColumnsRenamed({k: f"__{k}" for k in [*keys, "__k"]})
-    on = [F.col(k) == F.col(f"__{k}") for k in [*keys, "__k"]]
+    a, b = a.withColumn("__rank", F.row_number().over(wa)), b.withColumn("__rank", F.row_number().over(wb))
+    b = b.withColumnsRenamed({k: f"r__{k}" for k in [*keys, "__rank"]})
+    on = [F.col(k) == F.col(f"r__{k}") for k in [*keys, "__rank"]]
     same = a.join(b, [*on, F.col("va").eqNullSafe(F.col("vb")), F.col("ca").eqNullSafe(F.col("cb"))])
     exact = same.select(*keys, left_id, right_id, F.lit(True).alias("value_equal"), F.lit(True).alias("context_equal"))
-    b = b.withColumnsRenamed({f"__{k}": k for k in [*keys, "__k"]})
-    rest_a, rest_b = a.join(exact.select(left_id), left_id, "left_anti").drop("__k"), b.join(exact.select(right_id), right_id, "left_anti").drop("__k")
+    b = b.withColumnsRenamed({f"r__{k}": k for k in [*keys, "__rank"]})
+    rest_a, rest_b = a.join(exact.select(left_id), left_id, "left_anti").drop("__rank"), b.join(exact.select(right_id), right_id, "left_anti").drop("__rank")
     names = [*keys, left_id, right_id, "value_equal", "context_equal"]
 
     def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:

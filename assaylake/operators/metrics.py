@@ -51,7 +51,7 @@ def _beta(x: float, a: float, b: float) -> float:
         f *= c * d
         if abs(1 - c * d) < 1e-14:
             break
-    return front * f
+    return front * (f - 1)
 
 
 def correlations(df: DataFrame, item: str, metrics: list[str], least: int = 10) -> DataFrame:
