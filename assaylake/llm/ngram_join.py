@@ -4,10 +4,10 @@
    with a one-byte rank of the count. Shingles of one document alone can't be shared and rank first.
 2. In the order (rank, hash) any two sets that link share a shingle of their prefixes, of `size - ceil(75 % of size) + 1`.
    Equal sets collapse to a class, classes with equal prefixes and size to a group, which stands for them in the index.
-3. Pairs are looked for between groups of different components only. Two star rounds first let each part of a
+3. Pairs are looked for between groups of different components only. Star rounds first let each part of a
    group meet one part that shares most prefix shingles with it; members are expanded and verified by the size of their
    intersection, and links merge components. Then all pairs left, whose components differ, that share a prefix shingle and whose
-   sizes fit are verified. So a large group of near copies costs a few links a member, and no link between components is lost.
+   sizes and the shingle's places fit are verified. So a large group of near copies costs a few links a member, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .common import chunk_count, chunk_of, shared_dir, shuffle_partitions, table
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
-STAR_ROUNDS = 2
+STAR_ROUNDS = 4
 SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("blob", pa.binary()), ("many", pa.binary()), ("counts", pa.binary())])
 SENT_SQL = "bucket long, chunk long, n long, blob binary, many binary, counts binary"
 RANKS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("ranks", pa.binary())])
@@ -140,8 +140,21 @@ def _links(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return found.select(F.col("la").alias("a"), F.col("lb").alias("b"))
 
 
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share enough. Of two prefixes one ends first in the order of shingles, and all that its set shares
+    up to there is in both; beyond, it has size - prefix shingles at most.
+    """
+    left = nodes.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("prefix").alias("xa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("prefix").alias("xb"))
+    beyond = F.ceil(F.lit(percent) * F.greatest("sa", "sb") / 100) - 1
+    enough = (100 + percent) * (F.size(F.array_intersect("xa", "xb")) + beyond) >= percent * (F.col("sa") + F.col("sb"))
+    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b", "la", "lb")
+
+
 def _relabel(labels: DataFrame, links: DataFrame, write) -> DataFrame:
-    roots = components(write(links.distinct()))
+    if links.isEmpty():
+        return labels
+    roots = components(links)
     return write(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
 
 
@@ -168,41 +181,50 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     rows = write(base.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(_sets(shingle, percent, buckets), SETS_SQL))
     nodes = write(rows.where(F.col("prefix").isNotNull()).groupBy("node", "size").agg(F.first("group").alias("group"), F.first("prefix").alias("prefix"), F.first("shared").alias("shared")))
     groups = nodes.groupBy("group", "size").agg(F.first("prefix").alias("prefix"))
-    entries = groups.select("group", "size", F.explode("prefix").alias("token"))
+    # A shingle's place in its set: the set's own shingles, which no other has, come before those of the prefix.
+    own = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1 - F.size("prefix")
+    entries = groups.select("group", "size", own.alias("own"), F.posexplode("prefix").alias("i", "token")).select("group", "size", (F.col("own") + F.col("i")).alias("place"), "token")
     # A shingle that only one group has in its prefix pairs with nothing but within that group.
     wide = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    inner = nodes.groupBy("group", "size").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("group", "size").alias("token"), "group", "size")
-    index = write(entries.join(wide, "token").select("token", "group", "size").unionByName(inner))
+    inner = nodes.groupBy("group", "size").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("group", "size").alias("token"), "group", "size", F.lit(0).cast("long").alias("place"))
+    index = write(entries.join(wide, "token").select("token", "group", "size", "place").unionByName(inner))
     labels = write(nodes.select("node", F.col("node").alias("label")))
 
     for _ in range(star_rounds):
         parts, open_ = _open(nodes, index, labels)
-        hubs = open_.groupBy("token").agg(F.min(F.struct("label", "node", "size")).alias("lo"), F.max(F.struct("label", "node", "size")).alias("hi"))
+        hubs = open_.groupBy("token").agg(F.min(F.struct("label", "node", "size", "place")).alias("lo"), F.max(F.struct("label", "node", "size", "place")).alias("hi"))
         hub = F.when(F.col("label") == F.col("lo.label"), F.col("hi")).otherwise(F.col("lo"))
-        met = open_.join(hubs, "token").select("group", "label", "size", hub.alias("hub")).where(_fits("size", "hub.size", percent))
+        met = open_.join(hubs, "token").select("group", "label", "size", "place", hub.alias("hub")).where(_fits("size", "hub.size", "place", "hub.place", percent))
+        met = met.select("group", "label", F.struct("hub.label", "hub.node", "hub.size").alias("hub"))
         best = met.groupBy("group", "label", "hub").agg(F.count("*").alias("n")).groupBy("group", "label").agg(F.max(F.struct("n", "hub")).alias("top"))
         pairs = best.join(parts, ["group", "label"]).select(F.col("node").alias("a"), F.col("top.hub.node").alias("b"), F.col("label").alias("la"), F.col("top.hub.label").alias("lb"))
-        labels = _relabel(labels, _links(pairs, nodes, percent), write)
+        links = write(_links(pairs, nodes, percent).distinct())
+        labels = _relabel(labels, links, write)
+        # Where a round joins few of the labels that are still open, the exact step has no more to do than another round.
+        if 10 * links.count() < open_.select("label").distinct().count():
+            break
 
     parts, open_ = _open(nodes, index, labels)
     main = open_.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "label")).alias("top")).select("token", F.col("top.label").alias("main"))
-    minor = open_.join(main, "token").where("label <> main").select("token", F.col("group").alias("ga"), F.col("label").alias("la"), F.col("size").alias("sa"))
-    every = open_.select("token", F.col("group").alias("gb"), F.col("label").alias("lb"), F.col("size").alias("sb"))
-    met = minor.join(every, "token").where((F.col("la") != F.col("lb")) & _fits("sa", "sb", percent))
+    minor = open_.join(main, "token").where("label <> main").select("token", F.col("group").alias("ga"), F.col("label").alias("la"), F.col("size").alias("sa"), F.col("place").alias("pa"))
+    every = open_.select("token", F.col("group").alias("gb"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("place").alias("pb"))
+    met = minor.join(every, "token").where((F.col("la") != F.col("lb")) & _fits("sa", "sb", "pa", "pb", percent))
     swap = F.col("la") > F.col("lb")
     met = met.select(*[F.when(swap, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("gb", "ga", "ga"), ("lb", "la", "la"), ("ga", "gb", "gb"), ("la", "lb", "lb"))]).distinct()
     left = parts.select(F.col("group").alias("ga"), F.col("label").alias("la"), F.col("node").alias("a"))
     right = parts.select(F.col("group").alias("gb"), F.col("label").alias("lb"), F.col("node").alias("b"))
     pairs = met.join(left, ["ga", "la"]).join(right, ["gb", "lb"]).select("a", "b", "la", "lb")
-    labels = _relabel(labels, _links(pairs, nodes, percent), write)
+    labels = _relabel(labels, write(_links(_near(pairs, nodes, percent), nodes, percent).distinct()), write)
 
     own = rows.select("doc_id", F.col("size").alias("n_shingles"), "node").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
     least = own.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return own.join(least, "label").select("doc_id", "n_shingles", "component_id")
 
 
-def _fits(a: str, b: str, percent: int):
-    return 100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b))
+def _fits(a: str, b: str, place_a: str, place_b: str, percent: int):
+    """Whether sets of sizes a and b can link where these are the places of the first shingle that they share: what stands from there on must be enough."""
+    a, b, place_a, place_b = map(F.col, (a, b, place_a, place_b))
+    return (100 + percent) * F.least(a, b, a - place_a, b - place_b) >= percent * (a + b)
 
 
 def _open(nodes: DataFrame, index: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
