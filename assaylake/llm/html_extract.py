@@ -4,7 +4,8 @@ The standard library's parser streams events. Text between the tags that begin o
 its text's length by the number of tags in and around it. Lines inside what can't be content (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, comments) have the ratio 0. Ratios are smoothed with a Gaussian, and
 lines over a share of the spread are clusters. Where a page marks an article, its content is the marked element that the
-clusters weigh most in, whole; else it runs from the first to the last line of the heaviest region of clusters.
+clusters weigh most in, whole; else it runs over the
+heaviest region of clusters and the element that holds most of it.
 """
 
 from __future__ import annotations
@@ -30,10 +31,12 @@ NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|related|reply|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+UNENDED = re.compile(r"<[a-zA-Z/!?]")
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 SIGMA, REACH = 1.0, 3
 SPREAD = 0.5
 MAIN = ("article", "main")
+HOLDERS = frozenset("article body center div main section td".split())
 
 
 class Lines(HTMLParser):
@@ -41,8 +44,9 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, dropped with all in it, number of a marked element
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, dropped with all in it, number of a marked element, number of a holder
+        self.lines: list[tuple[str, int, bool, tuple[int, ...], int]] = []
+        self.holders = 0
         self.marked: list[str] = []
         self.text: list[str] = []
         self.tags = 0
@@ -51,13 +55,14 @@ class Lines(HTMLParser):
     def _line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text or self.tags:
-            self.lines.append((text, self.tags, not self.dropped, tuple(k for _, _, k in self.open if k >= 0)))
+            home = next((h for _, _, _, h in reversed(self.open) if h), 0)
+            self.lines.append((text, self.tags, not self.dropped, tuple(k for _, _, k, _ in self.open if k >= 0), home))
         self.text, self.tags = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self._line()
-            if tag in CLOSES_P and any(t == "p" for t, _, _ in self.open[-8:]):
+            if tag in CLOSES_P and any(t == "p" for t, *_ in self.open[-8:]):
                 self._close("p")
         elif tag == "br":
             self.text.append(" ")
@@ -77,7 +82,8 @@ class Lines(HTMLParser):
         if kind in MAIN and not drop and not self.dropped:
             number = len(self.marked)
             self.marked.append(kind)
-        self.open.append((tag, drop, number))
+        self.holders += tag in HOLDERS
+        self.open.append((tag, drop, number, self.holders if tag in HOLDERS else 0))
         self.dropped += drop
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -88,7 +94,7 @@ class Lines(HTMLParser):
     def _close(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                for _, drop, _ in self.open[k:]:
+                for _, drop, *_ in self.open[k:]:
                     self.dropped -= drop
                 del self.open[k:]
                 return
@@ -118,10 +124,12 @@ def main_text(html: str | None) -> list[str]:
         return []
     parser = Lines()
     parser.feed(html)
+    if UNENDED.match(parser.rawdata):
+        parser.rawdata = ""  # a tag or comment that the page's end cuts off is no text
     parser.close()
     parser._line()
     lines = parser.lines
-    ratios = np.array([len(t) / max(1, n) if ok else 0.0 for t, n, ok, _ in lines])
+    ratios = np.array([len(t) / max(1, n) if ok else 0.0 for t, n, ok, *_ in lines])
     if not len(lines) or not ratios.any():
         return []
     smooth = smoothed(ratios)
@@ -129,19 +137,26 @@ def main_text(html: str | None) -> list[str]:
     mass = np.where(dense, ratios, 0.0)
     for kind in MAIN:
         weights: dict[int, float] = {}
-        for m, (t, _, ok, inside) in zip(mass, lines, strict=True):
+        for m, (t, _, ok, inside, _) in zip(mass, lines, strict=True):
             if own := [k for k in inside if parser.marked[k] == kind]:
                 weights[own[0]] = weights.get(own[0], 0.0) + m + (1e-9 if ok and t else 0.0)
         if weights and max(weights.values()) > 0:
             best = max(weights, key=lambda k: (weights[k], -k))
-            return [t for t, _, ok, inside in lines if ok and t and best in inside]
+            return [t for t, _, ok, inside, _ in lines if ok and t and best in inside]
     at = np.flatnonzero(dense & (ratios > 0))
     if not len(at):
         at = np.flatnonzero(ratios > 0)
     # Clusters a few lines apart are one region; the heaviest region counts.
     regions = np.split(at, np.flatnonzero(np.diff(at) > 2 * REACH) + 1)
-    first, *_, last = max(regions, key=lambda r: ratios[r].sum()).repeat(2)
-    return [t for t, _, ok, _ in lines[first : last + 1] if ok and t]
+    region = max(regions, key=lambda r: ratios[r].sum())
+    weight: dict[int, float] = {}
+    for k in region:
+        weight[lines[k][4]] = weight.get(lines[k][4], 0.0) + ratios[k]
+    # The element that holds most of the region is content from its first line to its last.
+    home = max(weight, key=weight.get)
+    own = [k for k, x in enumerate(lines) if x[4] == home and x[0] and x[2]]
+    first, last = min(region[0], own[0]), max(region[-1], own[-1])
+    return [t for t, _, ok, *_ in lines[first : last + 1] if ok and t]
 
 
 RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_blocks", pa.int64())])
