@@ -94,7 +94,7 @@ class Classifier:
     def predict(self, text: str | None) -> tuple[str, float, int, bool]:
         """Language, score, margin in bytes, and whether the margin is too narrow to be trusted."""
         raw = f"{plain(text or '')} "
-        if raw.isspace() or not self.names:
+        if not self.names or not any(map(str.isalpha, raw)):
             return UNKNOWN, 0.0, 0, True
         sizes = self.sizes(raw.encode())
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], self.names[i]))
