@@ -1,4 +1,4 @@
-"""Dose-response curves, fitted per group by a bounded Levenberg-Marquardt method in NumPy."""
+"""Dose-response curves, fitted by a bounded Levenberg-Marquardt method over many groups at once in NumPy."""
 
 from __future__ import annotations
 
@@ -43,52 +43,90 @@ def curve(dose: np.ndarray, p: np.ndarray, span: bool) -> np.ndarray:
 
 
 def fit(dose: np.ndarray, response: np.ndarray, gates: Gates = CANONICAL) -> dict | None:
-    """Parameters of a curve, or None where a gate shuts. Doses that aren't over 0 and missing values don't count."""
-    ok = np.isfinite(dose) & np.isfinite(response) & (dose > 0)
-    x, y = np.asarray(dose, float)[ok], np.asarray(response, float)[ok]
-    if len(x) < gates.least_points or gates.distinct_doses and len(np.unique(x)) < gates.least_points or np.ptp(y) < gates.least_range:
-        return None
-    low = np.array([gates.bottom[0], gates.top[0], x.min() * gates.ic50[0], gates.hill[0]])
-    high = np.array([gates.bottom[1], gates.top[1], x.max() * gates.ic50[1], gates.hill[1]])
-    if not (low < high).all():
-        return None
-    middle = np.sqrt(x.min() * x.max()) if gates.start == "geometric" else np.median(x)
-    p = np.clip([y.min(), np.ptp(y) if gates.span else y.max(), middle, 1.0], low, high)
-    # Concentration and slope are searched on a log scale, where their bounds lie far apart.
-    logs = np.array([False, False, True, True])
-    to, back = (lambda v: np.where(logs, np.log(np.maximum(v, 1e-300)), v)), (lambda v: np.where(logs, np.exp(v), v))
-    best, error = to(p), np.inf
-    for k in range(3):
-        start = to(np.clip([p[0], p[1], p[2] * (1.0, 0.2, 5.0)[k], p[3]], low, high))
-        q, e = _descend(lambda v: curve(x, back(v), gates.span) - y, start, to(low), to(high))
-        if e < error:
-            best, error = q, e
-    p = np.clip(back(best), low, high)
-    total = ((y - y.mean()) ** 2).sum()
-    r2 = 1 - error / total if total > 0 else 0.0
-    if gates.least_r2 is not None and r2 <= gates.least_r2 or gates.accept and not x.min() * gates.accept[0] <= p[2] <= x.max() * gates.accept[1]:
-        return None
-    return {"bottom": float(p[0]), "top": float(p[1]), "ic50": float(p[2]), "hill": float(p[3]), "r2": float(r2), "n": len(x)}
-
-
-def _descend(residual, p: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Damped least squares; steps are cut to the bounds."""
-    r = residual(p)
-    error, damp = float(r @ r), 1e-2
+    """Parameters of one curve, or None where a gate shuts."""
+    return fit_many([(dose, response)], gates)[0]
+
+
+def fit_many(groups: list[tuple[np.ndarray, np.ndarray]], gates: Gates = CANONICAL) -> list[dict | None]:
+    """Parameters of each group's curve, or None where a gate shuts. Doses that aren't over 0 and missing values don't count.
+
+    All groups descend together, each with its own damping; groups of few points are padded to the longest.
+    """
+    out: list[dict | None] = [None] * len(groups)
+    kept = []
+    for i, (dose, response) in enumerate(groups):
+        x, y = np.asarray(dose, float), np.asarray(response, float)
+        ok = np.isfinite(x) & np.isfinite(y) & (x > 0)
+        x, y = x[ok], y[ok]
+        if len(x) < gates.least_points or gates.distinct_doses and len(np.unique(x)) < gates.least_points or np.ptp(y) < gates.least_range:
+            continue
+        if x.min() * gates.ic50[0] < x.max() * gates.ic50[1]:
+            kept.append((i, x, y))
+    if not kept:
+        return out
+    n = np.array([len(x) for _, x, _ in kept])
+    xs, ys, ws = np.ones((len(kept), n.max())), np.zeros((len(kept), n.max())), np.zeros((len(kept), n.max()))
+    start = np.empty((len(kept), 4))
+    for k, (_, x, y) in enumerate(kept):
+        xs[k, : n[k]], ys[k, : n[k]], ws[k, : n[k]] = x, y, 1.0
+        middle = np.sqrt(x.min() * x.max()) if gates.start == "geometric" else np.median(x)
+        start[k] = y.min(), np.ptp(y) if gates.span else y.max(), middle, 1.0
+    least, most = np.array([x.min() for _, x, _ in kept]), np.array([x.max() for _, x, _ in kept])
+    one = np.ones(len(kept))
+    low = np.stack([gates.bottom[0] * one, gates.top[0] * one, np.log(least * gates.ic50[0]), np.log(gates.hill[0]) * one], axis=1)
+    high = np.stack([gates.bottom[1] * one, gates.top[1] * one, np.log(most * gates.ic50[1]), np.log(gates.hill[1]) * one], axis=1)
+    # Concentration and slope are searched on a log scale, where their bounds lie far apart; from three starts, the best end counts.
+    start[:, 2:] = np.log(start[:, 2:])
+    best, error = None, None
+    for shift in (0.0, np.log(0.2), np.log(5.0)):
+        p, e = _descend(xs, ys, ws, np.clip(start + [0, 0, shift, 0], low, high), low, high, gates.span)
+        if best is None:
+            best, error = p, e
+        else:
+            best, error = np.where((e < error)[:, None], p, best), np.minimum(e, error)
+    best[:, 2:] = np.exp(best[:, 2:])
+    for k, (i, x, y) in enumerate(kept):
+        total = float(((y - y.mean()) ** 2).sum())
+        r2 = 1 - float(error[k]) / total if total > 0 else 0.0
+        p = best[k]
+        if gates.least_r2 is not None and r2 <= gates.least_r2 or gates.accept and not x.min() * gates.accept[0] <= p[2] <= x.max() * gates.accept[1]:
+            continue
+        out[i] = {"bottom": float(p[0]), "top": float(p[1]), "ic50": float(p[2]), "hill": float(p[3]), "r2": r2, "n": len(x)}
+    return out
+
+
+def _descend(x, y, w, p, low, high, span: bool, rounds: int = 120) -> tuple[np.ndarray, np.ndarray]:
+    """Damped least squares of many small problems at once; steps stay within bounds. Returns parameters and squared errors."""
+    logs = np.log(x)
+
+    def model(q):
+        bottom, top, c, h = (q[:, k : k + 1] for k in range(4))
+        h = np.exp(h)
+        far = c - logs
+        u = np.exp(np.clip(h * far, -60, 60))
+        g = 1 / (1 + u)
+        height = top if span else top - bottom
+        slope = -height * g * g * u * h
+        jac = np.stack([np.ones_like(g) if span else 1 - g, g, slope, slope * far], axis=2) * w[:, :, None]
+        return (bottom + height * g - y) * w, jac
+
+    r, jac = model(p)
+    error, damp, still = (r * r).sum(axis=1), np.full(len(p), 1e-2), np.zeros(len(p), dtype=int)
     for _ in range(rounds):
-        h = 1e-6 * np.maximum(1.0, np.abs(p))
-        jac = np.stack([(residual(p + h * e) - r) / h[i] for i, e in enumerate(np.eye(len(p)))], axis=1)
-        grad, hess = jac.T @ r, jac.T @ jac
-        moved = False
-        for _ in range(12):
-            step = np.linalg.lstsq(hess + damp * np.diag(np.diag(hess) + 1e-12), -grad, rcond=None)[0]
-            q = np.clip(p + step, low, high)
-            s = residual(q)
-            if (new := float(s @ s)) < error:
-                gain, p, r, error, damp, moved = error - new, q, s, new, max(damp / 5, 1e-12), True
-                break
-            damp *= 4
-        if not moved or gain < 1e-12 * max(error, 1e-12):
+        grad = np.einsum("gnk,gn->gk", jac, r)
+        stuck = (p <= low) & (grad > 0) | (p >= high) & (grad < 0)
+        free = np.where(stuck, 0.0, 1.0)
+        hess = np.einsum("gnk,gnl->gkl", jac, jac) * free[:, :, None] * free[:, None, :]
+        diagonal = np.einsum("gkk->gk", hess)
+        hess = hess + np.eye(4) * (damp[:, None] * diagonal + 1e-9 + (diagonal == 0))[:, None, :]
+        q = np.clip(p + np.linalg.solve(hess, -(grad * free)[:, :, None])[:, :, 0], low, high)
+        s, new = model(q)
+        e = (s * s).sum(axis=1)
+        better = e < error
+        still = np.where(better & (error - e > 1e-12 * np.maximum(error, 1e-12)), 0, still + 1)
+        p, r, jac = np.where(better[:, None], q, p), np.where(better[:, None], s, r), np.where(better[:, None, None], new, jac)
+        error, damp = np.where(better, e, error), np.clip(np.where(better, damp / 5, damp * 4), 1e-12, 1e12)
+        if (still > 10).all():
             break
     return p, error
 
@@ -107,8 +145,10 @@ def fit_groups(df: DataFrame, keys: list[str], dose: str, response: str, gates:
 
     @F.pandas_udf("struct<ic50:double,bottom:double,top:double,hill:double,r2:double,n:int>")
     def run(xy: pd.Series) -> pd.DataFrame:
-        names = ["ic50", "bottom", "top", "hill", "r2", "n"]
-        found = [fit(np.array([p["x"] for p in g]), np.array([p["y"] for p in g]), gates) for g in xy]
-        return pd.DataFrame([[f[k] if f else None for k in names] for f in found], columns=names)
+        names, rows = ["ic50", "bottom", "top", "hill", "r2", "n"], []
+        for k in range(0, len(xy), 500):
+            part = [(np.array([p["x"] for p in g], float), np.array([p["y"] for p in g], float)) for g in xy.iloc[k : k + 500]]
+            rows += [[f[c] if f else None for c in names] for f in fit_many(part, gates)]
+        return pd.DataFrame(rows, columns=names)
 
     return lists.select(*keys, run("xy").alias("f")).where("f.ic50 IS NOT NULL").select(*keys, "f.*")
