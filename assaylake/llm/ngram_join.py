@@ -7,7 +7,8 @@
 3. Pairs are looked for between groups of different components only. Star rounds first let each part of a
    group meet one part that shares most prefix shingles with it; members are expanded and verified by the size of their
    intersection, and links merge components. Then all pairs left, whose components differ, that share a prefix shingle and whose
-   sizes and the shingle's places fit are verified. So a large group of near copies costs a few links a member, and no link between components is lost.
+   sizes and the shingle's places fit are verified, by short hashes
+   first. So a large group of near copies costs a few links a member, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -141,13 +142,15 @@ def _links(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose prefixes share enough. Of two prefixes one ends first in the order of shingles, and all that its set shares
-    up to there is in both; beyond, it has size - prefix shingles at most.
+    """The pairs that link as far as 31 bits of each shingle's hash tell. Shorter hashes can only add to an intersection, so no link
+    is lost, and half as many bytes go with each pair; what is left is verified with whole hashes.
     """
-    left = nodes.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("prefix").alias("xa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("prefix").alias("xb"))
-    beyond = F.ceil(F.lit(percent) * F.greatest("sa", "sb") / 100) - 1
-    enough = (100 + percent) * (F.size(F.array_intersect("xa", "xb")) + beyond) >= percent * (F.col("sa") + F.col("sb"))
+    brief = F.transform("shared", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
+    left = nodes.select(F.col("node").alias("a"), F.col("size").alias("sa"), brief.alias("xa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("size").alias("sb"), brief.alias("xb"))
+    # Equal short hashes within one set count once on both sides; the larger side's repeats are added back.
+    repeats = F.greatest(F.size("xa") - F.size(F.array_distinct("xa")), F.size("xb") - F.size(F.array_distinct("xb")))
+    enough = (100 + percent) * (F.size(F.array_intersect("xa", "xb")) + repeats) >= percent * (F.col("sa") + F.col("sb"))
     return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b", "la", "lb")
 
 
