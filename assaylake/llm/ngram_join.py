@@ -28,8 +28,8 @@ SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64(
 SENT_SQL = "bucket long, chunk long, n long, blob binary, many binary, counts binary"
 RANKS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("ranks", pa.binary())])
 RANKS_SQL = "chunk long, bucket long, ranks binary"
-SETS = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.binary()), ("group", pa.binary()), ("prefix", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
-SETS_SQL = "doc_id long, size long, node binary, `group` binary, prefix array<long>, shared array<long>"
+SETS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("size", pa.int64()), ("node", pa.binary()), ("group", pa.binary()), ("prefix", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
+SETS_SQL = "doc_id long, th long, size long, node binary, `group` binary, prefix array<long>, shared array<long>"
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -110,23 +110,23 @@ def _sets(n: int, percent: int, buckets: int):
         rank[order] = np.repeat(ranks, np.diff(np.append(new, len(h))))
         one, two = K.mix(h.copy(), 11), K.mix(h.copy(), 23)
         out = []
-        for i, doc in enumerate(texts.column("doc_id").to_pylist()):
+        for i, (doc, th) in enumerate(zip(texts.column("doc_id").to_pylist(), texts.column("th").to_pylist(), strict=True)):
             a, b = bounds[i], bounds[i + 1]
             size = int(b - a)
             if not size:
-                out.append((doc, 0, b"none" + str(doc).encode(), None, None, None))
+                out.append((doc, th, 0, b"none" + str(doc).encode(), None, None, None))
                 continue
             node = one[a:b].sum(dtype=K.U).tobytes() + two[a:b].sum(dtype=K.U).tobytes()
             own = np.flatnonzero(rank[a:b]) + a
             least = -(-percent * size // 100)
             take = size - least + 1 - (size - len(own))
             if take <= 0:
-                out.append((doc, size, node, None, None, None))
+                out.append((doc, th, size, node, None, None, None))
                 continue
             own = own[np.lexsort((h[own], rank[own]))]
             prefix = own[:take]
             group = one[prefix].sum(dtype=K.U).tobytes() + two[prefix].sum(dtype=K.U).tobytes() + size.to_bytes(5, "little")
-            out.append((doc, size, node, group, h[prefix].view(np.int64), h[own].view(np.int64)))
+            out.append((doc, th, size, node, group, h[prefix].view(np.int64), h[own].view(np.int64)))
         return _rows(out, SETS)
 
     return sets
@@ -161,12 +161,11 @@ def _relabel(labels: DataFrame, links: DataFrame, write) -> DataFrame:
     return write(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text; others unread).
+def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """doc_id, th (hash of text), n_shingles, label for each row of docs (doc_id, text; others unread): rows that links reach have one label.
 
-    Two texts link when 100 * |intersection| >= percent * |union| of their distinct shingles of lower-cased words; component_id is
-    the smallest doc_id that links reach. Fewer words than a shingle are one shingle. Null and empty texts link with nothing,
-    and have their own id. Rows that repeat are copies; a null id is never the smallest unless all are null.
+    Two texts link when 100 * |intersection| >= percent * |union| of their distinct shingles of lower-cased words. Fewer words than
+    a shingle are one shingle. Null and empty texts link with nothing; those of one id have one label. Rows that repeat are copies.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -179,7 +178,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    base = docs.withColumn("chunk", chunk_of(F.col("doc_id"), F.col("text"), chunks))
+    base = docs.withColumn("chunk", chunk_of(F.col("doc_id"), F.col("text"), chunks)).withColumn("th", F.xxhash64("text"))
     ranks = base.groupBy("chunk").applyInArrow(_count(shingle, buckets), SENT_SQL).groupBy("bucket").applyInArrow(_rank, RANKS_SQL)
     rows = write(base.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(_sets(shingle, percent, buckets), SETS_SQL))
     nodes = write(rows.where(F.col("prefix").isNotNull()).groupBy("node", "size").agg(F.first("group").alias("group"), F.first("prefix").alias("prefix"), F.first("shared").alias("shared")))
@@ -219,7 +218,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     pairs = met.join(left, ["ga", "la"]).join(right, ["gb", "lb"]).select("a", "b", "la", "lb")
     labels = _relabel(labels, write(_links(_near(pairs, nodes, percent), nodes, percent).distinct()), write)
 
-    own = rows.select("doc_id", F.col("size").alias("n_shingles"), "node").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
+    own = rows.select("doc_id", "th", F.col("size").alias("n_shingles"), "node").join(labels, "node", "left")
+    return own.select("doc_id", "th", "n_shingles", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs, by `linked`.
+
+    component_id is the smallest doc_id that links reach; a null id is never the smallest unless all are null.
+    """
+    own = linked(docs, shingle, percent, star_rounds, chunk_bytes).drop("th")
     least = own.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return own.join(least, "label").select("doc_id", "n_shingles", "component_id")
 

@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents; the last returns packed pieces. What a
 stage returns is written as Parquet and read again as the next one's documents.
 
-Rows that repeat whole go through each stage alike until near duplicates, where one of equal rows stays; there a row
-without an id goes too, as no result could name it. A null or empty text has no language and goes in the first stage. Empty tables
+Rows that repeat whole go through each stage alike until near duplicates, where one of equal rows stays. A row without an id
+stays where no row with one is in its group. A null or empty text has no language and goes in the first stage. Empty tables
 stay empty. Other columns than text and n_chars pass unchanged.
 """
 
@@ -36,11 +36,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that similarity links reach."""
-    found = ngram_join.near_duplicates(docs)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").withColumn("__th", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "__th"]).select(*docs.columns)
+    """Of each group that similarity links reach, the document with the smallest id (none comes last), then hash of text."""
+    # A null or empty text links with nothing, whatever label it shares.
+    alone = F.when(F.col("n_shingles") == 0, F.col("th"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    keep = ngram_join.linked(docs).groupBy("label", alone.alias("alone")).agg(first).select(F.col("first.doc_id").alias("__d"), F.col("first.th").alias("__t"))
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64(F.col("text").cast("string")))
+    kept = keyed.join(keep, (F.col("__th") == F.col("__t")) & F.col("__id").eqNullSafe(F.col("__d")), "left_semi")
+    return kept.dropDuplicates(["__id", "__th"]).select(*docs.columns)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,10 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
     assert docs.count() == 0
+
+
+def test_rows_without_an_id_stay_where_none_of_their_group_has_one(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    docs = spark.createDataFrame([(None, a), (None, f"{a} more"), (None, b), (1, c), (None, c), (2, d), (3, d), (4, d), (5, a + b), (5, c + d)], "doc_id long, text string")
+    got = pairs(corpus_pipeline.near_duplicates(spark, docs, FOLDER))
+    assert sorted(got, key=str) == sorted([(None, b), (1, c), (2, d), (5, a + b), (5, c + d), next(x for x in got if x[0] is None and x[1].startswith(a))], key=str)
