@@ -1,9 +1,10 @@
 """Language of texts by compression: the language whose dictionary makes a text smallest.
 
-Training takes a bounded sample of labelled rows: of each language the `sample_docs` rows with the smallest hash of their
-id; their texts' beginnings, `dictionary_bytes` in all, are a raw-content zstandard dictionary. A text, as lower-case words of
+Training takes a bounded sample of labelled rows: of each language the `sample_docs` distinct texts with the smallest hash;
+pieces from all over each, `dictionary_bytes` in all, are a raw-content zstandard dictionary. A text, as lower-case words of
 letters, is cut into blocks of `BLOCK` bytes, all of them are compressed with each dictionary, and the sizes are added up, so that a long text is
-judged as a whole and never outgrows the dictionaries. A narrow margin between the two smallest sizes is a rejection.
+judged as a whole and never outgrows the dictionaries. A margin between the two smallest sizes that is narrow, as a share of the
+smallest, is a rejection.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ MAX_LANGUAGES = 1000
 BLOCK = 8192
 LEVEL = 5
 NO_LETTERS = re.compile(r"[\W\d_]+")
-#: A margin in bytes below this is no decision.
-MARGIN = 1
+#: Pieces that a text longer than its share of the dictionary gives.
+PIECES = 4
+#: A margin below this share of the smallest size is no decision.
+LEAST_SHARE = 0.03
 UNKNOWN = "und"
 PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.LongType()), T.StructField("rejected", T.BooleanType())])
 
@@ -40,26 +43,34 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Each language's dictionary, from rows of docs (doc_id, text, lang) with an id, a text and a language that are not held out.
 
-    Counts go over all rows; by them, each language gets a bound on the hash below which some three times the wanted
-    rows lie, so that only these reach the last step. At most MAX_LANGUAGES languages are told apart; more raise an error.
+    Counts go over all distinct texts; by them, each language gets a bound on the hash below which some three times the wanted
+    texts lie, so that only these reach the last step. At most MAX_LANGUAGES languages are told apart; more raise an error.
     """
     lang, doc = F.col("lang").cast("string"), F.col("doc_id").cast("long")
-    rows = docs.where((F.length("text") > 0) & F.col("lang").isNotNull() & doc.isNotNull() & ~held_out(doc)).select(lang.alias("lang"), doc.alias("id"), F.xxhash64(doc).alias("h"), F.col("text").cast("string").alias("text"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    rows = docs.where((F.length("text") > 0) & F.col("lang").isNotNull() & doc.isNotNull() & ~held_out(doc)).select(lang.alias("lang"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    counts = {r.lang: r.n for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return {}
     each = max(1, dictionary_bytes // sample_docs)
     below = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(2**63 - 1, 2**64 * 3 * sample_docs // n - 2**63)).cast("long"))))
-    few = rows.where(F.col("h") <= below[F.col("lang")]).groupBy("lang", "h", "id").agg(F.min(F.substring("text", 1, each)).alias("text"))
-    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= sample_docs)
+    few = rows.where(F.col("h") <= below[F.col("lang")]).groupBy("lang", "h").agg(F.min(_pieces(F.col("text"), each)).alias("text"))
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample_docs)
     texts: dict[str, list] = {}
     for r in sorted(few.select("lang", "k", "text").collect()):
         texts.setdefault(r.lang, []).append(plain(r.text).split())
-    # Passages that several sampled texts share (notices, quotations, copies) tell nothing of a language.
-    seen = Counter(x for v in texts.values() for w in v for x in {tuple(w[i : i + 4]) for i in range(len(w) - 3)})
-    return {k: _content([_own(w, seen) for w in v], dictionary_bytes) for k, v in sorted(texts.items())}
+    # Passages that several languages' texts share (notices, quotations) tell nothing of a language; those within one stay once.
+    seen = Counter(x for v in texts.values() for x in {tuple(w[i : i + 4]) for w in v for i in range(len(w) - 3)})
+    return {k: _content(_own(v, seen), dictionary_bytes) for k, v in sorted(texts.items())}
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """A text of up to size characters, or pieces from its beginning to its end that are as long together."""
+    part = max(1, size // PIECES)
+    gap = (F.length(text) - part) / F.lit(PIECES - 1)
+    pieces = [F.substring(text, F.floor(gap * i).cast("int") + 1, F.lit(part)) for i in range(PIECES)]
+    return F.when(F.length(text) <= size, text).otherwise(F.concat_ws(" ", *pieces))
 
 
 def plain(text: str) -> str:
@@ -67,9 +78,16 @@ def plain(text: str) -> str:
     return NO_LETTERS.sub(" ", text.lower())
 
 
-def _own(words: list[str], seen: Counter) -> str:
-    shared = {j for i in range(len(words) - 3) if seen[tuple(words[i : i + 4])] > 1 for j in range(i, i + 4)}
-    return " ".join(w for i, w in enumerate(words) if i not in shared)
+def _own(texts: list[list[str]], seen: Counter) -> list[str]:
+    """The texts of one language without what others share, and with only the first copy of what they share themselves."""
+    had: set[tuple] = set()
+    out = []
+    for words in texts:
+        grams = [tuple(words[i : i + 4]) for i in range(len(words) - 3)]
+        gone = {j for i, g in enumerate(grams) if seen[g] > 1 or g in had for j in range(i, i + 4)}
+        had.update(grams)
+        out.append(" ".join(w for i, w in enumerate(words) if i not in gone))
+    return out
 
 
 def _content(texts: list[str], size: int) -> bytes:
@@ -101,7 +119,7 @@ class Classifier:
         best = sizes[order[0]]
         margin = sizes[order[1]] - best if len(order) > 1 else best
         score = 1.0 / sum(2.0 ** -min(60, x - best) for x in sizes)
-        return self.names[order[0]], score, margin, margin < MARGIN
+        return self.names[order[0]], score, margin, margin < LEAST_SHARE * best
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:

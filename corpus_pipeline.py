@@ -24,7 +24,7 @@ def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those whose text has no letter, or whose two best languages tie, go."""
+    """Documents whose language is told; those whose text has no letter, or whose two best languages are close, go."""
     return language_id.predict(docs, language_id.train(docs)).where(~F.col("rejected")).select(*docs.columns)
 
 

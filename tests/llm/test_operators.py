@@ -184,6 +184,30 @@ def test_language_of_odd_texts(spark, odd, empty):
     assert {r.lang_pred for r in language_id.predict(odd, {}).collect()} == {"und"}
 
 
+def test_texts_of_no_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.Classifier(language_id.train(docs))
+    g = random.Random(3)
+    noise = [" ".join("".join(g.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(g.randint(2, 9))) for _ in range(n)) for n in (200, 2000, 5000)]
+    assert all(model.predict(t)[3] for t in noise)
+    own = {r.lang: r.text for r in docs.where("length(text) > 2000").collect()}
+    without = language_id.train(docs.where("lang <> 'de'"))
+    assert "de" not in without and language_id.Classifier(without).predict(own["de"])[3]
+    assert not any(model.predict(t)[3] for t in own.values())
+
+
+def test_dictionaries_hold_whole_distinct_texts(spark):
+    ids = [i for i in range(1, 99) if zlib.crc32(str(i).encode()) % 3 != 1]
+    g = random.Random(4)
+    words = lambda x, n: " ".join(f"{x}{''.join(g.choice('abcdefgh') for _ in range(6))}" for _ in range(n))
+    notice = "one notice that all of them have"
+    rows = [(i, f"{words('x', 400)} {notice} tail", "x") for i in ids[:4]] + [(i, f"{words('y', 40)} quoted words of y alone", "y") for i in ids[4:8]] + [(i, "copy of one text with many words here", "z") for i in ids[8:]]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model["x"].count(notice.encode()) == 1
+    assert model["y"].count(b"quoted words of y alone") == 1
+    assert b"copy of one text with many words here" in model["z"]
+
+
 # 5
 
 
