@@ -29,8 +29,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated runs of lines; a document of nothing else goes."""
-    found = line_dedup.dedup_lines(docs)
+    """Documents without later copies of lines; a document of nothing else goes."""
+    found = line_dedup.dedup_lines(docs, min_lines=1)
     left = found.where((F.col("n_removed") == 0) | (F.translate("text_kept", " \t\r\n", "") != ""))
     return _with_text(left, docs.columns, "text_kept")
 

@@ -56,3 +56,8 @@ def test_rows_without_an_id_stay_where_none_of_their_group_has_one(spark):
     docs = spark.createDataFrame([(None, a), (None, f"{a} more"), (None, b), (1, c), (None, c), (2, d), (3, d), (4, d), (5, a + b), (5, c + d)], "doc_id long, text string")
     got = pairs(corpus_pipeline.near_duplicates(spark, docs, FOLDER))
     assert sorted(got, key=str) == sorted([(None, b), (1, c), (2, d), (5, a + b), (5, c + d), next(x for x in got if x[0] is None and x[1].startswith(a))], key=str)
+
+
+def test_single_repeated_lines_go(spark):
+    docs = spark.createDataFrame([(1, "a\nlicence\nb"), (2, "c\nlicence\nd"), (3, "one line"), (4, "one line"), (5, "e\n\nf")], "doc_id long, text string")
+    assert sorted(pairs(corpus_pipeline.lines(spark, docs, FOLDER))) == [(1, "a\nlicence\nb"), (2, "c\nd"), (3, "one line"), (5, "e\n\nf")]
