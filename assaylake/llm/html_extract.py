@@ -2,10 +2,10 @@
 
 The standard library's parser streams events. Text between the tags that begin or end a block is a line; its ratio is
 its text's length by the number of tags in and around it. Lines inside what can't be content (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments) have the ratio 0. Ratios are smoothed with a Gaussian, and
-lines over a share of the spread are clusters. Where a page marks an article, its content is the marked element that the
-clusters weigh most in, whole; else it runs over the
-heaviest region of clusters and the element that holds most of it.
+sidebars, notices, adverts, forms, scripts, styles, comments) have the ratio 0. What only its class, id or role or a form
+tells to be no content is content all the same where it holds a marked article or most of the page's ratio mass. Ratios are smoothed with a Gaussian, and
+lines over a share of the spread are clusters. Where a page marks articles, its content is those marked elements that
+clusters are in, whole; else it runs over the heaviest region of clusters, the regions beside it, and the elements that hold most of them.
 """
 
 from __future__ import annotations
@@ -25,65 +25,107 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-DROPPED = frozenset("script style noscript template head title nav header footer aside form button select textarea iframe menu dialog svg math object canvas audio video map".split())
+DROPPED = frozenset("script style noscript template head title nav header footer aside button select textarea iframe menu dialog svg math object canvas audio video map".split())
 CLOSES_P = BLOCKS - {"body", "html", "head"}
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|related|reply|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|related|reply|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget",
     re.IGNORECASE,
 )
+#: Before a listed word, these say what an element has or lacks, not what it is.
+STATES = frozenset("with has have no without not".split())
 UNENDED = re.compile(r"<[a-zA-Z/!?]")
-ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
+ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog".split())
 SIGMA, REACH = 1.0, 3
 SPREAD = 0.5
 MAIN = ("article", "main")
-HOLDERS = frozenset("article body center div main section td".split())
+HOLDERS = frozenset("article body center div form main section td".split())
+#: What an element has to hold of the ratio mass of its page to be content whatever its class says; a whole token says more than a part of one.
+MOST, WHOLE = 0.5, 0.9
+
+
+def named(value: str) -> float:
+    """What share of the page's ratio mass a class or id outweighs: 0 where it tells nothing."""
+    out = 0.0
+    for token in value.split():
+        parts = re.split("[_-]+", token)
+        if any(NAMED.fullmatch(x) and (not i or parts[i - 1].lower() not in STATES) for i, x in enumerate(parts)):
+            out = max(out, WHOLE if NAMED.fullmatch(token) else MOST)
+    return out
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags, whether they can be content, and the article and main elements they are in."""
+    """Lines of a page: text, tags, whether they can be content, and the article and main elements they are in.
+
+    An element that its name, its role or a form alone tells to be no content is a guess; those in `spared` (their numbers) are
+    content. `guessed` has, of each guess, the share that it outweighs, the ratio mass and the marked articles in it.
+    """
 
-    def __init__(self):
+    def __init__(self, spared: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, dropped with all in it, number of a marked element, number of a holder
+        self.open: list[tuple[str, bool, int, int, int]] = []  # tag, dropped with all in it, number of a marked element, of a holder, and of a guess
         self.lines: list[tuple[str, int, bool, tuple[int, ...], int]] = []
         self.holders = 0
+        self.above: dict[int, int] = {}  # the holder that a holder is in
         self.marked: list[str] = []
         self.text: list[str] = []
+        self.lost: list[tuple[tuple[int, ...], int]] = []  # guesses that text is in, and its length
         self.tags = 0
-        self.dropped = 0
+        self.dropped = 0  # open elements that are no content
+        self.sure = 0  # those of them that are no guess
+        self.spared = spared
+        self.guessed: list[list] = []
+        self.mass = 0.0
 
     def _line(self) -> None:
         text = " ".join("".join(self.text).split())
+        for within, size in [*self.lost, ((), len(text) if not self.dropped else 0)]:
+            share = size / max(1, self.tags)
+            self.mass += share
+            for k in within:
+                self.guessed[k][1] += share
         if text or self.tags:
-            home = next((h for _, _, _, h in reversed(self.open) if h), 0)
-            self.lines.append((text, self.tags, not self.dropped, tuple(k for _, _, k, _ in self.open if k >= 0), home))
-        self.text, self.tags = [], 0
+            home = next((h for _, _, _, h, _ in reversed(self.open) if h), 0)
+            self.lines.append((text, self.tags, not self.dropped, tuple(k for _, _, k, _, _ in self.open if k >= 0), home))
+        self.text, self.lost, self.tags = [], [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self._line()
             if tag in CLOSES_P and any(t == "p" for t, *_ in self.open[-8:]):
                 self._close("p")
-        elif tag == "br":
+        elif tag == "br" and not self.dropped:
             self.text.append(" ")
         self.tags += 1
         if tag in VOID:
             return
-        drop, role = tag in DROPPED, False
+        drop, role, guess = tag in DROPPED, False, MOST if tag == "form" else 0.0
         for name, value in attrs:
             if value and name in ("class", "id"):
-                drop = drop or tag not in ("html", "body") and NAMED.search(value) is not None
+                if tag not in ("html", "body"):
+                    guess = max(guess, named(value))
             elif value and name == "role":
                 drop, role = drop or value.lower() in ROLES, role or value.lower() == "main"
+                guess = max(guess, MOST if value.lower() == "form" else 0.0)
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 drop = True
         kind = "main" if role else tag
-        number = -1
+        self.sure += drop
+        number, which = -1, -1
+        if guess and not drop and not self.sure:
+            which = len(self.guessed)
+            self.guessed.append([guess, 0.0, 0])
+        if kind in MAIN and not self.sure and which < 0:
+            for *_, k in self.open:
+                if k >= 0:
+                    self.guessed[k][2] += 1
+        sure, drop = drop, drop or guess > 0 and which not in self.spared
         if kind in MAIN and not drop and not self.dropped:
             number = len(self.marked)
             self.marked.append(kind)
-        self.holders += tag in HOLDERS
-        self.open.append((tag, drop, number, self.holders if tag in HOLDERS else 0))
+        if tag in HOLDERS:
+            self.holders += 1
+            self.above[self.holders] = next((h for _, _, _, h, _ in reversed(self.open) if h), 0)
+        self.open.append((tag, drop, number, self.holders if tag in HOLDERS else 0, -2 if sure else which))
         self.dropped += drop
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -94,8 +136,9 @@ class Lines(HTMLParser):
     def _close(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                for _, drop, *_ in self.open[k:]:
+                for _, drop, *_, which in self.open[k:]:
                     self.dropped -= drop
+                    self.sure -= which == -2
                 del self.open[k:]
                 return
             if tag == "p" and self.open[k][0] in MAIN + ("td", "th", "li", "div", "section", "body"):
@@ -109,7 +152,11 @@ class Lines(HTMLParser):
             self._close(tag)
 
     def handle_data(self, data: str) -> None:
-        self.text.append(data)
+        if not self.dropped:
+            self.text.append(data)
+        if not self.sure and (within := tuple(k for *_, k in self.open if k >= 0)):
+            size = len(" ".join(data.split()))
+            self.lost.append((within, size))
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -118,16 +165,28 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(ratios, kernel)[REACH:-REACH] / weight
 
 
-def main_text(html: str | None) -> list[str]:
-    """The blocks of a page's main text, in page order; none for null or where there is no text."""
-    if not html:
-        return []
-    parser = Lines()
+def parsed(html: str, spared: frozenset[int] = frozenset()) -> Lines:
+    parser = Lines(spared)
     parser.feed(html)
     if UNENDED.match(parser.rawdata):
         parser.rawdata = ""  # a tag or comment that the page's end cuts off is no text
     parser.close()
     parser._line()
+    return parser
+
+
+def main_text(html: str | None) -> list[str]:
+    """The blocks of a page's main text, in page order; none for null or where there is no text."""
+    if not html:
+        return []
+    parser = parsed(html)
+    spared = {k for k, (share, mass, articles) in enumerate(parser.guessed) if articles or mass > share * parser.mass}
+    if spared:
+        parser = parsed(html, frozenset(spared))
+    if not any(t and ok for t, _, ok, *_ in parser.lines) and parser.guessed and max(m for _, m, _ in parser.guessed) > 0:
+        # Where nothing else is left, what only its name tells to be no content is content.
+        most = max(m for _, m, _ in parser.guessed)
+        parser = parsed(html, frozenset(spared | {k for k, (_, m, _) in enumerate(parser.guessed) if m == most}))
     lines = parser.lines
     ratios = np.array([len(t) / max(1, n) if ok else 0.0 for t, n, ok, *_ in lines])
     if not len(lines) or not ratios.any():
@@ -137,26 +196,36 @@ def main_text(html: str | None) -> list[str]:
     mass = np.where(dense, ratios, 0.0)
     for kind in MAIN:
         weights: dict[int, float] = {}
+        clustered: set[int] = set()
         for m, (t, _, ok, inside, _) in zip(mass, lines, strict=True):
             if own := [k for k in inside if parser.marked[k] == kind]:
                 weights[own[0]] = weights.get(own[0], 0.0) + m + (1e-9 if ok and t else 0.0)
+                if m > 0:
+                    clustered.add(own[0])
         if weights and max(weights.values()) > 0:
-            best = max(weights, key=lambda k: (weights[k], -k))
-            return [t for t, _, ok, inside, _ in lines if ok and t and best in inside]
+            kept = clustered or {max(weights, key=lambda k: (weights[k], -k))}
+            return [t for t, _, ok, inside, _ in lines if ok and t and not kept.isdisjoint(inside)]
     at = np.flatnonzero(dense & (ratios > 0))
     if not len(at):
         at = np.flatnonzero(ratios > 0)
-    # Clusters a few lines apart are one region; the heaviest region counts.
+    # Clusters a few lines apart are one region.
     regions = np.split(at, np.flatnonzero(np.diff(at) > 2 * REACH) + 1)
-    region = max(regions, key=lambda r: ratios[r].sum())
-    weight: dict[int, float] = {}
-    for k in region:
-        weight[lines[k][4]] = weight.get(lines[k][4], 0.0) + ratios[k]
-    # The element that holds most of the region is content from its first line to its last.
-    home = max(weight, key=weight.get)
-    own = [k for k, x in enumerate(lines) if x[4] == home and x[0] and x[2]]
-    first, last = min(region[0], own[0]), max(region[-1], own[-1])
-    return [t for t, _, ok, *_ in lines[first : last + 1] if ok and t]
+    homes = []
+    for region in regions:
+        weight: dict[int, float] = {}
+        for k in region:
+            weight[lines[k][4]] = weight.get(lines[k][4], 0.0) + ratios[k]
+        homes.append(max(weight, key=weight.get))
+    # The heaviest region counts, and those in the same element as its own, in that element's siblings, parent or children.
+    top = homes[max(range(len(regions)), key=lambda i: ratios[regions[i]].sum())]
+    near = lambda h: h == top or parser.above.get(h) in (top, parser.above.get(top, 0)) or h == parser.above.get(top)
+    kept = set()
+    for region, home in zip(regions, homes, strict=True):
+        if near(home):
+            # The element that holds most of a region is content from its first line to its last.
+            own = [k for k, x in enumerate(lines) if x[4] == home and x[0] and x[2]]
+            kept.update(range(min(region[0], own[0]), max(region[-1], own[-1]) + 1))
+    return [t for k, (t, _, ok, *_) in enumerate(lines) if k in kept and ok and t]
 
 
 RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_blocks", pa.int64())])

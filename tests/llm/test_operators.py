@@ -145,6 +145,36 @@ def test_page_without_article():
     assert found[-1].startswith("and the last") and "short" in found and len(found) == 8 and not any("menu" in b or "mail" in b for b in found)
 
 
+TEXT = "".join(f"<p>{f'plain words of length {i} here ' * 6}</p>" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='content with-sidebar'>{TEXT}</div><p>foot</p></body>", f"<body><div id='page' class='no-sidebar'>{TEXT}</div></body>", f"<body><article class='post has-comments'>{TEXT}</article></body>",
+        f"<body><form action='x'><div>{TEXT}</div></form></body>", f"<body><div class='menu-layout'><nav>home</nav><article>{TEXT}</article></div></body>", f"<body><div class='widget'>{TEXT}</div><p>foot</p></body>",
+    ],
+)
+def test_names_do_not_drop_the_whole_content(page):
+    assert len([b for b in html_extract.main_text(page) if b.startswith("plain words")]) == 6
+
+
+def test_names_still_drop_what_is_beside_the_content():
+    page = f"<body><div class='main'>{TEXT}</div><div id='comments'><p>first! {'so many words ' * 300}</p></div><div class='share-box'><p>share this</p></div><form><p>your mail</p></form></body>"
+    assert len(html_extract.main_text(page)) == 6
+
+
+def test_sibling_articles_and_regions_stay():
+    cut = "<hr>" * 12
+    assert len(html_extract.main_text(f"<body><article>{TEXT}</article><article>{TEXT}</article></body>")) == 12
+    assert len(html_extract.main_text(f"<body><div>{TEXT}</div>{cut}<div>{TEXT}</div></body>")) == 12
+
+
+def test_inline_elements_without_content_leave_no_text():
+    page = "<p>a long enough line</p><script>f()</script><p>b long <button>press</button>enough <svg><text>pic</text></svg>line<style>p{}</style></p>"
+    assert html_extract.main_text(page) == ["a long enough line", "b long enough line"]
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p>", "<article></article>", "<!-- only", "<script>x"])
 def test_pages_without_text(page):
     assert html_extract.main_text(page) == []
