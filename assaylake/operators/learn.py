@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 MODELS = {
     "ridge": lambda: LinearRegression(featuresCol="x", labelCol="y", regParam=1.0, elasticNetParam=0.0),
-    "forest": lambda: RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=50, maxDepth=8, seed=7),
+    "forest": lambda: RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=500, maxDepth=20, seed=7),
     "boosted": lambda: GBTRegressor(featuresCol="x", labelCol="y", maxIter=20, maxDepth=4, seed=7),
 }
 

@@ -8,6 +8,9 @@ from ..operators import curves, funnel, learn, resample
 from .funnels import COSTS
 from .registry import Tables, query
 
+#: Draws, as many as the reference makes.
+BOOTSTRAPS, COST_DRAWS, PERMUTATIONS = 5000, 100_000, 20
+
 
 def _curves(t: Tables):
     """A rising response a part: the dose by line number, the response by a known curve of the part's size."""
@@ -28,14 +31,14 @@ def hill_four_parameter(t: Tables):
 
 @query()
 def bootstrap_ci(t: Tables):
-    means = resample.bootstrap_means(t.customer, "c_nationkey", "c_custkey", "c_acctbal", 200, 4274)
+    means = resample.bootstrap_means(t.customer, "c_nationkey", "c_custkey", "c_acctbal", BOOTSTRAPS, 4274)
     return means.groupBy("c_nationkey").agg(*[F.round(F.expr(f"percentile(mean, {q}D)"), 4).alias(n) for q, n in ((0.025, "low"), (0.5, "median"), (0.975, "high"))])
 
 
 @query()
 def mc_cost(t: Tables):
     rates, sizes = [0.1181, 0.3144, 0.5139, 0.4451, 0.3996, 0.3522, 1.0], [2000, 400, 300, 300, 200, 200, 50]
-    draws = resample.rate_draws(t.spark, rates, sizes, 5000, 4274).join(resample.cost_draws(t.spark, COSTS, 5000, 4274), "draw")
+    draws = resample.rate_draws(t.spark, rates, sizes, COST_DRAWS, 4274).join(resample.cost_draws(t.spark, COSTS, COST_DRAWS, 4274), "draw")
     return draws.select("draw", F.round(funnel.cost(funnel.counts(F.col("rates"), ceil=False), F.col("costs")), 4).alias("cost"))
 
 
@@ -44,7 +47,7 @@ def permutation_floor(t: Tables):
     rows = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id")
     agree = lambda seed: resample.permuted(rows, "lang", "doc_id", "quality", seed).groupBy("lang").agg(F.avg((F.col("quality") == F.col("shuffled")).cast("double")).alias("agreement")).select("lang", F.lit(seed).alias("seed"), F.round("agreement", 6).alias("agreement"))
     out = agree(0)
-    for seed in range(1, 5):
+    for seed in range(1, PERMUTATIONS):
         out = out.unionByName(agree(seed))
     return out
 

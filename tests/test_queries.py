@@ -57,3 +57,18 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_draws_are_as_many_as_the_references(spark):
+    from pyspark.sql import functions as F
+
+    from assaylake.operators import learn, resample
+
+    customers = spark.read.parquet(f"{FOLDER}/customer.parquet")
+    means = resample.bootstrap_means(customers, "c_nationkey", "c_custkey", "c_acctbal", 5000, 4274)
+    want = {r[0]: r[1] for r in means.groupBy("c_nationkey").agg(F.round(F.expr("percentile(mean, 0.025D)"), 4)).collect()}
+    assert {r.c_nationkey: r.low for r in catalog.QUERIES["bootstrap_ci"](spark, FOLDER).collect()} == want
+    assert catalog.QUERIES["mc_cost"](spark, FOLDER).count() == 100_000
+    assert catalog.QUERIES["permutation_floor"](spark, FOLDER).select("seed").distinct().count() == 20
+    forest = learn.MODELS["forest"]()
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (500, 20)
