@@ -72,3 +72,24 @@ def test_draws_are_as_many_as_the_references(spark):
     assert catalog.QUERIES["permutation_floor"](spark, FOLDER).select("seed").distinct().count() == 20
     forest = learn.MODELS["forest"]()
     assert (forest.getNumTrees(), forest.getMaxDepth()) == (500, 20)
+
+
+def test_near_duplicates_equal_brute_force(spark, tmp_path):
+    import difflib
+    import itertools
+
+    signs = lambda a, b: "\n".join(chr(0x4E00 + i) for i in range(a, b))
+    base = signs(0, 300)
+    texts = [(1, base, "s"), (2, base, "r"), (3, signs(0, 290) + signs(900, 903), "s"), (4, signs(0, 290) + signs(900, 903), "r"), (5, signs(0, 210) + signs(500, 590), "s"), (6, signs(600, 630) + signs(30, 300), "s"), (7, base, "r")]
+    rows = [(i, x, s, "en") for i, x, s in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.a, r.b): r.ratio for r in catalog.QUERIES["near_dup_pairs"](spark, str(tmp_path)).collect()}
+    own = {}
+    for i, x, s, _ in rows:
+        own.setdefault((s, x), i)
+    want = {}
+    for ((s, x), i), ((r, y), j) in itertools.combinations(sorted(own.items(), key=lambda e: e[1]), 2):
+        ratio = difflib.SequenceMatcher(None, x, y).ratio()
+        if s == r and ratio >= 0.9:
+            want[i, j] = round(ratio, 6)
+    assert got == want and (2, 4) in want and (1, 3) in want and (1, 5) not in want
