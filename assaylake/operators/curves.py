@@ -47,31 +47,37 @@ def fit(dose: np.ndarray, response: np.ndarray, gates: Gates = CANONICAL) -> dic
     return fit_many([(dose, response)], gates)[0]
 
 
-def fit_many(groups: list[tuple[np.ndarray, np.ndarray]], gates: Gates = CANONICAL) -> list[dict | None]:
+def fit_many(groups: list[tuple], gates: Gates = CANONICAL) -> list[dict | None]:
     """Parameters of each group's curve, or None where a gate shuts. Doses that aren't over 0 and missing values don't count.
 
+    A group is its doses and responses; where a response is the mean of several, a third member has the rows (number, sum of
+    squares about the mean, least, greatest) of each, and the result is that of all points.
     All groups descend together, each with its own damping; groups of few points are padded to the longest.
     """
     out: list[dict | None] = [None] * len(groups)
     kept = []
-    for i, (dose, response) in enumerate(groups):
+    for i, (dose, response, *means) in enumerate(groups):
         x, y = np.asarray(dose, float), np.asarray(response, float)
+        w, about, lows, highs = np.asarray(means[0], float).T if means else (np.ones(len(y)), np.zeros(len(y)), y, y)
         ok = np.isfinite(x) & np.isfinite(y) & (x > 0)
-        x, y = x[ok], y[ok]
-        if len(x) < gates.least_points or gates.distinct_doses and len(np.unique(x)) < gates.least_points or np.ptp(y) < gates.least_range:
+        x, y, w, about = x[ok], y[ok], w[ok], about[ok].sum()
+        if w.sum() < gates.least_points or gates.distinct_doses and len(np.unique(x)) < gates.least_points:
+            continue
+        ends = lows[ok].min(), highs[ok].max()
+        if ends[1] - ends[0] < gates.least_range:
             continue
         if x.min() * gates.ic50[0] < x.max() * gates.ic50[1]:
-            kept.append((i, x, y))
+            kept.append((i, x, y, w, about, ends))
     if not kept:
         return out
-    n = np.array([len(x) for _, x, _ in kept])
+    n = np.array([len(x) for _, x, *_ in kept])
     xs, ys, ws = np.ones((len(kept), n.max())), np.zeros((len(kept), n.max())), np.zeros((len(kept), n.max()))
     start = np.empty((len(kept), 4))
-    for k, (_, x, y) in enumerate(kept):
-        xs[k, : n[k]], ys[k, : n[k]], ws[k, : n[k]] = x, y, 1.0
-        middle = np.sqrt(x.min() * x.max()) if gates.start == "geometric" else np.median(x)
-        start[k] = y.min(), np.ptp(y) if gates.span else y.max(), middle, 1.0
-    least, most = np.array([x.min() for _, x, _ in kept]), np.array([x.max() for _, x, _ in kept])
+    for k, (_, x, y, w, _, (lowest, highest)) in enumerate(kept):
+        xs[k, : n[k]], ys[k, : n[k]], ws[k, : n[k]] = x, y, np.sqrt(w)
+        middle = np.sqrt(x.min() * x.max()) if gates.start == "geometric" else _median(x, w)
+        start[k] = lowest, highest - lowest if gates.span else highest, middle, 1.0
+    least, most = np.array([x.min() for _, x, *_ in kept]), np.array([x.max() for _, x, *_ in kept])
     one = np.ones(len(kept))
     low = np.stack([gates.bottom[0] * one, gates.top[0] * one, np.log(least * gates.ic50[0]), np.log(gates.hill[0]) * one], axis=1)
     high = np.stack([gates.bottom[1] * one, gates.top[1] * one, np.log(most * gates.ic50[1]), np.log(gates.hill[1]) * one], axis=1)
@@ -85,16 +91,22 @@ def fit_many(groups: list[tuple[np.ndarray, np.ndarray]], gates: Gates = CANONIC
         else:
             best, error = np.where((e < error)[:, None], p, best), np.minimum(e, error)
     best[:, 2:] = np.exp(best[:, 2:])
-    for k, (i, x, y) in enumerate(kept):
-        total = float(((y - y.mean()) ** 2).sum())
-        r2 = 1 - float(error[k]) / total if total > 0 else 0.0
+    for k, (i, x, y, w, about, _) in enumerate(kept):
+        total = float((w * (y - (w * y).sum() / w.sum()) ** 2).sum() + about)
+        r2 = 1 - float(error[k] + about) / total if total > 0 else 0.0
         p = best[k]
         if gates.least_r2 is not None and r2 <= gates.least_r2 or gates.accept and not x.min() * gates.accept[0] <= p[2] <= x.max() * gates.accept[1]:
             continue
-        out[i] = {"bottom": float(p[0]), "top": float(p[1]), "ic50": float(p[2]), "hill": float(p[3]), "r2": r2, "n": len(x)}
+        out[i] = {"bottom": float(p[0]), "top": float(p[1]), "ic50": float(p[2]), "hill": float(p[3]), "r2": r2, "n": int(w.sum())}
     return out
 
 
+def _median(x: np.ndarray, w: np.ndarray) -> float:
+    """The median of x, each as often as w says."""
+    order, n = np.argsort(x), int(w.sum())
+    return float(x[order][np.searchsorted(np.cumsum(w[order]), [(n - 1) // 2, n // 2], side="right")].mean())
+
+
 def _descend(x, y, w, p, low, high, span: bool, rounds: int = 120) -> tuple[np.ndarray, np.ndarray]:
     """Damped least squares of many small problems at once; steps stay within bounds. Returns parameters and squared errors."""
     logs = np.log(x)
@@ -134,20 +146,22 @@ def _descend(x, y, w, p, low, high, span: bool, rounds: int = 120) -> tuple[np.n
 def fit_groups(df: DataFrame, keys: list[str], dose: str, response: str, gates: Gates = CANONICAL) -> DataFrame:
     """keys, ic50, bottom, top, hill, r2, n of each group whose curve counts.
 
-    Points are gathered per group in the JVM; a group of more than MOST_POINTS points is averaged by dose first, which
-    weighs each dose alike.
+    Points are gathered per group in the JVM; those of a group of more than MOST_POINTS are averaged by dose first, and each
+    mean counts as often as it has points, so that the curve, r2 and n are those of all points.
     """
     n = df.where(F.col(dose).isNotNull() & F.col(response).isNotNull())
     size = n.groupBy(*keys).agg(F.count("*").alias("__n"))
-    large = n.join(size.where(F.col("__n") > MOST_POINTS), keys, "left_semi").groupBy(*keys, dose).agg(F.avg(response).alias(response))
-    points = n.join(size.where(F.col("__n") <= MOST_POINTS), keys, "left_semi").select(*keys, dose, response).unionByName(large)
-    lists = points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(dose).cast("double").alias("x"), F.col(response).cast("double").alias("y")))).alias("xy"))
+    large = n.join(size.where(F.col("__n") > MOST_POINTS), keys, "left_semi").select(*keys, F.col(dose).cast("double").alias("x"), F.col(response).cast("double").alias("y"))
+    means = F.array(F.count("y").cast("double"), F.var_pop("y") * F.count("y"), F.min("y"), F.max("y"))
+    large = large.where(F.abs("y") < float("inf")).groupBy(*keys, "x").agg(F.avg("y").alias("m"), means.alias("z")).select(*keys, "x", F.col("m").alias("y"), "z")
+    points = n.join(size.where(F.col("__n") <= MOST_POINTS), keys, "left_semi").select(*keys, F.col(dose).cast("double").alias("x"), F.col(response).cast("double").alias("y"), F.lit(None).cast("array<double>").alias("z"))
+    lists = points.unionByName(large).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "y", "z"))).alias("xy"))
 
     @F.pandas_udf("struct<ic50:double,bottom:double,top:double,hill:double,r2:double,n:int>")
     def run(xy: pd.Series) -> pd.DataFrame:
         names, rows = ["ic50", "bottom", "top", "hill", "r2", "n"], []
         for k in range(0, len(xy), 500):
-            part = [(np.array([p["x"] for p in g], float), np.array([p["y"] for p in g], float)) for g in xy.iloc[k : k + 500]]
+            part = [(np.array([p["x"] for p in g], float), np.array([p["y"] for p in g], float), *([[p["z"] for p in g]] if g[0]["z"] is not None else [])) for g in xy.iloc[k : k + 500]]
             rows += [[f[c] if f else None for c in names] for f in fit_many(part, gates)]
         return pd.DataFrame(rows, columns=names)
 

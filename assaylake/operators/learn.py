@@ -27,10 +27,16 @@ def cross_validated(df: DataFrame, features: list[str], target: str, fold: str,
 def neighbours(queries: DataFrame, base: DataFrame, item: str, vector: str, k: int, most_queries: int = 10_000) -> DataFrame:
     """query, neighbour, similarity, place: the k nearest by cosine of each query row, itself not counted.
 
-    Queries are a stated set of at most most_queries rows, which is checked; they go to where the rows are, and partial top-k lists are merged.
+    Queries go to where the rows are, in blocks of some most_queries rows by a hash of their ids, and partial top-k lists are merged.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
+    blocks = -(-queries.count() // most_queries)
+    if blocks > 1:
+        of = F.pmod(F.xxhash64(item), F.lit(blocks))
+        return reduce(DataFrame.unionByName, [_neighbours(queries.where(of == i), base, item, vector, k) for i in range(blocks)])
+    return _neighbours(queries, base, item, vector, k)
+
+
+def _neighbours(queries: DataFrame, base: DataFrame, item: str, vector: str, k: int) -> DataFrame:
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     dot = F.aggregate(F.zip_with("u", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
     q = F.broadcast(queries.select(F.col(item).alias("query"), F.col(vector).alias("u")))

@@ -47,11 +47,25 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 MOST_BUCKET = 2000
 
 
+def by_rank(p: pd.DataFrame, q: pd.DataFrame, left_id: str, right_id: str) -> list[tuple[int, int]]:
+    """Index pairs of rows with equal values, then equal contexts, then of the rest, each in order of ids."""
+    p, q, pairs = p.sort_values(left_id), q.sort_values(right_id), []
+    for x, y in (("va", "vb"), ("ca", "cb")):
+        a, b = p[p[x].notna()], q[q[y].notna()]
+        a = pd.DataFrame({"v": a[x], "k": a.groupby(x).cumcount(), "i": a.index})
+        b = pd.DataFrame({"v": b[y], "k": b.groupby(y).cumcount(), "j": b.index})
+        same = a.merge(b, on=["v", "k"])
+        pairs += zip(same.i, same.j, strict=True)
+        p, q = p.drop(same.i), q.drop(same.j)
+    return [*pairs, *zip(p.index, q.index, strict=False)]
+
+
 def match_by_value(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, value: str, context: str) -> DataFrame:
     """keys, left_id, right_id, value_equal, context_equal: most equal values first, then most equal contexts, then the nearest ids.
 
     Records that agree in value and context are paired natively; only what is left of a bucket is assigned in Python, which bounds its cost
-    matrix; a bucket with more than MOST_BUCKET records left on a side is then paired by (value, context, id) in order.
+    matrix; in a bucket with more than MOST_BUCKET records left on a side, equal values are paired by rank of their ids, then equal
+    contexts of what is left, then the rest: as many equal values as the assignment has, though perhaps fewer equal contexts.
     """
     a = left.select(*keys, F.col(left_id), F.col(value).alias("va"), F.col(context).alias("ca"))
     b = right.select(*keys, F.col(right_id), F.col(value).alias("vb"), F.col(context).alias("cb"))
@@ -71,8 +85,7 @@ def match_by_value(left: DataFrame, right: DataFrame, keys: list[str], left_id:
         pairs: list = []
         if len(p) and len(q):
             if max(len(p), len(q)) > MOST_BUCKET:
-                i, j = p.sort_values(["va", "ca", left_id]).index, q.sort_values(["vb", "cb", right_id]).index
-                pairs = list(zip(i, j, strict=False))
+                pairs = by_rank(p, q, left_id, right_id)
             else:
                 v = p.va.to_numpy()[:, None] == q.vb.to_numpy()[None, :]
                 c = p.ca.to_numpy()[:, None] == q.cb.to_numpy()[None, :]

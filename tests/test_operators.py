@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assaylake.operators import audit, curves, dedup, folds, funnel, graph, joins, match, metrics, resample, topk
+from assaylake.operators import audit, curves, dedup, folds, funnel, graph, joins, learn, match, metrics, resample, topk
 from assaylake.sources import readers, sinks
 
 
@@ -257,3 +257,32 @@ def test_streamed_windows_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("windows")) == rows(events.windowed(table))
+
+
+def test_hot_buckets_have_most_equal_values(spark):
+    n = 900
+    a = spark.createDataFrame([("k", i, 1 + i % 3, "c") for i in range(3 * n)], "k string, g long, v long, c string")
+    b = spark.createDataFrame([("k", i, 2 + i % 3, "d") for i in range(3 * n)], "k string, f long, v long, c string")
+    out = match.match_by_value(a, b, ["k"], "g", "f", "v", "c").collect()
+    assert sum(bool(r.value_equal) for r in out) == 2 * n and len(out) == 3 * n
+    assert len({r.g for r in out}) == len({r.f for r in out}) == 3 * n
+
+
+@pytest.mark.parametrize("gates", [curves.CANONICAL, curves.FOUR_PARAMETER])
+def test_hot_groups_are_fitted_by_all_points(spark, monkeypatch, gates):
+    g = random.Random(5)
+    doses = [1.0, 3.0, 10.0, 30.0, 100.0, 300.0]
+    points = [("k", d, float(curves.curve(np.array([d]), np.array([5, 95, 20, 1.3]), False)[0]) + g.gauss(0, 6)) for m, d in enumerate(doses) for _ in range(3 + 11 * (m % 3))]
+    df = spark.createDataFrame(points, "k string, d double, r double")
+    whole = curves.fit_groups(df, ["k"], "d", "r", gates).first()
+    monkeypatch.setattr(curves, "MOST_POINTS", 10)
+    parts = curves.fit_groups(df, ["k"], "d", "r", gates).first()
+    assert parts.n == whole.n == len(points)
+    for c in ("ic50", "bottom", "top", "hill", "r2"):
+        assert parts[c] == pytest.approx(whole[c], rel=1e-3)
+
+
+def test_neighbours_in_blocks_are_the_same(spark):
+    g = random.Random(6)
+    df = spark.createDataFrame([(i, [g.random() for _ in range(4)]) for i in range(60)], "i long, v array<double>")
+    assert rows(learn.neighbours(df, df, "i", "v", 3, most_queries=17)) == rows(learn.neighbours(df, df, "i", "v", 3))
