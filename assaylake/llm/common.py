@@ -31,6 +31,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one call in the shared folder: written once, read by what follows, removed where nothing reads them any more.
+
+    A table that a returned, lazy result still reads has to stay; its folder is the caller's to clear with the checkpoints.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.held = spark, shared_dir(spark), {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables of this call; those it doesn't hold are left alone."""
+        for t in tables:
+            if found := self.held.pop(id(t), None):
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(found[1])
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,13 +68,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def chunk_count(df: DataFrame, column: str = "text", chunk_bytes: int = 8 << 20) -> int:
-    """How many chunks of about chunk_bytes the column makes; a multiple of the partitions, so that each gets some."""
-    parts = shuffle_partitions(df.sparkSession)
-    wanted = -(-text_bytes(df, column) // chunk_bytes)
+def chunk_count(spark: SparkSession, total_bytes: int, chunk_bytes: int = 4 << 20) -> int:
+    """How many chunks of about chunk_bytes so many bytes make; a multiple of the partitions, so that each gets some."""
+    parts = shuffle_partitions(spark)
+    wanted = -(-total_bytes // chunk_bytes)
     return parts * max(2, -(-wanted // parts))
 
 
+def bucket_count(spark: SparkSession, total_bytes: int, bucket_bytes: int = 8 << 20) -> int:
+    """How many ranges of hashes keep one range's share of so many bytes small, whatever the input's size; two a partition at least."""
+    return max(2 * shuffle_partitions(spark), -(-total_bytes // bucket_bytes))
+
+
 def chunk_of(doc_id: Column, text: Column, chunks: int) -> Column:
     """A chunk number from the row's content alone: the same in each attempt; copies of a text spread by their id."""
     return F.pmod(F.xxhash64(doc_id, F.xxhash64(text), F.lit(17)), F.lit(chunks).cast("long"))

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SEGMENT = 2 << 20
+SEGMENT = 1 << 18
 
 
 def _table(extra: list[tuple[int, int]]) -> np.ndarray:

@@ -4,11 +4,12 @@
    with a one-byte rank of the count. Shingles of one document alone can't be shared and rank first.
 2. In the order (rank, hash) any two sets that link share a shingle of their prefixes, of `size - ceil(75 % of size) + 1`.
    Equal sets collapse to a class, classes with equal prefixes and size to a group, which stands for them in the index.
-3. Pairs are looked for between groups of different components only. Star rounds first let each part of a
-   group meet one part that shares most prefix shingles with it; members are expanded and verified by the size of their
-   intersection, and links merge components. Then all pairs left, whose components differ, that share a prefix shingle and whose
-   sizes and the shingle's places fit are verified, by short hashes
-   first. So a large group of near copies costs a few links a member, and no link between components is lost.
+3. Pairs are looked for between groups of different components only. Star rounds first let each part of a group meet the part
+   that has the least before a shingle they share, the one nearest to what the group has in common; members are expanded and
+   verified by the size of their intersection, and links merge components. Then all pairs left, whose components differ, are
+   joined at the first prefix shingle they share, where sizes, the shingle's places and a bitmap of each set leave room for a
+   link, and verified, by short hashes first. So a large group of near copies costs a few links a member, and no link between
+   components is lost.
 """
 
 from __future__ import annotations
@@ -19,17 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import chunk_count, chunk_of, shared_dir, shuffle_partitions, table
+from .common import Scratch, bucket_count, chunk_count, chunk_of, table, text_bytes
 from .components import components
+from .memory import lean_cogroup, lean_group
 
 SHINGLE, PERCENT = 5, 75
-STAR_ROUNDS = 4
+STAR_ROUNDS = 6
+#: 64-bit words of a set's bitmap.
+BITS = 8
 SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("blob", pa.binary()), ("many", pa.binary()), ("counts", pa.binary())])
 SENT_SQL = "bucket long, chunk long, n long, blob binary, many binary, counts binary"
 RANKS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("ranks", pa.binary())])
 RANKS_SQL = "chunk long, bucket long, ranks binary"
-SETS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("size", pa.int64()), ("node", pa.binary()), ("group", pa.binary()), ("prefix", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
-SETS_SQL = "doc_id long, th long, size long, node binary, `group` binary, prefix array<long>, shared array<long>"
+SETS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("size", pa.int64()), ("node", pa.binary()), ("group", pa.binary()), ("prefix", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+SETS_SQL = "doc_id long, th long, size long, node binary, `group` binary, prefix array<long>, shared array<long>, bits array<long>"
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -68,7 +72,7 @@ def _count(n: int, buckets: int):
     return send
 
 
-def _rank(group: pa.Table) -> pa.Table:
+def _rank(_key: tuple, group: pa.Table) -> pa.Table:
     """For each chunk's shingles of one range of hashes: 0 where one document has it, else 1 and more as more have it."""
     rows = list(zip(*(group.column(c).to_pylist() for c in SENT.names), strict=True))
     value, count = [], []
@@ -92,6 +96,12 @@ def _rank(group: pa.Table) -> pa.Table:
     return _rows(replies, RANKS)
 
 
+def _bitmap(h: np.ndarray) -> np.ndarray:
+    """Which bits an odd number of hashes fall on: two sets' bitmaps differ in no more bits than the sets in elements."""
+    odd = np.bincount((h >> K.U(20) & K.U(64 * BITS - 1)).astype(np.int64), minlength=64 * BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(n: int, percent: int, buckets: int):
     def sets(key: tuple[pa.Scalar, ...], texts: pa.Table, replies: pa.Table) -> pa.Table:
         if not texts.num_rows:
@@ -114,19 +124,19 @@ def _sets(n: int, percent: int, buckets: int):
             a, b = bounds[i], bounds[i + 1]
             size = int(b - a)
             if not size:
-                out.append((doc, th, 0, b"none" + str(doc).encode(), None, None, None))
+                out.append((doc, th, 0, b"none" + str(doc).encode(), None, None, None, None))
                 continue
             node = one[a:b].sum(dtype=K.U).tobytes() + two[a:b].sum(dtype=K.U).tobytes()
             own = np.flatnonzero(rank[a:b]) + a
             least = -(-percent * size // 100)
             take = size - least + 1 - (size - len(own))
             if take <= 0:
-                out.append((doc, th, size, node, None, None, None))
+                out.append((doc, th, size, node, None, None, None, None))
                 continue
             own = own[np.lexsort((h[own], rank[own]))]
             prefix = own[:take]
             group = one[prefix].sum(dtype=K.U).tobytes() + two[prefix].sum(dtype=K.U).tobytes() + size.to_bytes(5, "little")
-            out.append((doc, th, size, node, group, h[prefix].view(np.int64), h[own].view(np.int64)))
+            out.append((doc, th, size, node, group, h[prefix].view(np.int64), h[own].view(np.int64), _bitmap(h[own])))
         return _rows(out, SETS)
 
     return sets
@@ -161,7 +171,7 @@ def _relabel(labels: DataFrame, links: DataFrame, write) -> DataFrame:
     return write(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
 
 
-def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS, chunk_bytes: int = 8 << 20) -> DataFrame:
+def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS, chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, th (hash of text), n_shingles, label for each row of docs (doc_id, text; others unread): rows that links reach have one label.
 
     Two texts link when 100 * |intersection| >= percent * |union| of their distinct shingles of lower-cased words. Fewer words than
@@ -169,60 +179,69 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, star
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks, buckets = chunk_count(docs, chunk_bytes=chunk_bytes), 2 * shuffle_partitions(spark)
-    root, step = shared_dir(spark), [0]
-
-    def write(df: DataFrame) -> DataFrame:
-        step[0] += 1
-        path = f"{root}/{step[0]}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+    total = text_bytes(docs)
+    chunks, buckets = chunk_count(spark, total, chunk_bytes), bucket_count(spark, total)
+    scratch = Scratch(spark)
+    write = scratch.write
 
     base = docs.withColumn("chunk", chunk_of(F.col("doc_id"), F.col("text"), chunks)).withColumn("th", F.xxhash64("text"))
-    ranks = base.groupBy("chunk").applyInArrow(_count(shingle, buckets), SENT_SQL).groupBy("bucket").applyInArrow(_rank, RANKS_SQL)
-    rows = write(base.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(_sets(shingle, percent, buckets), SETS_SQL))
-    nodes = write(rows.where(F.col("prefix").isNotNull()).groupBy("node", "size").agg(F.first("group").alias("group"), F.first("prefix").alias("prefix"), F.first("shared").alias("shared")))
-    groups = nodes.groupBy("group", "size").agg(F.first("prefix").alias("prefix"))
+    ranks = base.groupBy("chunk").applyInArrow(lean_group(_count(shingle, buckets)), SENT_SQL).groupBy("bucket").applyInArrow(lean_group(_rank), RANKS_SQL)
+    rows = write(base.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(lean_cogroup(_sets(shingle, percent, buckets)), SETS_SQL))
+    nodes = write(rows.where(F.col("prefix").isNotNull()).groupBy("node", "size").agg(*[F.first(c).alias(c) for c in ("group", "prefix", "shared", "bits")]))
+    ids = write(rows.select("doc_id", "th", F.col("size").alias("n_shingles"), "node"))
+    scratch.drop(rows)
+    # A bitmap speaks for a group only where the group is one set.
+    groups = nodes.groupBy("group", "size").agg(F.first("prefix").alias("prefix"), F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
     # A shingle's place in its set: the set's own shingles, which no other has, come before those of the prefix.
     own = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1 - F.size("prefix")
-    entries = groups.select("group", "size", own.alias("own"), F.posexplode("prefix").alias("i", "token")).select("group", "size", (F.col("own") + F.col("i")).alias("place"), "token")
+    entries = groups.select("group", "size", own.alias("own"), "bits", "prefix", F.posexplode("prefix").alias("i", "token"))
+    names = ["token", "group", "size", "own", "place", "prev", *(f"x{k}" for k in range(BITS))]
+    entries = entries.select("token", "group", "size", "own", (F.col("own") + F.col("i")).alias("place"), F.get("prefix", F.col("i") - 1).alias("prev"), *[F.get("bits", F.lit(k)).alias(f"x{k}") for k in range(BITS)])
     # A shingle that only one group has in its prefix pairs with nothing but within that group.
     wide = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    inner = nodes.groupBy("group", "size").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("group", "size").alias("token"), "group", "size", F.lit(0).cast("long").alias("place"))
-    index = write(entries.join(wide, "token").select("token", "group", "size", "place").unionByName(inner))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    inner = nodes.groupBy("group", "size").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("group", "size").alias("token"), "group", "size", zero.alias("own"), zero.alias("place"), *[none.alias(c) for c in names[5:]])
+    index = write(entries.join(wide, "token").select(*names).unionByName(inner))
     labels = write(nodes.select("node", F.col("node").alias("label")))
 
     for _ in range(star_rounds):
         parts, open_ = _open(nodes, index, labels)
-        hubs = open_.groupBy("token").agg(F.min(F.struct("label", "node", "size", "place")).alias("lo"), F.max(F.struct("label", "node", "size", "place")).alias("hi"))
-        hub = F.when(F.col("label") == F.col("lo.label"), F.col("hi")).otherwise(F.col("lo"))
-        met = open_.join(hubs, "token").select("group", "label", "size", "place", hub.alias("hub")).where(_fits("size", "hub.size", "place", "hub.place", percent))
+        hubs = open_.groupBy("token").agg(F.min(F.struct("place", "label", "node", "size")).alias("hub"))
+        met = open_.join(hubs, "token").where((F.col("label") != F.col("hub.label")) & _fits("size", "hub.size", "place", "hub.place", percent))
         met = met.select("group", "label", F.struct("hub.label", "hub.node", "hub.size").alias("hub"))
         best = met.groupBy("group", "label", "hub").agg(F.count("*").alias("n")).groupBy("group", "label").agg(F.max(F.struct("n", "hub")).alias("top"))
         pairs = best.join(parts, ["group", "label"]).select(F.col("node").alias("a"), F.col("top.hub.node").alias("b"), F.col("label").alias("la"), F.col("top.hub.label").alias("lb"))
         links = write(_links(pairs, nodes, percent).distinct())
-        labels = _relabel(labels, links, write)
         # Where a round joins few of the labels that are still open, the exact step has no more to do than another round.
-        if 10 * links.count() < open_.select("label").distinct().count():
+        few = 10 * links.count() < open_.select("label").distinct().count()
+        old, labels = labels, _relabel(labels, links, write)
+        scratch.drop(links, *([old] if old is not labels else []))
+        if few:
             break
 
     parts, open_ = _open(nodes, index, labels)
     main = open_.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "label")).alias("top")).select("token", F.col("top.label").alias("main"))
-    minor = open_.join(main, "token").where("label <> main").select("token", F.col("group").alias("ga"), F.col("label").alias("la"), F.col("size").alias("sa"), F.col("place").alias("pa"))
-    every = open_.select("token", F.col("group").alias("gb"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("place").alias("pb"))
-    met = minor.join(every, "token").where((F.col("la") != F.col("lb")) & _fits("sa", "sb", "pa", "pb", percent))
-    swap = F.col("la") > F.col("lb")
-    met = met.select(*[F.when(swap, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("gb", "ga", "ga"), ("lb", "la", "la"), ("ga", "gb", "gb"), ("la", "lb", "lb"))]).distinct()
+    sided = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("group", "label", *names[2:])]
+    minor = open_.join(main, "token").where("label <> main").select("token", "main", *sided("a"))
+    met = minor.join(open_.select("token", *sided("b")), "token").where(
+        # Two minor labels meet once; only where the shingle before is not the same, as the pair meets there otherwise.
+        ((F.col("label_b") == F.col("main")) | (F.col("label_a") < F.col("label_b"))) & ~F.coalesce(F.col("prev_a") == F.col("prev_b"), F.lit(False))
+        & _fits("size_a", "size_b", "place_a", "place_b", percent) & _alike(percent)
+    )
+    swap = F.col("label_a") > F.col("label_b")
+    names = (("group_b", "group_a", "ga"), ("label_b", "label_a", "la"), ("group_a", "group_b", "gb"), ("label_a", "label_b", "lb"))
+    met = met.select(*[F.when(swap, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in names]).distinct()
     left = parts.select(F.col("group").alias("ga"), F.col("label").alias("la"), F.col("node").alias("a"))
     right = parts.select(F.col("group").alias("gb"), F.col("label").alias("lb"), F.col("node").alias("b"))
     pairs = met.join(left, ["ga", "la"]).join(right, ["gb", "lb"]).select("a", "b", "la", "lb")
-    labels = _relabel(labels, write(_links(_near(pairs, nodes, percent), nodes, percent).distinct()), write)
+    links = write(_links(_near(pairs, nodes, percent), nodes, percent).distinct())
+    old, labels = labels, _relabel(labels, links, write)
+    scratch.drop(links, index, nodes, *([old] if old is not labels else []))
 
-    own = rows.select("doc_id", "th", F.col("size").alias("n_shingles"), "node").join(labels, "node", "left")
-    return own.select("doc_id", "th", "n_shingles", F.coalesce("label", "node").alias("label"))
+    return ids.join(labels, "node", "left").select("doc_id", "th", "n_shingles", F.coalesce("label", "node").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS, chunk_bytes: int = 8 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS, chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs, by `linked`.
 
     component_id is the smallest doc_id that links reach; a null id is never the smallest unless all are null.
@@ -238,6 +257,12 @@ def _fits(a: str, b: str, place_a: str, place_b: str, percent: int):
     return (100 + percent) * F.least(a, b, a - place_a, b - place_b) >= percent * (a + b)
 
 
+def _alike(percent: int):
+    """Whether the sets of entries a and b can link for all that their bitmaps and the shingles that no other set has tell; no bitmap tells nothing."""
+    apart = sum((F.bit_count(F.col(f"x{k}_a").bitwiseXOR(F.col(f"x{k}_b"))) for k in range(BITS)), F.col("own_a") + F.col("own_b"))
+    return F.coalesce((100 + percent) * apart <= (100 - percent) * (F.col("size_a") + F.col("size_b")), F.lit(True))
+
+
 def _open(nodes: DataFrame, index: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members of groups with their labels, and the index entries of parts of groups (one row a label, with a member) whose shingle has more than one label."""
     parts = nodes.select("node", "group", "size").join(labels, "node")

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import chunk_count, chunk_of, shuffle_partitions, table
+from .common import bucket_count, chunk_count, chunk_of, table, text_bytes
+from .memory import lean_cogroup, lean_group
 
 WINDOW = 35
 SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("blob", pa.binary()), ("flags", pa.binary()), ("extra", pa.binary())])
@@ -86,7 +87,7 @@ def _probe(window: int, buckets: int):
     return send
 
 
-def _meet(group: pa.Table) -> pa.Table:
+def _meet(_key: tuple, group: pa.Table) -> pa.Table:
     """Anchors of one range of hashes: an aligned block, and another place with the same hash."""
     rows = [(c, b, n, K.unpack(v, 6), _flags(f, n, 0), _flags(f, n, 1)) for b, c, n, v, f in zip(*(group.column(x).to_pylist() for x in ("bucket", "chunk", "n", "blob", "flags")), strict=True)]
     values, aligned, many = (np.concatenate([r[k] for r in rows]) for k in (3, 4, 5))
@@ -129,7 +130,7 @@ def _extend(window: int, buckets: int):
     return send
 
 
-def _repeats(group: pa.Table) -> pa.Table:
+def _repeats(_key: tuple, group: pa.Table) -> pa.Table:
     """Windows of one range of hashes that occur more than once; what chunks carry for themselves passes through."""
     every = list(zip(*(group.column(x).to_pylist() for x in ("bucket", "chunk", "n", "blob", "flags", "extra")), strict=True))
     carried = [(c, CARRY, n, v) for _, c, n, v, _, _ in every if n == CARRY]
@@ -192,7 +193,7 @@ def _joined(raw: np.ndarray, words: K.Words, a: int, b: int) -> bytes:
     return b" ".join([raw[i:j].tobytes() for i, j in zip(s.tolist(), e.tolist(), strict=True)])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True, chunk_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True, chunk_bytes: int = 4 << 20) -> DataFrame:
     """Per row of docs (doc_id, text, any other columns): words, words removed, and what is kept.
 
     A word goes if any `window` consecutive words around it also start anywhere else, in this text or another; windows
@@ -202,13 +203,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     spark = docs.sparkSession
     # Only these columns leave the reader.
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks, buckets = chunk_count(docs, chunk_bytes=chunk_bytes), 2 * shuffle_partitions(spark)
+    total = text_bytes(docs)
+    chunks, buckets = chunk_count(spark, total, chunk_bytes), bucket_count(spark, total)
     base = docs.withColumn("chunk", chunk_of(F.col("doc_id"), F.col("text"), chunks))
-    sent = base.groupBy("chunk").applyInArrow(_probe(window, buckets), SENT_SQL)
-    anchors = sent.groupBy("bucket").applyInArrow(_meet, REPLY_SQL)
-    long = base.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_extend(window, buckets), SENT_SQL)
-    repeats = long.groupBy("bucket").applyInArrow(_repeats, REPLY_SQL)
-    return base.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(_cut(window, buckets, with_text), RESULT_SQL)
+    sent = base.groupBy("chunk").applyInArrow(lean_group(_probe(window, buckets)), SENT_SQL)
+    anchors = sent.groupBy("bucket").applyInArrow(lean_group(_meet), REPLY_SQL)
+    long = base.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(lean_cogroup(_extend(window, buckets)), SENT_SQL)
+    repeats = long.groupBy("bucket").applyInArrow(lean_group(_repeats), REPLY_SQL)
+    return base.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(lean_cogroup(_cut(window, buckets, with_text)), RESULT_SQL)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
