@@ -25,15 +25,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
-from .common import shuffle_partitions, table
+from .common import shuffle_partitions, table, text_bytes
+from .memory import lean
 
 LENGTH = 2048
 END = 1
 DIMENSIONS = 4
 BITS = 8
+#: Text that a task packs, at most some times that where one text is longer.
+PARTITION_BYTES = 128 << 20
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECES_SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     """Place on the Hilbert curve of each row of whole numbers under 2**bits (transposed axes, then their bits in turn)."""
     x = points.astype(np.int64).T.copy()
@@ -92,8 +96,8 @@ class Ids:
     """Token ids (little-endian unsigned 32-bit) of texts, as `tokenizers` makes them from a byte-level BPE file.
 
     Where the file's merges are in the order of their ids, merging by the lowest id is the same thing; the vocabulary then
-    runs in a faster library, and tests hold its ids against those of `tokenizers`. Any other file is left to `tokenizers`.
-    Strings of special tokens in a text are ordinary text.
+    runs in a faster library, and tests hold its ids against those of `tokenizers`. Any other file, and any text that holds a
+    string of an added token, which `tokenizers` turns into that token, is left to `tokenizers`.
     """
 
     def __init__(self, path: str):
@@ -101,24 +105,23 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         model = json.loads(self.tokenizer.to_str())
         vocabulary = model["model"].get("vocab", {})
         merged = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1), -1) for m in model["model"].get("merges", ())]
         split = (model.get("pre_tokenizer") or {}) | {"trim_offsets": None}
         plain = model.get("normalizer") is None and split == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": None, "use_regex": True}
-        self.fast = None
+        self.fast, self.added = None, [t["content"] for t in model["added_tokens"]]
         if plain and merged and merged == sorted(merged):
             import tiktoken
             from public_tokenizers import PATTERN
 
-            special = {t["content"] for t in model["added_tokens"]}
             byte = {c: b for b, c in _visible().items()}
-            ranks = {bytes(byte[ord(c)] for c in t): i for t, i in vocabulary.items() if t not in special}
+            ranks = {bytes(byte[ord(c)] for c in t): i for t, i in vocabulary.items() if t not in self.added}
             self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        ids = self.fast.encode_ordinary(text) if self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
+        fast = self.fast and not any(t in text for t in self.added)
+        ids = self.fast.encode_ordinary(text) if fast else self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
 
@@ -207,10 +210,11 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
     `end`. Rows that repeat are packed as often as they are there; a null id stays null; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = rows.mapInArrow(_keyed, T.StructType([*rows.schema.fields, T.StructField("key", T.LongType())]))
+    keyed = rows.mapInArrow(lean(_keyed), T.StructType([*rows.schema.fields, T.StructField("key", T.LongType())]))
     spread = keyed.withColumn("salt", F.xxhash64("doc_id"))
-    dealt = spread.repartitionByRange(shuffle_partitions(docs.sparkSession), "key", "salt").sortWithinPartitions("key", "text", "salt", "doc_id")
-    return dealt.select("doc_id", "text").mapInArrow(_pack(tokenizer, length, end), PIECES_SQL)
+    parts = max(shuffle_partitions(docs.sparkSession), -(-text_bytes(rows) // PARTITION_BYTES))
+    dealt = spread.repartitionByRange(parts, "key", "salt").sortWithinPartitions("key", "text", "salt", "doc_id")
+    return dealt.select("doc_id", "text").mapInArrow(lean(_pack(tokenizer, length, end)), PIECES_SQL)
 
 
 def tokenizer_path() -> str:
