@@ -9,13 +9,12 @@ the same records. Each response is handled alone, in batches; there is no shuffl
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
-import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .memory import lean
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -73,10 +73,27 @@ def get(fields: list[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in fields if k.lower() == name.lower()), None)
 
 
+def _members(raw: bytes) -> tuple[bytes, str | None]:
+    """What the whole gzip members hold, up to the first that is damaged or breaks off, and what is wrong with that."""
+    out: list[bytes] = []
+    while raw.rstrip(b"\0"):
+        member = zlib.decompressobj(31)
+        try:
+            got = member.decompress(raw)
+        except zlib.error as e:
+            return b"".join(out), f"gzip member {len(out)}: {e}"
+        if not member.eof:
+            return b"".join(out), f"gzip member {len(out)} breaks off"
+        out.append(got)
+        raw = member.unused_data
+    return b"".join(out), None
+
+
 def read_records(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """Header fields and block of each record of a file's bytes, plain or of gzip members. A record that breaks off raises ValueError."""
+    """Header fields and block of each record of a file's bytes, plain or of gzip members. A record that breaks off, or a damaged member, raises ValueError after the records before it."""
+    damage = None
     if raw[:2] == b"\x1f\x8b":
-        raw = gzip.GzipFile(fileobj=io.BytesIO(raw)).read()
+        raw, damage = _members(raw)
     at = 0
     while at < len(raw):
         end = raw.find(b"\r\n\r\n", at)
@@ -90,6 +107,8 @@ def read_records(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
         at = end + 4 + int(size)
         while raw.startswith(b"\r\n", at):
             at += 2
+    if damage:
+        raise ValueError(damage)
 
 
 def response_record(page_id: int | None, url: str | None, page: str | None, date: str = DATE) -> bytes:
@@ -173,7 +192,7 @@ def _derivatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for fields, block in read_records(record or b""):
                         for own, raw in derive(fields, block):
                             out.append((page_id, get(own, "WARC-Type"), get(own, "WARC-Record-ID"), get(own, "WARC-Refers-To"), get(own, "WARC-Target-URI"), get(own, "WARC-Date"), get(own, "WARC-Block-Digest"), get(own, "WARC-Payload-Digest"), len(raw), raw.decode("utf-8", "replace"), None))
-                except (ValueError, EOFError, OSError) as e:
+                except ValueError as e:
                     out.append((page_id, *[None] * 9, str(e)))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out) if out else [()] * len(RECORDS), RECORDS, strict=True)], schema=RECORDS)
 
@@ -184,7 +203,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     Two rows per response; none for other records, nulls and empty bytes; one row with `error` where bytes are no WARC or break off,
     after those of the records before. Rows that repeat give the same derivatives again.
     """
-    return records.select(F.col("page_id").cast("long").alias("page_id"), F.col("record").cast("binary").alias("record")).mapInArrow(_derivatives, RECORDS_SQL)
+    return records.select(F.col("page_id").cast("long").alias("page_id"), F.col("record").cast("binary").alias("record")).mapInArrow(lean(_derivatives), RECORDS_SQL)
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +217,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def responses(pages: DataFrame) -> DataFrame:
     """page_id, record: each row of pages (page_id, url, html) as a WARC response record; nulls are empty."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_store, "page_id long, record binary")
+    return rows.mapInArrow(lean(_store), "page_id long, record binary")
 
 
 def op8_warc_derivatives(spark, sf_dir: str) -> DataFrame:
