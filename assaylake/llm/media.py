@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .common import shared_dir, table
+from .memory import lean
 
 WIDTH = 576
 TAIL = 32
@@ -36,7 +37,7 @@ TRIES = 4
 MEMBER = struct.Struct("<4sB3xqQIQ")  # mark, has an id, id, bytes of the source, CRC-32 of the media, its length
 TRAILER = struct.Struct("<QQ8s")  # directory's offset, members, mark
 MARK, END = b"MEMB", b"MEDIAEND"
-MANIFEST = "_committed.json"
+MANIFEST = ".committed.json"
 ROWS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 FEATURES_SQL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -91,6 +92,17 @@ def feature(payload: bytes) -> str:
     return f"{len(x) // WIDTH}:{total * 1000 // len(x)}:{np.packbits(bright).tobytes().hex()}"
 
 
+def _manifests(files, root: str) -> list[str]:
+    """The folder's manifests, one for each commit that added to it."""
+    found = files.get_file_info(fs.FileSelector(root))
+    return sorted(x.path for x in found if x.is_file and x.path.endswith(MANIFEST))
+
+
+def _listed(files, path: str) -> list[dict]:
+    with files.open_input_stream(path) as source:
+        return json.loads(source.read())
+
+
 @dataclass
 class Committed(WriterCommitMessage):
     file: str | None
@@ -99,8 +111,8 @@ class Committed(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Committed:
         files, root = fs.FileSystem.from_uri(self.path)
@@ -124,9 +136,15 @@ class Writer(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         files, root = fs.FileSystem.from_uri(self.path)
         files.create_dir(root, recursive=True)
+        before = _manifests(files, root) if self.overwrite else []
         listed = [{"file": m.file, "size": m.size, "members": m.members} for m in messages if m is not None and m.file]
-        with files.open_output_stream(f"{root}/{MANIFEST}") as sink:
+        with files.open_output_stream(f"{root}/{uuid.uuid4().hex}{MANIFEST}") as sink:
             sink.write(json.dumps(sorted(listed, key=lambda x: x["file"])).encode())
+        for path in before:
+            own = _listed(files, path)
+            files.delete_file(path)
+            for x in own:
+                files.delete_file(f"{root}/{x['file']}")
 
     def abort(self, messages: list) -> None:
         files, root = fs.FileSystem.from_uri(self.path)
@@ -152,8 +170,7 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         files, root = fs.FileSystem.from_uri(self.path)
-        with files.open_input_stream(f"{root}/{MANIFEST}") as source:
-            listed = json.loads(source.read())
+        listed = [x for path in _manifests(files, root) for x in _listed(files, path)]
         found = [Range(x["file"], a, min(a + self.range_bytes, x["size"])) for x in listed for a in range(0, x["size"], self.range_bytes)]
         return found or [Range("", 0, 0)]
 
@@ -242,7 +259,7 @@ class MediaArchive(DataSource):
         return Reader(self.options["path"], int(self.options.get("rangebytes", RANGE_BYTES)))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> Writer:
-        return Writer(self.options["path"])
+        return Writer(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -278,7 +295,7 @@ def media_features(docs: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(docs.sparkSession)}/media"
     write_media(docs, path)
-    return read_media(docs.sparkSession, path).mapInArrow(_describe, FEATURES_SQL)
+    return read_media(docs.sparkSession, path).mapInArrow(lean(_describe), FEATURES_SQL)
 
 
 def op5_media_columns(spark, sf_dir: str) -> DataFrame:
