@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .memory import lean
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -76,6 +77,11 @@ class Lines(HTMLParser):
         self.guessed: list[list] = []
         self.mass = 0.0
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """What begins with <![ ends at the next >, as browsers have it; the library stops the parser at unknown words."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def _line(self) -> None:
         text = " ".join("".join(self.text).split())
         for within, size in [*self.lost, ((), len(text) if not self.dropped else 0)]:
@@ -109,6 +115,8 @@ class Lines(HTMLParser):
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 drop = True
         kind = "main" if role else tag
+        if tag == "header" and any(t in MAIN for t, *_ in self.open):
+            drop = False  # an article's own, with its title
         self.sure += drop
         number, which = -1, -1
         if guess and not drop and not self.sure:
@@ -247,7 +255,7 @@ def extract(pages: DataFrame) -> DataFrame:
     A null, empty or textless page has the empty text; null ids and urls stay; rows that repeat give as many rows.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_extract, RESULT_SQL)
+    return rows.mapInArrow(lean(_extract), RESULT_SQL)
 
 
 def op3_html_extraction(spark, sf_dir: str) -> DataFrame:
