@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
-from .common import table, text_bytes
+from .common import Scratch, table, text_bytes
+from .memory import lean
 
 WINDOW = 10
 SAMPLE = 8
@@ -260,9 +261,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with
         schema = schema.add(docs.schema[CARRIED])
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     blocks = max(1, -(-text_bytes(items) // block_bytes))
+    scratch = Scratch(docs.sparkSession)
     for b in range(blocks):
+        # One block of items at a time is on the driver and in the workers; what is found with it is written before the next.
         own = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()]
-        docs = docs.mapInArrow(_scan(Phrases(own, window), b == 0, b == blocks - 1 and not with_text), schema)
+        docs = docs.mapInArrow(lean(_scan(Phrases(own, window), b == 0, b == blocks - 1 and not with_text)), schema)
+        if b < blocks - 1:
+            before, docs = docs, scratch.write(docs)
+            scratch.drop(before)
     return docs
 
 

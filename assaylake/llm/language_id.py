@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
+from .memory import lean
 
 SAMPLE_DOCS = 80
 DICTIONARY_BYTES = 112_000
@@ -141,7 +142,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
                 new = [pa.array(c, type=t) for c, t in zip(found, (pa.string(), pa.float64(), pa.int64(), pa.bool_()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *PREDICTED.fields]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *PREDICTED.fields]))
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

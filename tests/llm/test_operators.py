@@ -187,6 +187,35 @@ def test_broken_pages_do_not_stop(spark):
     assert len(out) == 12 and all(r.n_chars == len(r.text) for r in out)
 
 
+CASES = {
+    "has-sidebar": f'<div class="site has-sidebar"><main>{TEXT}</main></div>',
+    "form": f'<form id="aspnetForm"><article>{TEXT}</article></form>',
+    "own header": f"<header><p>site</p></header><article><header><h1>Head</h1></header>{TEXT}<footer>by</footer></article>",
+    "two articles": f"<article>{TEXT}</article><article>{TEXT}</article>",
+    "odd marks": f"<body><![foo[x]]><!doctype x [<!ELEMENT y>]><article>{TEXT}</article><![endif]></body>",
+    "no article": f"<body><nav>{'<a href=x>m</a>' * 9}</nav><div id=page>{TEXT}</div><div class=sidebar><a href=y>z</a></div></body>",
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_named_cases(name):
+    blocks = [f"{f'plain words of length {i} here ' * 6}".strip() for i in range(6)]
+    want = {"own header": ["Head", *blocks], "two articles": blocks * 2}.get(name, blocks)
+    assert html_extract.main_text(CASES[name]) == want
+
+
+def test_pages_equal_a_plain_version(spark):
+    """Where the page is as the table's pages are, the article's blocks by pattern."""
+    import html
+    import re
+
+    block = re.compile(r"<(?:/?(?:h1|p|article)[^>]*)>")
+    for r in html_extract.extract(pages := spark.read.parquet(f"{SMALL}/pages.parquet")).join(pages.select("page_id", "html"), "page_id").collect():
+        body = re.search(r"<article>(.*?)</article>", r.html, re.DOTALL)[1]
+        found = [" ".join(html.unescape(re.sub("<[^>]*>", "", re.sub("<br>", " ", x))).split()) for x in block.split(body)]
+        assert r.text == "\n\n".join(x for x in found if x)
+
+
 def test_pages_query(spark):
     out = html_extract.op3_html_extraction(spark, SMALL).collect()
     assert out and all(r.n_chars == len(r.text) and r.n_blocks > 0 for r in out)
@@ -238,6 +267,27 @@ def test_dictionaries_hold_whole_distinct_texts(spark):
     assert b"copy of one text with many words here" in model["z"]
 
 
+def test_languages_equal_a_plain_version(spark):
+    """The smallest of one compression a block, and ties and narrow margins as documented."""
+    import re
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    learned = language_id.train(docs)
+    extra = spark.createDataFrame([(-1, "12 34"), (-2, ""), (-3, None), (-4, "zz qq xx " * 3000), (-5, "a")], "doc_id long, text string")
+    coders = {k: zstandard.ZstdCompressor(level=5, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for k, v in learned.items()}
+    for r in language_id.predict(docs.select("doc_id", "text").limit(60).unionByName(extra), learned).collect():
+        raw = (re.sub(r"[\W\d_]+", " ", (r.text or "").lower()) + " ").encode()
+        if not raw.strip():
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        sizes = {k: sum(len(c.compress(raw[i : i + 8192])) for i in range(0, len(raw), 8192)) for k, c in coders.items()}
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[r.lang_pred] == best and r.lang_pred == min(k for k in sizes if sizes[k] == best)
+        assert r.margin == second - best and r.rejected == (second - best < 0.03 * best)
+
+
 # 5
 
 
@@ -278,6 +328,35 @@ def test_members_are_tried_again():
         media.from_png(b"x" * 40)
 
 
+def test_appended_archives_are_all_read(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/media", "doc_id long, text string"
+    for k in (0, 10, 20):
+        media.write_media(spark.createDataFrame([(k + 1, "one"), (k + 2, None)], schema), path)
+    assert rows(media.read_media(spark, path).select("doc_id")) == sorted([(k + i,) for k in (0, 10, 20) for i in (1, 2)], key=str)
+    spark.createDataFrame([(7, "x")], schema).write.format("media_archive").mode("overwrite").save(path)
+    assert rows(media.read_media(spark, path).select("doc_id")) == [(7,)]
+
+
+def test_stored_form_and_feature_equal_a_plain_version(odd, odd_rows):
+    import re
+    import struct
+
+    own = {}
+    for _, t in odd_rows:
+        raw = (t or "").encode()
+        p = raw + b"\xff" * (576 - len(raw) % 576 if len(raw) % 576 or not raw else 0)
+        n, step, total = len(p), len(p) // 64, sum(p)
+        cells = [p[i * step : (i + 1) * step if i < 63 else n] for i in range(64)]
+        bits = "".join("1" if sum(c) * n > total * len(c) else "0" for c in cells)
+        own[hashlib.sha256(p).hexdigest()] = f"{n // 576}:{total * 1000 // n}:{int(bits, 2):016x}"
+    for r in media.media_features(odd).collect():
+        assert r.feature == own[r.payload_sha256]
+    png = media.to_png(p := bytes(range(256)) * 9)
+    width, height = struct.unpack(">II", png[16:24])
+    lines = zlib.decompress(re.search(rb"IDAT(.*)....\x00\x00\x00\x00IEND", png, re.DOTALL)[1])
+    assert b"".join(lines[i * (width + 1) + 1 : (i + 1) * (width + 1)] for i in range(height)) == p
+
+
 # 6
 
 
@@ -337,11 +416,23 @@ def test_packing_holds_each_id_once(spark, odd, odd_rows, empty):
 
 
 def test_fast_ids_are_those_of_the_tokenizer(odd_rows):
-    ids = packing.Ids(packing.tokenizer_path())
+    from tokenizers import Tokenizer
+
+    ids, plain = packing.Ids(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
     texts = [t or "" for _, t in odd_rows] + ["a  b\n\n c \n it'll 12ab3 ²x ½ “q” <|endoftext|>\t\x0b z​　 ", " lead", "trail ", "́é", "ﬁ ǅ ٣", "🙂🙂 x"]
     assert ids.fast is not None
     for t in texts:
-        assert ids.encode(t) == np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert ids.encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(ids.encode("hi <|endoftext|> there")) == 4 * len(plain.encode("hi <|endoftext|> there", add_special_tokens=False).ids) < 4 * 9
+
+
+def test_ids_of_special_strings_are_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    texts = [(1, "hi <|endoftext|> there"), (2, "<|endoftext|><|endoftext|>"), (3, "plain")]
+    plain = Tokenizer.from_file(packing.tokenizer_path())
+    out = packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), packing.tokenizer_path())
+    assert dict(rows(out.select("doc_id", "doc_tokens").distinct())) == {i: len(plain.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts}
 
 
 def test_curve_steps_are_neighbours():
@@ -380,6 +471,15 @@ def test_odd_records(spark):
     assert sorted(r.page_id for r in out.where("error IS NOT NULL").collect()) == [4, 5]
 
 
+def test_damaged_members_are_errors(spark):
+    import gzip
+
+    one, two = gzip.compress(warc.response_record(1, "http://a", "x" * 500)), bytearray(gzip.compress(warc.response_record(2, "http://b", PAGE)))
+    two[len(two) // 2] ^= 0xFF
+    out = warc.derivatives(spark.createDataFrame([(1, bytearray(one) + two), (2, bytearray(one[:-20])), (3, bytearray(b"\x1f\x8bjunk"))], "page_id long, record binary"))
+    assert rows(out.groupBy("page_id").agg(F.count("warc_type"), F.count("error"))) == [(1, 2, 1), (2, 0, 1), (3, 0, 1)]
+
+
 def test_warc_query(spark):
     out = warc.op8_warc_derivatives(spark, SMALL)
     assert out.count() == 2 * spark.read.parquet(f"{SMALL}/pages.parquet").count() and out.where("error IS NOT NULL").count() == 0
@@ -414,6 +514,37 @@ def test_lines_equal_brute_force(spark, least):
     assert {r.doc_id: r.text_kept for r in out.collect()} == plain_lines(docs, least)
 
 
+def test_ranks_are_those_of_sorted_suffixes(spark):
+    """Order by line numbers, whatever the ranks themselves are; equal suffixes have one rank."""
+    g = random.Random(5)
+    runs = list(dict.fromkeys(tuple(g.randrange(3) for _ in range(g.randrange(1, 30))) for _ in range(40))) + [(2,) * 70, (0, 1) * 30]
+    table = spark.createDataFrame([(k, 0, [100 * 10**3 * x for x in run]) for k, run in enumerate(runs)], "k1 long, k2 long, ids array<long>")
+    got = {(r.k1, r.i): r.r for r in line_dedup.suffix_array(table, line_dedup.Scratch(spark)).collect()}
+    places = [(k, i) for k, run in enumerate(runs) for i in range(len(run))]
+    assert got.keys() == set(places)
+    order = sorted(places, key=lambda p: runs[p[0]][p[1] :])
+    for p, q in zip(order, order[1:]):
+        same = runs[p[0]][p[1] :] == runs[q[0]][q[1] :]
+        assert got[p] == got[q] if same else got[p] < got[q]
+
+
+def test_deletion_reads_the_array(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a\nb\nu1\nc\nd"), (2, "a\nb\nu2\nd\nc"), (3, "c\nd\na\nb")], "doc_id long, text string")
+    assert {r.doc_id: r.text_kept for r in line_dedup.dedup_lines(docs, 2).collect()} == {1: "a\nb\nu1\nc\nd", 2: "u2\nd\nc", 3: ""}
+    whole = line_dedup.suffix_array
+    monkeypatch.setattr(line_dedup, "suffix_array", lambda s, scratch: whole(s, scratch).withColumn("r", F.xxhash64("k1", "i")))
+    assert {r.doc_id: r.text_kept for r in line_dedup.dedup_lines(docs, 2).collect()} != {1: "a\nb\nu1\nc\nd", 2: "u2\nd\nc", 3: ""}
+
+
+def test_hot_lines_equal_brute_force(spark):
+    """A line in all documents, one in a third of them, and a group of copies."""
+    g = random.Random(8)
+    docs = [(i, "\n".join([f"u{i}", "hot", *(["warm", f"v{i % 7}", "hot"] if i % 3 == 0 else []), f"w{g.randrange(40)}", "hot"])) for i in range(400)]
+    docs += [(1000 + i, docs[0][1] + "\nx\ny") for i in range(50)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), 2)
+    assert {r.doc_id: r.text_kept for r in out.collect()} == plain_lines(docs, 2)
+
+
 def test_lines_query(spark, duck, odd, empty):
     assert rows(line_dedup.op9_line_dedup(spark, SMALL)) == sorted(duck.execute(line_dedup.OP9_SQL).fetchall(), key=str)
     assert line_dedup.dedup_lines(odd).count() == odd.count() and line_dedup.dedup_lines(empty).count() == 0
@@ -440,6 +571,18 @@ def test_clusters_link_as_brute_force(spark, seed):
     assert rows(ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute.components(docs)
 
 
+def test_a_hot_passage_links_as_brute_force(spark):
+    """Some 800 different sets share one passage; their similarities lie about the threshold."""
+    g, docs = random.Random(6), []
+    passage = [f"p{i}" for i in range(60)]
+    for k in range(800):
+        docs.append((k, " ".join([*passage, *(f"u{k}x{i}" for i in range(g.randrange(4, 22)))])))
+    for k in range(60):
+        docs.append((1000 + k, " ".join(f"z{k}" if i == k else x for i, x in enumerate(passage * 2))))
+    assert rows(ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), star_rounds=1)) == brute.components(docs)
+    assert rows(ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute.components(docs)
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 50), (60, 61)], "a long, b long")
     assert dict(rows(components.components(e))) == {**{i: 0 for i in range(1, 31)}, 61: 60}
