@@ -124,7 +124,10 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     first = distinct.join(firsts, STRETCH, "left").select(*DOC, "start", gone.alias("gone"))
     copy = F.when(F.size("ids") >= min_lines, F.sequence(F.lit(0), F.size("ids") - 1)).otherwise(F.array().cast("array<int>"))
     found = every.join(first, [*DOC, "start"], "left").select(*DOC, F.transform(F.coalesce("gone", copy), lambda j: j + F.col("start")).alias("gone"))
-    return found.where(F.size("gone") > 0).groupBy(*DOC).agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    # Written, so that the join that follows knows its size: where that is small, the texts need no shuffle.
+    out = scratch.write(found.where(F.size("gone") > 0).groupBy(*DOC).agg(F.flatten(F.collect_list("gone")).alias("gone")))
+    scratch.drop(every, distinct, array)
+    return out
 
 
 def _bound(value: Column, f) -> Column:
