@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-MIN_LINES = 2
+#: A licence line between lines of a document's own, or a document of one line, is a run too.
+MIN_LINES = 1
 #: Ranges that numbers are dealt into, so that running sums need no single task over all rows.
 RANGES = 4096
 DOC, STRETCH = ["d", "th"], ["k1", "k2"]
@@ -171,12 +172,8 @@ WITH l AS (
 ), o AS (
   SELECT doc_id, idx, line, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS pos
   FROM l WHERE translate(line, ' ' || chr(9) || chr(13), '') <> ''
-), w AS (
-  SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM o
-), c AS (
-  SELECT doc_id, idx, pos, nxt IS NOT NULL AND row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, pos) > 1 AS later FROM w
 ), g AS (
-  SELECT doc_id, idx, later OR coalesce(lag(later) OVER (PARTITION BY doc_id ORDER BY pos), false) AS gone FROM c
+  SELECT doc_id, idx, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AS gone FROM o
 ), k AS (
   SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (coalesce(gone, false)) AS n_removed,
          coalesce(string_agg(line, chr(10) ORDER BY l.idx) FILTER (NOT coalesce(gone, false)), '') AS kept
