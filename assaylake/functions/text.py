@@ -56,15 +56,20 @@ def species(c: Column) -> Column:
     return reduce(lambda rest, k: F.when(p.rlike(rf"\b{k[0]}\b"), k[1]).otherwise(rest), reversed(SPECIES), p)
 
 
+def ascii_signs(c: Column) -> Column:
+    """Typographic minus signs and dashes as hyphens; soft hyphens go."""
+    return F.translate(c, "\u2212\u2013\u2014\u2010\u00ad", "----")
+
+
 def scalar(c: Column) -> Column:
     """A number as it is printed; else the first number in the text; null for signs of a missing one."""
-    t = F.trim(c)
+    t = F.trim(ascii_signs(c))
     return F.when(~F.upper(t).isin(*MISSING), F.coalesce(F.regexp_replace(t, ",", "").try_cast("double"), F.nullif(F.regexp_extract(t, r"-?\d*\.?\d+", 0), F.lit("")).try_cast("double")))
 
 
 def vector(c: Column) -> Column:
     """A list of numbers, in brackets or with separators of its own; null for a single number such as 1,000."""
-    t = F.trim(c)
+    t = F.trim(ascii_signs(c))
     bracketed = t.startswith("[") & t.endswith("]")
     body = F.trim(F.when(bracketed, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t))
     listed = bracketed | (~body.rlike(r"^\d{1,3}(,\d{3})+(\.\d+)?$") & body.rlike(r"^[\d.\s,;/+-]+$") & body.rlike("[,;/]"))
@@ -72,6 +77,58 @@ def vector(c: Column) -> Column:
     return F.when(listed & (body != "") & (F.size(parts) > 0) & F.forall(parts, lambda x: x.isNotNull()), parts)
 
 
+def printed(c: Column) -> Column:
+    """The numbers that a cell prints, by which it is compared: its list, its one number, else null. Of six decimals."""
+    t = F.trim(ascii_signs(c))
+    one = F.translate(t, ",", "")
+    number = F.when(one.rlike(r"^[+-]?\d*\.?\d+$"), one.try_cast("double"))
+    parts = F.transform(F.filter(F.split(t, r"[\s,;/]+"), lambda x: x != ""), lambda x: x.try_cast("double"))
+    listed = t.rlike("[,;/]") & ~t.rlike(r"^\d{1,3}(,\d{3})+(\.\d+)?$") & (F.size(parts) > 0) & F.forall(parts, lambda x: x.isNotNull())
+    return F.when(listed, F.transform(parts, lambda x: F.round(x, 6))).when(number.isNotNull(), F.array(F.round(number, 6)))
+
+
+def compound_number(c: Column) -> Column:
+    """The first run of digits of a compound's name; null where it has three or fewer."""
+    found = F.regexp_extract(c, r"\d+", 0)
+    return F.when(F.length(found) > 3, found)
+
+
+def application_key(c: Column) -> Column:
+    """An application's number without white space and slashes."""
+    return F.regexp_replace(c, r"[\s/]", "")
+
+
+def context(sequence: Column, start: Column, size: Column, strand: Column, flank: int = 50) -> Column:
+    """RNA of a site and up to `flank` bases on either side, as the strand reads; start counts from 0."""
+    first = F.greatest(start - flank, F.lit(0))
+    last = F.least(start + size + flank, F.length(sequence))
+    own = F.substring(sequence, first + 1, last - first)
+    return F.translate(F.when(strand == "-", reverse_complement(own)).otherwise(own), "T", "U")
+
+
+def clean_sequence(c: Column) -> Column:
+    """Bases of a printed sequence; empty for signs of a missing one."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    return F.when(t.rlike("(?i)^(na|n/a|none|-|\u2014)?$"), "").otherwise(F.regexp_replace(F.upper(t), "[^ACGTU]", ""))
+
+
+def expand_sugars(motif: Column) -> Column:
+    """Letters a base of a motif such as 5-10-5 MOE; a motif that is letters already as it is; else null."""
+    t = F.trim(motif)
+    gapmer = r"(?i)^(\d+)\s*-\s*(\d+)\s*-\s*(\d+)\s*(MOE|cET|LNA)?$"
+    part = lambda i: F.regexp_extract(t, gapmer, i)
+    wing = F.when(F.lower(part(4)) == "cet", "k").when(F.lower(part(4)) == "lna", "l").otherwise("e")
+    run = lambda s, i: F.repeat(s, part(i).cast("int"))
+    return F.when(t.rlike("(?i)^[dekl]+$"), F.lower(t)).when(t.rlike(gapmer), F.concat(run(wing, 1), run(F.lit("d"), 2), run(wing, 3)))
+
+
+def expand_links(links: Column, n: Column) -> Column:
+    """Letters a link: s for phosphorothioate, o for phosphodiester; null where neither is told or there are no links."""
+    t = F.trim(links)
+    sign = F.when(t.rlike("(?i)^PS$|phosphorothioate"), "s").when(t.rlike("(?i)^PO$|phosphodiester"), "o")
+    return F.when(t.rlike("(?i)^[so]+$"), F.lower(t)).when(n > 0, F.repeat(sign, n))
+
+
 def same_value(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
     """Whether two printed values agree: as lists, as numbers, else as texts."""
     va, vb, na, nb = vector(a), vector(b), scalar(a), scalar(b)

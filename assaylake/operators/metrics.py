@@ -87,8 +87,9 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: list[float]) -> Da
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """bin (from 1), n over equal widths between the least and the greatest value, which is in the last bin."""
-    ends = F.broadcast(df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")))
+    """bin (from 1), n over equal widths between the least and the greatest value, which is in the last bin; equal ends are widened by a half."""
+    same = F.when(F.min(value) == F.max(value), 0.5).otherwise(0.0)
+    ends = F.broadcast(df.agg((F.min(value) - same).alias("lo"), (F.max(value) + same).alias("hi")))
     place = F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) + 1, F.lit(bins))
     return df.crossJoin(ends).where(F.col(value).isNotNull()).groupBy(place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
@@ -155,4 +156,10 @@ def strata_rates(df: DataFrame, strata: list[str], hit: Column) -> DataFrame:
 def modes(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The most frequent value of each key, the least among equals; nulls don't count."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    return counts.groupBy(*keys).agg(F.max(F.struct("__n", F.lit(0))).alias("__x"), F.min_by(value, F.struct((-F.col("__n")).alias("n"), F.col(value).alias("v"))).alias(value)).drop("__x")
+    return counts.groupBy(*keys).agg(F.min_by(value, F.struct((-F.col("__n")).alias("n"), F.col(value).alias("v"))).alias(value))
+
+
+def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """n, mean and both standard deviations (of a sample and of all) of values that are numbers."""
+    own = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    return own.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("sd"), F.round(F.stddev_pop(value), 6).alias("sd_pop"))

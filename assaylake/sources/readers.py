@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from html.entities import name2codepoint
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,24 +26,26 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, **options) -> DataFrame:
-    """A CSV file or folder, gzip or not, with a head line."""
-    df = nan_to_null(spark.read.schema(schema).options(header=True, multiLine=True, escape='"', mode="FAILFAST", **options).csv(path))
+    """A CSV file or folder, gzip or not, with a head line. With multiLine=True quoted line feeds are read, a file in one task."""
+    df = nan_to_null(spark.read.schema(schema).options(**{"header": True, "escape": '"', "mode": "FAILFAST"} | options).csv(path))
     return df.select(*columns) if columns else df
 
 
-def csv_with_lines(spark: SparkSession, path: str, schema: str, endpoint: str) -> DataFrame:
+def csv_with_lines(spark: SparkSession, path: str, schema: str, endpoint: str, **options) -> DataFrame:
     """csv() with _ord (the order of lines over all files by name) and raw_row_id `endpoint:file:line`; the first data line is 2.
 
-    Numbering needs the files' order, so partitions are numbered with zipWithIndex, which counts each once.
+    A row's line is its number in its split of the file and the rows of the file's splits before. Rows of a split are in one
+    partition, in order; the table of splits, one row each, is small enough to broadcast.
     """
-    df = spark.read.schema(schema).options(header=True, escape='"').csv(path).select("*", F.input_file_name().alias("__f"))
-    # Row order within a scan is by file, then offset: each row's number, then its number in its file.
-    rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    out = spark.createDataFrame(rows, T.StructType([*df.schema.fields, T.StructField("_ord", T.LongType())]))
-    first = out.groupBy("__f").agg(F.min("_ord").alias("__first"))
-    line = F.col("_ord") - F.col("__first") + 2
+    read = spark.read.schema(schema).options(**{"header": True, "escape": '"'} | options).csv(path)
+    rows = read.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"))
+    splits = rows.groupBy("__f", "__b").agg(F.min("__m").alias("__least"), F.count("*").alias("__n"))
+    earlier = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("__f", "__b", "__least", earlier(Window.partitionBy("__f").orderBy("__b")).alias("__in_file"), earlier(Window.orderBy("__f", "__b")).alias("__in_all"))
+    at = F.col("__m") - F.col("__least")
     name = F.regexp_extract("__f", "[^/]+$", 0)
-    return nan_to_null(out.join(F.broadcast(first), "__f").withColumn("raw_row_id", F.concat_ws(":", F.lit(endpoint), name, line.cast("string"))).drop("__f", "__first"))
+    out = rows.join(F.broadcast(splits), ["__f", "__b"]).withColumn("_ord", at + F.col("__in_all"))
+    return nan_to_null(out.withColumn("raw_row_id", F.concat_ws(":", F.lit(endpoint), name, (at + F.col("__in_file") + 2).cast("string"))).drop("__f", "__b", "__m", "__least", "__in_file", "__in_all"))
 
 
 def scaled_union(nano: DataFrame, micro: DataFrame, dose: str = "dosage", name: str = "dosage_nm") -> DataFrame:
@@ -91,11 +95,24 @@ def texts(spark: SparkSession, path: str, glob: str = "*.xml*") -> DataFrame:
 
 
 def entities(c: Column) -> Column:
-    """Text of a cell: tags off, references decoded, wide spaces as one space."""
-    out = F.regexp_replace(c, "<[^>]*>", "")
-    for sign, text in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#8201;|&#x2009;|&#8195;|&#x2003;", " "), ("&#8722;|&#x2212;", "−"), ("&amp;", "&")):
-        out = F.regexp_replace(out, sign, text)
-    return F.trim(F.regexp_replace(out, r"[\s -  ]+", " "))
+    """Text of a cell: tags off, character references decoded (by number or HTML 4 name; others stay), wide spaces as one space."""
+    bare = F.regexp_replace(c, "<[^>]*>", "")
+    names = F.create_map(*[F.lit(x) for k, v in (name2codepoint | {"apos": 0x27}).items() for x in (k, v)])
+
+    def sign(ref: Column) -> Column:
+        code = F.when(ref.rlike("^&#[xX]"), F.conv(F.substring(ref, F.lit(4), F.length(ref) - 4), 16, 10).cast("int")).when(ref.startswith("&#"), F.substring(ref, F.lit(3), F.length(ref) - 3).try_cast("int"))
+        code = F.coalesce(code, F.element_at(names, F.substring(ref, F.lit(2), F.length(ref) - 2)))
+        # Twice eight digits of UTF-16 where one unit is too few.
+        high, low = 0xD800 + F.shiftright(code - 0x10000, 10), 0xDC00 + F.pmod(code - 0x10000, F.lit(0x400))
+        units = F.when(code < 0x10000, F.lpad(F.hex(code), 4, "0")).otherwise(F.concat(F.hex(high), F.hex(low)))
+        return F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(units), "UTF-16BE")).otherwise(ref)
+
+    # Text and references in turn, so that what one reference gives is no part of another.
+    reference = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,9});"
+    between = F.split(bare, reference)
+    signs = F.transform(F.regexp_extract_all(bare, F.lit(f"({reference})"), F.lit(1)), sign)
+    out = F.array_join(F.zip_with(between, signs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.trim(F.regexp_replace(out, r"[\s\u00a0\u2000-\u200b\u202f\u205f\u3000]+", " "))
 
 
 def grid(text: Column) -> Column:
