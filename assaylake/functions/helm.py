@@ -6,7 +6,7 @@ brackets, and `[sp]` where the link to the next unit is a phosphorothioate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sugars by their sign.
@@ -14,6 +14,8 @@ SUGARS = {"moe": "MOE", "lna": "LNA", "cet": "cEt", "fr": "fR", "m": "OMe", "d":
 #: A score of sequences, its constant and the weight of each base and of the run without G at the 3' end.
 SCORE = {"": 136.0430, "A": -3.1263, "C": -5.1100, "T": -4.7217, "G": -10.1264, "run": 1.3577}
 RUN_CAP = 20
+#: What the features of a notation tell apart, and how many units they reach.
+BASES, KINDS, BONDS, REACH = ("A", "C", "G", "T", "U", "5meC"), ("MOE", "DNA", "LNA", "cEt", "fR", "OMe", "RNA"), ("PS", "PO"), 30
 BAD = r"\[(lna|LNA|fR|FR|am|AM|\?)\]|\[m\]\("
 
 
@@ -164,3 +166,32 @@ def validate(helm: Column) -> Column:
     ]
     errors = F.filter(F.array(*[F.when(c, k) for k, c in wrong]), lambda x: x.isNotNull())
     return F.when(helm.isNotNull(), F.struct((F.size(errors) == 0).alias("is_valid"), errors.alias("errors")))
+
+
+def only_sugars(parsed: Column, allowed: list[str]) -> Column:
+    """Whether a notation has no other sugars; false where nothing was read."""
+    return F.coalesce(F.size(F.array_except(parsed["sugars"], F.array(*map(F.lit, allowed)))) == 0, F.lit(False))
+
+
+def single_braces(helm: Column) -> Column:
+    """A notation with single curly brackets; closing ones only where the ending follows."""
+    return F.regexp_replace(F.regexp_replace(helm, r"\{+", "{"), r"\}+(?=\$\$\$\$)", "}")
+
+
+def features(parsed: Column) -> Column:
+    """Numbers of a notation: base, sugar and link at each place up to REACH, shares of neighbouring bases, and length; all 0 under two units."""
+    n = F.least(F.size(parsed["bases"]), F.lit(REACH))
+    hot = lambda values, names, reach: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(reach - 1)), lambda j: F.transform(F.array(*map(F.lit, names)), lambda x: F.when((j < reach - REACH + n) & (F.get(values, j) == x), 1.0).otherwise(0.0))))
+    pairs = F.zip_with(F.slice(parsed["bases"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(parsed["bases"], F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("/"), b))
+    kinds = F.array(*[F.lit(f"{a}/{b}") for a in BASES for b in BASES])
+    shares = F.transform(kinds, lambda k: F.size(F.filter(pairs, lambda x: x == k)) / F.greatest(n - 1, F.lit(1)).cast("double"))
+    own = F.concat(hot(parsed["bases"], BASES, REACH), hot(parsed["sugars"], KINDS, REACH), hot(parsed["backbones"], BONDS, REACH - 1), shares, F.array(n.cast("double")))
+    width = REACH * (len(BASES) + len(KINDS)) + (REACH - 1) * len(BONDS) + len(BASES) ** 2 + 1
+    return F.when(n >= 2, own).otherwise(F.array_repeat(F.lit(0.0), width))
+
+
+def agreement(df: DataFrame, key: str, gold: str, found: str) -> DataFrame:
+    """key and, for sequence, sugars and links, whether all notations of a key agree with the gold one (strict) or any does (best)."""
+    same = {"sequence": "sequence", "sugars": "sugars", "links": "backbones"}
+    each = [(n, F.coalesce(F.col(gold)[c] == F.col(found)[c], F.lit(False))) for n, c in same.items()]
+    return df.groupBy(key).agg(*[f(c).alias(f"{kind}_{n}") for n, c in each for kind, f in (("strict", F.bool_and), ("best", F.bool_or))])

@@ -179,3 +179,12 @@ def header(c: Column) -> Column:
     for a, b in (("%", " pct "), ("/", " per "), ("µ|μ", "u"), ("α", "alpha"), ("β", "beta"), ("γ", "gamma"), ("[^a-z0-9]+", "_"), ("^_|_$", "")):
         out = F.regexp_replace(out, a, b)
     return out
+
+
+def source_context(prose: Column) -> list[Column]:
+    """motif, linkage, methylated and hours as prose about a table tells them; null, mixed or false where it doesn't."""
+    t = F.lower(prose)
+    only = t.contains("phosphorothioate") & ~t.contains("phosphodiester")
+    motif = F.nullif(F.regexp_extract(t, r"\b(\d+-\d+-\d+)\b", 1), F.lit(""))
+    hours = F.when(t.rlike(r"\b24[ -]?(h|hours?|hrs?)\b"), 24)
+    return [motif.alias("motif"), F.when(only, "PS").otherwise("mixed").alias("linkage"), t.rlike(r"5-?\s?methyl\s?cytosine|5mec").alias("methylated"), hours.alias("hours")]

@@ -60,3 +60,14 @@ def label_classes(df: DataFrame, key: str, label: str) -> DataFrame:
     """key, label: the one label of a class, or all of them as mixed."""
     found = F.array_sort(F.collect_set(label))
     return df.groupBy(key).agg(F.when(F.size(found) > 1, F.concat(F.lit("mixed: "), F.array_join(found, " | "))).otherwise(F.get(found, F.lit(0))).alias(label))
+
+
+#: What a caption says of conversions.
+PERCENT_CONTROL = r"%\s*(control|utc|ltc)|percent\s+control|\bof\s+control\b|untreated control"
+DOSE_UNIT = r"\d\s*(µm|μm|um\b|mm\b)|micromolar|millimolar"
+
+
+def table_strata(df: DataFrame, table: str, dose: str, context: list[str], caption: str) -> DataFrame:
+    """table, n, format (a series has three doses or more), n_contexts, multi_column, and what the caption says of conversions."""
+    own = df.groupBy(table).agg(F.count("*").alias("n"), F.countDistinct(F.round(dose, 6)).alias("d"), F.countDistinct(F.struct(*context)).alias("n_contexts"), F.lower(F.min(caption)).alias("c"))
+    return own.select(table, "n", F.when(F.col("d") >= 3, "dose-series").otherwise("single-dose").alias("format"), "n_contexts", (F.col("n_contexts") > 1).alias("multi_column"), F.col("c").rlike(PERCENT_CONTROL).alias("pct_control"), F.col("c").rlike(DOSE_UNIT).alias("dose_unit"))

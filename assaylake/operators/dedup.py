@@ -53,3 +53,8 @@ def collapse(df: DataFrame, keys: list[str], order: str, arrays: list[str], firs
     """One row per key: each array column the values there are, in order; each other column its first value there is."""
     lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v"))))), lambda x: x["v"]).alias(c) for c in arrays]
     return df.groupBy(*keys).agg(*lists, *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in firsts])
+
+
+def reasons(rules: dict[str, Column]) -> Column:
+    """The names of the rules that hold, in order, by bars; a null rule does not hold."""
+    return F.concat_ws("|", *[F.when(c, n) for n, c in rules.items()])

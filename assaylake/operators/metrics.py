@@ -163,3 +163,16 @@ def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean and both standard deviations (of a sample and of all) of values that are numbers."""
     own = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     return own.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("sd"), F.round(F.stddev_pop(value), 6).alias("sd_pop"))
+
+
+def shares(df: DataFrame, value: str) -> DataFrame:
+    """value, n and its share of all rows; the counts, one row a value, are what is summed again."""
+    counts = df.groupBy(value).agg(F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("__all")))).select(value, "n", F.round(F.col("n") / F.col("__all"), 6).alias("share"))
+
+
+def best_marked(df: DataFrame, value: str, name: str, skip: Column | None = None) -> DataFrame:
+    """df, a report, with whether a row has the greatest value of a column; skipped rows, such as a baseline, neither count nor are marked."""
+    counted = F.lit(True) if skip is None else ~skip
+    most = F.broadcast(df.agg(F.max(F.when(counted, F.col(value))).alias("__most")))
+    return df.crossJoin(most).withColumn(name, F.coalesce(counted & (F.col(value) == F.col("__most")), F.lit(False))).drop("__most")

@@ -57,6 +57,12 @@ def stratified(df: DataFrame, score: str, outcome: str, passes: Column, row: str
     return _rates(r.withColumn("__sel", F.col(stratum).isNotNull() & (F.col("n") >= least) & (F.col("k") <= size_floor(F.col("n"), share))))
 
 
+def fold_rates(df: DataFrame, fold: str, score: str, passes: str, row: str, low: bool, share: float = 0.2) -> DataFrame:
+    """fold, n, b, s: the pass rate of each fold and that of its best share."""
+    r = ranked(df.where(finite(F.col(score), F.col(passes))), score, row, low, [fold])
+    return r.groupBy(fold).agg(F.count("*").alias("n"), F.avg(passes).alias("b"), F.avg(F.when(F.col("k") <= size_floor(F.col("n"), share), F.col(passes))).alias("s"))
+
+
 def sweep(df: DataFrame, score: str, outcome: str, passes: Column, row: str, low: bool, shares: list[float]) -> DataFrame:
     """share, n_selected, selected_rate, factor for each share, from one ranking: sums by rank bands, not a copy of the rows a share."""
     r = ranked(df.where(finite(F.col(score), F.col(outcome))).withColumn("__pass", passes.cast("double")), score, row, low)
