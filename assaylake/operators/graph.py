@@ -21,22 +21,40 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(items: DataFrame, edges: DataFrame, item: str, a: str, b: str) -> DataFrame:
-    """item, component: the least item that edges reach from each.
+def _large(e: DataFrame) -> DataFrame:
+    """Each neighbour above u goes to u's least neighbour or u itself."""
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+
+
+def _small(e: DataFrame) -> DataFrame:
+    """u and its neighbours below it go to the least of them."""
+    down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    near = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return near.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+
 
-    Labels spread along edges and along labels themselves (an item takes its label's label), so that long chains close in
-    few rounds; each round is checkpointed.
+def roots(edges: DataFrame) -> DataFrame:
+    """node, root for each node of edges (a, b) that is not its component's least node, by alternating stars.
+
+    Loops and repeated edges are fine; no edges give no rows. Each pass is written to the shared folder.
     """
-    both = checkpointed(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct())
-    label = checkpointed(items.select(F.col(item).alias("u"), F.col(item).alias("c")).distinct())
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    last = None
     while True:
-        near = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("n"))
-        closer = label.join(near, "u", "left").select("u", F.least("c", F.coalesce("n", "c")).alias("m"), F.col("c").alias("old"))
-        jump = closer.join(closer.select(F.col("u").alias("m"), F.col("m").alias("far")), "m", "left")
-        new = checkpointed(jump.select("u", F.least("m", F.coalesce("far", "m")).alias("c"), "old"))
-        if new.where("c <> old").isEmpty():
-            return new.select(F.col("u").alias(item), F.col("c").alias("component"))
-        label = new.select("u", "c")
+        e = checkpointed(_small(_large(e)))
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == last:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        last = now
+
+
+def components(items: DataFrame, edges: DataFrame, item: str, a: str, b: str) -> DataFrame:
+    """item, component: the least item that edges reach from each; an item without edges is its own."""
+    found = roots(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))).select(F.col("node").alias(item), "root")
+    return items.select(item).distinct().join(found, item, "left").select(item, F.coalesce("root", item).alias("component"))
 
 
 def preview(c, lines: int = 200):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +11,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Steps of the distribution function of Poisson(1).
+POISSON = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(11)]).tolist()
+
+
 def uniform(seed: int, *columns) -> F.Column:
-    """A number in [0, 1) from a hash of the seed and columns."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))
+    """A number in [0, 1) from the MD5 of the seed and columns, which other engines have too."""
+    return F.conv(F.substring(_hash(seed, *columns), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def _hash(seed: int, *columns) -> F.Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]))
 
 
 def bootstrap_means(df: DataFrame, key: str, row: str, value: str, draws: int, seed: int) -> DataFrame:
@@ -21,13 +30,7 @@ def bootstrap_means(df: DataFrame, key: str, row: str, value: str, draws: int, s
     No sample is gathered: a row makes one weight per draw and sums are combined before they move.
     """
     u = uniform(seed, F.col(row), F.col("draw"))
-    # Steps of the distribution function of Poisson(1).
-    steps, p, total = [], float(np.exp(-1)), 0.0
-    for k in range(1, 12):
-        total += p
-        steps.append(total)
-        p /= k
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
+    weight = sum((F.when(u >= s, 1).otherwise(0) for s in POISSON), F.lit(0))
     rows = df.select(key, row, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", weight)
     sums = rows.groupBy(key, "draw").agg(F.sum(F.col("w") * F.col(value)).alias("s"), F.sum("w").alias("n"))
     return sums.select(key, "draw", F.try_divide("s", "n").alias("mean"))
@@ -56,14 +59,14 @@ def permuted(df: DataFrame, key: str, row: str, value: str, seed: int) -> DataFr
 
     w = Window.partitionBy(key)
     a = df.withColumn("__k", F.row_number().over(w.orderBy(row)))
-    b = df.select(F.col(key), F.col(value).alias("shuffled"), F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), row), row)).alias("__k"))
+    b = df.select(F.col(key), F.col(value).alias("shuffled"), F.row_number().over(w.orderBy(_hash(seed, row), row)).alias("__k"))
     return a.join(b, [key, "__k"]).drop("__k")
 
 
 def sample_groups(df: DataFrame, stratum: str, group: str, row: str, n: int, seed: int) -> DataFrame:
     """n groups of each stratum and one row of each, by hashes of the seed."""
 
-    one = Window.partitionBy(stratum, group).orderBy(F.xxhash64(F.lit(seed), row), row)
-    some = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), group), group)
+    one = Window.partitionBy(stratum, group).orderBy(_hash(seed, row), row)
+    some = Window.partitionBy(stratum).orderBy(_hash(seed, group), group)
     first = df.withColumn("__k", F.row_number().over(one)).where("__k = 1").drop("__k")
     return first.withColumn("__k", F.row_number().over(some)).where(F.col("__k") <= n).drop("__k")

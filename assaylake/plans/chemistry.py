@@ -64,6 +64,9 @@ def helm_shorthand(t: Tables):
     return parsed(t).select("p_partkey", H.shorthand(F.col("p")).alias("runs"))
 
 
-@query(f"WITH {NOTED} SELECT p_partkey, true AS is_valid, 0 AS n_errors FROM s")
+@query(f"WITH {NOTED} SELECT p_partkey, p_partkey % 5 = 0 AS is_valid, CASE p_partkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 1 END AS n_errors FROM s")
 def helm_validate(t: Tables):
-    return noted(t).withColumn("v", H.validate(F.col("helm"))).select("p_partkey", "v.is_valid", F.size("v.errors").alias("n_errors"))
+    """Four of five notations are broken: no ending, a bracket lost with its unit, another polymer, a unit that is none."""
+    h, k = F.col("helm"), F.col("p_partkey") % 5
+    broken = F.when(k == 1, F.regexp_replace(h, r"\$+$", "")).when(k == 2, F.regexp_replace(h, r"\)(?=[^)]*$)", "")).when(k == 3, F.replace(h, F.lit("RNA1"), F.lit("PEP1"))).when(k == 4, F.replace(h, F.lit("}}$$$$"), F.lit(".d(X)}}$$$$"))).otherwise(h)
+    return noted(t).withColumn("v", H.validate(broken)).select("p_partkey", "v.is_valid", F.size("v.errors").alias("n_errors"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import funnel as P
@@ -89,10 +91,14 @@ def threshold_tornado(t: Tables):
     return rows.select("threshold", "rate", "precision_", F.round(saved, 4).alias("saved_pct"))
 
 
-@query("""WITH f AS (SELECT l_linenumber AS fold, round(avg((l_quantity > 25)::INT::DOUBLE), 4) AS a, round(avg((l_discount < 0.05)::INT::DOUBLE), 4) AS b FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1)
-SELECT x.fold AS fold_a, y.fold AS fold_b, z.fold AS fold_c, round(x.a * y.b * z.a, 6) AS rate FROM f x, f y, f z""")
+FIVE = {"a": "l_quantity > 25", "b": "l_discount < 0.05", "c": "l_tax <= 0.04", "d": "l_quantity < 40", "e": "l_discount > 0.02"}
+
+
+@query("WITH f AS (SELECT l_orderkey % 5 AS fold, " + ", ".join(f"round(avg(({c})::INT::DOUBLE), 4) AS {n}" for n, c in FIVE.items()) + " FROM lineitem GROUP BY 1) SELECT " + ", ".join(f"{n}.fold AS fold_{n}" for n in FIVE) + ", round(" + " * ".join(f"{n}.{n}" for n in FIVE) + ", 6) AS rate FROM " + ", ".join(f"f {n}" for n in FIVE))
 def scenario_cross(t: Tables):
-    f = t.lineitem.where("l_linenumber <= 5").groupBy(F.col("l_linenumber").alias("fold")).agg(F.round(F.avg((F.col("l_quantity") > 25).cast("double")), 4).alias("a"), F.round(F.avg((F.col("l_discount") < 0.05).cast("double")), 4).alias("b"))
-    # At most five folds a side, by the filter above: 125 combinations.
-    x, y, z = (F.broadcast(f.select(F.col("fold").alias(f"fold_{n}"), F.col(c).alias(n))) for n, c in (("a", "a"), ("b", "b"), ("c", "a")))
-    return x.crossJoin(y).crossJoin(z).select("fold_a", "fold_b", "fold_c", F.round(F.col("a") * F.col("b") * F.col("c"), 6).alias("rate"))
+    """Each way to take one of five folds for each of five rates."""
+    f = t.lineitem.groupBy((F.col("l_orderkey") % 5).alias("fold")).agg(*[F.round(F.avg(F.expr(c).cast("double")), 4).alias(n) for n, c in FIVE.items()])
+    # Five rows a side, whatever the table's size: a fold is a remainder by five. 3125 combinations.
+    sides = [F.broadcast(f.select(F.col("fold").alias(f"fold_{n}"), n)) for n in FIVE]
+    rate = reduce(lambda x, y: x * y, [F.col(n) for n in FIVE])
+    return reduce(lambda x, y: x.crossJoin(y), sides).select(*[f"fold_{n}" for n in FIVE], F.round(rate, 6).alias("rate"))

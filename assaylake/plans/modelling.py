@@ -29,7 +29,9 @@ def hill_four_parameter(t: Tables):
     return curves.fit_groups(_curves(t), ["l_partkey"], "dose", "response", curves.FOUR_PARAMETER)
 
 
-@query()
+@query(f"""WITH u AS (SELECT c_nationkey, c_acctbal, draw, ('0x' || substr(md5('4274|' || c_custkey || '|' || draw), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM customer, range({BOOTSTRAPS}) r(draw)),
+w AS (SELECT c_nationkey, draw, c_acctbal, {" + ".join(f"(u >= {s!r}::DOUBLE)::INT" for s in resample.POISSON)} AS w FROM u), m AS (SELECT c_nationkey, draw, sum(w * c_acctbal) / nullif(sum(w), 0) AS m FROM w GROUP BY 1, 2)
+SELECT c_nationkey, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.5), 4) AS median, round(quantile_cont(m, 0.975), 4) AS high FROM m GROUP BY 1""")
 def bootstrap_ci(t: Tables):
     means = resample.bootstrap_means(t.customer, "c_nationkey", "c_custkey", "c_acctbal", BOOTSTRAPS, 4274)
     return means.groupBy("c_nationkey").agg(*[F.round(F.expr(f"percentile(mean, {q}D)"), 4).alias(n) for q, n in ((0.025, "low"), (0.5, "median"), (0.975, "high"))])
@@ -42,7 +44,8 @@ def mc_cost(t: Tables):
     return draws.select("draw", F.round(funnel.cost(funnel.counts(F.col("rates"), ceil=False), F.col("costs")), 4).alias("cost"))
 
 
-@query()
+@query(f"""WITH r AS (SELECT doc_id, lang, quality FROM labels JOIN documents USING (doc_id)), a AS (SELECT lang, quality, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM r),
+b AS (SELECT lang, seed, quality AS shuffled, row_number() OVER (PARTITION BY lang, seed ORDER BY md5(seed || '|' || doc_id), doc_id) AS k FROM r, range({PERMUTATIONS}) s(seed)) SELECT lang, seed, round(avg((quality = shuffled)::INT), 6) AS agreement FROM a JOIN b USING (lang, k) GROUP BY 1, 2""")
 def permutation_floor(t: Tables):
     rows = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id")
     agree = lambda seed: resample.permuted(rows, "lang", "doc_id", "quality", seed).groupBy("lang").agg(F.avg((F.col("quality") == F.col("shuffled")).cast("double")).alias("agreement")).select("lang", F.lit(seed).alias("seed"), F.round("agreement", 6).alias("agreement"))
@@ -52,9 +55,9 @@ def permutation_floor(t: Tables):
     return out
 
 
-@query()
+@query("""WITH o AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5('2026|' || doc_id), doc_id) AS k FROM documents), s AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY md5('2026|' || source), source) AS g FROM o WHERE k = 1) SELECT doc_id, lang, source FROM s WHERE g <= 25""")
 def stratified_sample(t: Tables):
-    return resample.sample_groups(t.documents.select("doc_id", "lang", "source"), "lang", "source", "doc_id", 5, 2026)
+    return resample.sample_groups(t.documents.select("doc_id", "lang", "source"), "lang", "source", "doc_id", 25, 2026)
 
 
 @query("""WITH q AS (SELECT vec_id AS query, list_transform(embedding, lambda x: x::DOUBLE) u FROM embeddings WHERE vec_id % 100 = 0), b AS (SELECT vec_id AS neighbour, list_transform(embedding, lambda x: x::DOUBLE) v FROM embeddings),

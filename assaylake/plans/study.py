@@ -96,10 +96,10 @@ def _by_fold(t: Tables, score: str):
 
 
 @query("WITH " + ", ".join(f"""{m} AS (SELECT l_orderkey % 5 AS fold, l_quantity > 40 AS pass, row_number() OVER (ORDER BY {c} DESC, l_orderkey * 10 + l_linenumber DESC) AS k, count(*) OVER () AS n, row_number() OVER (PARTITION BY l_orderkey % 5 ORDER BY {c} DESC, l_orderkey * 10 + l_linenumber DESC) AS fk, count(*) OVER (PARTITION BY l_orderkey % 5) AS fn FROM lineitem)""" for m, c in MODELS.items())
-       + ", s AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, (SELECT round(avg(pass::INT) FILTER (k <= greatest(1, floor(0.2::DOUBLE * n))), 4) FROM {m}) AS p, (SELECT round(avg(pass::INT), 4) FROM {m}) AS b, (SELECT round(stddev_samp(x), 4) FROM (SELECT avg(pass::INT) FILTER (fk <= greatest(1, floor(0.2::DOUBLE * fn))) AS x FROM {m} GROUP BY fold)) AS sd" for m in MODELS) + """),
+       + ", s AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, (SELECT round(avg(pass::INT) FILTER (k <= greatest(1, floor(0.2::DOUBLE * n))), 4) FROM {m}) AS p, (SELECT round(avg(pass::INT), 4) FROM {m}) AS b, (SELECT round(avg(pass::INT) FILTER (k <= greatest(1, floor(0.2::DOUBLE * n))) / avg(pass::INT), 3) FROM {m}) AS factor, (SELECT round(stddev_samp(x), 4) FROM (SELECT avg(pass::INT) FILTER (fk <= greatest(1, floor(0.2::DOUBLE * fn))) AS x FROM {m} GROUP BY fold)) AS sd" for m in MODELS) + """),
 a AS (SELECT *, [b, 0.3, 0.5, 0.4, 0.4, 0.35, 1.0]::DOUBLE[] AS rates, [least(greatest(p, b), 1.0), 0.3, 0.5, 0.4, 0.4, 0.35, 1.0]::DOUBLE[] AS mid, [least(greatest(p + sd, b), 1.0), 0.3, 0.5, 0.4, 0.4, 0.35, 1.0]::DOUBLE[] AS hi, [least(greatest(greatest(p - sd, 0.0), b), 1.0), 0.3, 0.5, 0.4, 0.4, 0.35, 1.0]::DOUBLE[] AS lo FROM s),
-""" + f"n AS (SELECT *, {_counts('rates')} AS b0, {_counts('mid')} AS m0, {_counts('hi')} AS h0, {_counts('lo')} AS l0 FROM a), z AS (SELECT model, p, b, sd, round((1 - {COST.format(n='m0')} / {COST.format(n='b0')}) * 100, 4) AS saved_pct, round(abs({COST.format(n='h0')} - {COST.format(n='l0')}) / {COST.format(n='b0')} * 50, 4) AS saved_sd FROM n)"
-       + " SELECT model, p AS precision_, round(p / b, 3) AS factor, sd AS precision_sd, saved_pct, saved_sd, saved_pct = max(saved_pct) OVER () AS best FROM z")
+""" + f"n AS (SELECT *, {_counts('rates')} AS b0, {_counts('mid')} AS m0, {_counts('hi')} AS h0, {_counts('lo')} AS l0 FROM a), z AS (SELECT model, p, factor, sd, round((1 - {COST.format(n='m0')} / {COST.format(n='b0')}) * 100, 4) AS saved_pct, round(abs({COST.format(n='h0')} - {COST.format(n='l0')}) / {COST.format(n='b0')} * 50, 4) AS saved_sd FROM n)"
+       + " SELECT model, p AS precision_, factor, sd AS precision_sd, saved_pct, saved_sd, saved_pct = max(saved_pct) OVER () AS best FROM z")
 def leaderboard(t: Tables):
     """Each model's pooled precision in the first stage, its spread over folds, what it saves, and the best of them."""
     rows = t.lineitem.withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))

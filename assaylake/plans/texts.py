@@ -66,11 +66,11 @@ def dose_weekly_convert(t: Tables):
     return _dosed(t).select("p_partkey", F.round(N.per_dose(F.col("d.value"), F.col("d.unit"), F.col("doses"), F.lit(14.0)), 6).alias("dose"))
 
 
-@query("""SELECT user_id, count(*) AS n, round(avg(s), 6) AS mean FROM (SELECT user_id, list_avg(list_filter([round(value) % 10, round(value) % 7], lambda v: v BETWEEN 0 AND 7)) AS s FROM events WHERE value >= 0) WHERE s IS NOT NULL GROUP BY 1""")
+@query("""SELECT user_id, count(*) AS n, round(avg(s), 6) AS mean FROM (SELECT user_id, list_avg(list_filter([round(value) % 10, round(value) % 7], lambda v: v BETWEEN 0 AND 7)) AS s FROM events) WHERE s IS NOT NULL GROUP BY 1""")
 def fob_parse(t: Tables):
     digits = lambda m: (F.round("value") % m).cast("int").cast("string")
     scores = S.score_list(F.concat_ws(", ", digits(10), digits(7)))
-    rows = t.events.where("value >= 0").select("user_id", N.array_mean(scores).alias("s")).where("s IS NOT NULL")
+    rows = t.events.select("user_id", N.array_mean(scores).alias("s")).where("s IS NOT NULL")
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean"))
 
 
