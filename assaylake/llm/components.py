@@ -1,38 +1,7 @@
-"""Connected components of an edge table, by alternating stars; nothing is gathered on the driver."""
+"""Connected components of links between labels: the core's alternating stars, over tables in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from ..operators.graph import roots as components
 
-from .common import checkpointed
-
-
-def _large(e: DataFrame) -> DataFrame:
-    """Each neighbour above u goes to u's least neighbour or u itself."""
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-
-
-def _small(e: DataFrame) -> DataFrame:
-    """u and its neighbours below it go to the least of them."""
-    down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    near = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return near.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, root for each node of edges (a, b) that is not its component's least node.
-
-    Loops and repeated edges are fine; no edges give no rows. Each pass is written to the shared folder.
-    """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    last = None
-    while True:
-        e = checkpointed(_small(_large(e)))
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == last:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        last = now
+__all__ = ["components"]
