@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MODELS = {
@@ -17,11 +17,20 @@ MODELS = {
 
 
 def cross_validated(df: DataFrame, features: list[str], target: str, fold: str, row: str, model: str) -> DataFrame:
-    """row, fold, y_true, y_pred: each fold predicted by a model fitted on the others."""
-    data = VectorAssembler(inputCols=features, outputCol="x", handleInvalid="skip").transform(df.withColumn("y", F.col(target).cast("double"))).select(row, fold, "x", "y")
+    """row, fold, y_true, y_pred: each fold predicted by a model fitted on the others' rows with all features and a target; null where a row lacks a feature."""
+    own = df.withColumn("y", F.col(target).cast("double"))
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in features])
+    data = VectorAssembler(inputCols=features, outputCol="x").transform(own.where(whole)).select(row, fold, "x", "y")
+    lacking = own.where(~F.coalesce(whole, F.lit(False))).select(row, fold, F.col("y").alias("y_true"), F.lit(None).cast("double").alias("y_pred"))
     folds = [r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]
-    parts = [MODELS[model]().fit(data.where(F.col(fold) != f)).transform(data.where(F.col(fold) == f)) for f in folds]
-    return reduce(DataFrame.unionByName, parts).select(row, fold, F.col("y").alias("y_true"), F.col("prediction").alias("y_pred"))
+    parts = [MODELS[model]().fit(data.where((F.col(fold) != f) & F.col("y").isNotNull())).transform(data.where(F.col(fold) == f)) for f in folds]
+    return reduce(DataFrame.unionByName, parts).select(row, fold, F.col("y").alias("y_true"), F.col("prediction").alias("y_pred")).unionByName(lacking)
+
+
+def saved(model, path: str):
+    """A fitted model written and read again, as its own class reads it."""
+    model.write().overwrite().save(path)
+    return type(model).load(path)
 
 
 def neighbours(queries: DataFrame, base: DataFrame, item: str, vector: str, k: int, most_queries: int = 10_000) -> DataFrame:
