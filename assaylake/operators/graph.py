@@ -53,7 +53,7 @@ def roots(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges are fine; no edges give no rows. Each pass is written to the shared folder.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     while True:
         e = checkpointed(_small(_large(e)))

@@ -3,23 +3,76 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """df with the mean rank of value among its key. Ranks come from counts per distinct value, joined back."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    below = F.sum("__n").over(Window.partitionBy(*keys).orderBy(value)) - F.col("__n")
-    ranks = counts.select(*keys, value, (below + (F.col("__n") + 1) / 2).alias(name))
-    return df.join(ranks, [*keys, value])
+#: Ranges that a column's values are dealt into, so that running sums need no task with all rows of a key.
+RANGES = 64
+
+
+def _range_of(value: Column, cuts: list[float]) -> Column:
+    """How many of the sorted cuts are at most value, by halves."""
+    if not cuts:
+        return F.lit(0)
+    half = len(cuts) // 2
+    return F.when(value >= cuts[half], half + 1 + _range_of(value, cuts[half + 1 :])).otherwise(_range_of(value, cuts[:half]))
+
+
+def range_cuts(df: DataFrame, values: list[str]) -> list[list[float]]:
+    """Approximate quantiles that deal each column's values into RANGES ranges of about the same size; one scan, some numbers back."""
+    at = [i / RANGES for i in range(1, RANGES)]
+    found = df.agg(*[F.percentile_approx(F.col(v).cast("double"), at, 1000) for v in values]).first()
+    return [sorted({x for x in own or [] if math.isfinite(x)}) for own in found]
+
+
+def cumulated(df: DataFrame, keys: list[str], value: str, counts: list[str], cuts: list[float]) -> DataFrame:
+    """df, one row a key and value, with before_<c>, the sum of c over the key's smaller values, and all_<c>, over all of them.
+
+    Values, which are numbers, are dealt into ranges at cuts, so that a key with most of the rows is spread over tasks; what
+    goes before a range comes from sums by key and range, RANGES rows a key at most.
+    """
+    dealt = df.withColumn("__range", _range_of(F.col(value).cast("double"), cuts))
+    sums = dealt.groupBy(*keys, "__range").agg(*[F.sum(c).alias(f"__s_{c}") for c in counts])
+    up, whole = Window.partitionBy(*keys).orderBy("__range"), Window.partitionBy(*keys)
+    ranges = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__q"), *[(F.sum(f"__s_{c}").over(up) - F.col(f"__s_{c}")).alias(f"__b_{c}") for c in counts], *[F.sum(f"__s_{c}").over(whole).alias(f"all_{c}") for c in counts])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.col("__range") == F.col("__q"))
+    inside = Window.partitionBy(*keys, "__range").orderBy(value)
+    own = [(F.sum(c).over(inside) - F.col(c)).alias(f"__i_{c}") for c in counts]
+    joined = dealt.select("*", *own).join(ranges, same)
+    return joined.select(*df.columns, *[(F.col(f"__i_{c}") + F.col(f"__b_{c}")).alias(f"before_{c}") for c in counts], *[f"all_{c}" for c in counts])
+
+
+def average_ranks(df: DataFrame, keys: list[str], ranked: dict[str, str]) -> DataFrame:
+    """df with the mean ranks of some columns among their key, under the names that `ranked` gives. Ranks come from counts per distinct value, joined back."""
+    out = df
+    for (value, name), cuts in zip(ranked.items(), range_cuts(df, list(ranked)), strict=True):
+        counts = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
+        ranks = cumulated(counts, keys, value, ["__n"], cuts).select(*keys, value, (F.col("before___n") + (F.col("__n") + 1) / 2).alias(name))
+        out = out.join(ranks, [*keys, value])
+    return out
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """keys and the exact linear quantiles of a column, by name; nulls don't count. From counts per distinct value."""
+    own = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("n"))
+    rows = cumulated(own, keys, "__v", ["n"], range_cuts(df, [value])[0])
+
+    def place(i: Column) -> Column:
+        return F.max(F.when((F.col("before_n") <= i) & (i < F.col("before_n") + F.col("n")), F.col("__v")))
+
+    spot = {q: F.lit(q) * (F.col("all_n") - 1) for q in at.values()}
+    found = rows.groupBy(*keys).agg(F.max("all_n").alias("all_n"), *[x for n, q in at.items() for x in (place(F.floor(spot[q])).alias(f"__l_{n}"), place(F.ceil(spot[q])).alias(f"__h_{n}"))])
+    share = {q: spot[q] - F.floor(spot[q]) for q in at.values()}
+    return found.select(*keys, *[((1 - share[q]) * F.col(f"__l_{n}") + share[q] * F.col(f"__h_{n}")).alias(n) for n, q in at.items()])
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """keys, n, rho and its 95 % interval by Fisher's z; pairs with a null are left out."""
     own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    both = average_ranks(average_ranks(own, keys, x, "rx"), keys, y, "ry")
+    both = average_ranks(own, keys, {x: "rx", y: "ry"})
     out = both.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("r"))
     half = F.when(F.col("n") > 3, 1.96 / F.sqrt(F.col("n") - 3))
     inner = F.when(F.abs("r") < 1, F.atanh("r"))
@@ -70,20 +123,21 @@ def bonferroni(p: Column, m: int) -> Column:
 
 def median_limit(df: DataFrame, keys: list[str], value: str, times: float = 3.0) -> DataFrame:
     """keys, median, mad and median + times * mad."""
-    med = df.groupBy(*keys).agg(F.expr(f"percentile({value}, 0.5D)").alias("median"))
-    joined = df.join(med, keys) if keys else df.crossJoin(F.broadcast(med))
-    out = joined.groupBy(*keys, "median").agg(F.expr(f"percentile(abs({value} - median), 0.5D)").alias("mad"))
-    return out.select(*keys, F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"), F.round(F.col("median") + times * F.col("mad"), 6).alias("upper"))
+    med = percentiles(df, keys, value, {"median": 0.5})
+    joined = df.join(med, keys) if keys else df.crossJoin(F.broadcast(med))  # one row
+    far = percentiles(joined.withColumn("__far", F.abs(F.col(value) - F.col("median"))), [*keys, "median"], "__far", {"mad": 0.5})
+    return far.select(*keys, F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"), F.round(F.col("median") + times * F.col("mad"), 6).alias("upper"))
 
 
 def impute_median(df: DataFrame, value: str) -> DataFrame:
     """Nulls of a column replaced by its median, one row that is broadcast."""
-    return df.crossJoin(F.broadcast(df.agg(F.expr(f"percentile({value}, 0.5D)").alias("__m")))).withColumn(value, F.coalesce(value, "__m")).drop("__m")
+    return df.crossJoin(F.broadcast(percentiles(df, [], value, {"__m": 0.5}))).withColumn(value, F.coalesce(value, "__m")).drop("__m")
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
     """Linear quantiles as columns q025, q500 and so on."""
-    return df.groupBy(*keys).agg(*[F.round(F.expr(f"percentile({value}, {q}D)"), 6).alias(f"q{round(q * 1000):03d}") for q in at])
+    names = {f"q{round(q * 1000):03d}": q for q in at}
+    return percentiles(df, keys, value, names).select(*keys, *[F.round(n, 6).alias(n) for n in names])
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -100,9 +154,7 @@ def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     Both come from counts per distinct score.
     """
     own = df.groupBy(*keys, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    up, whole = Window.partitionBy(*keys).orderBy(score), Window.partitionBy(*keys)
-    down = Window.partitionBy(*keys).orderBy(F.desc(score))
-    t = own.select(*keys, score, "p", "q", (F.sum("q").over(up) - F.col("q")).alias("below"), F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(whole).alias("all_p"), F.sum("q").over(whole).alias("all_q"))
+    t = cumulated(own, keys, score, ["p", "q"], range_cuts(df, [score])[0]).withColumn("below", F.col("before_q")).withColumn("tp", F.col("all_p") - F.col("before_p")).withColumn("fp", F.col("all_q") - F.col("before_q"))
     t = t.withColumn("j", F.round(F.try_divide("tp", "all_p") - F.try_divide("fp", "all_q"), 9))
     return t.groupBy(*keys).agg(
         F.round(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), F.max("all_p") * F.max("all_q")), 6).alias("auc"),
