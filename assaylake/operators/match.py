@@ -16,6 +16,15 @@ def match_stable(left: DataFrame, right: DataFrame, keys: list[str], left_id: st
     return a.join(b, [*keys, "__rank"], "full").drop("__rank")
 
 
+def match_context_then_stable(left: DataFrame, right: DataFrame, keys: list[str], context: str, left_id: str, right_id: str) -> DataFrame:
+    """keys, left_id, right_id, context_equal: in each bucket records of one context by their ids, then those left over, whatever their context."""
+    same = match_stable(left, right, [*keys, context], left_id, right_id)
+    paired = same.where(F.col(left_id).isNotNull() & F.col(right_id).isNotNull()).select(*keys, left_id, right_id)
+    rest = match_stable(left.join(paired.select(left_id), left_id, "left_anti"), right.join(paired.select(right_id), right_id, "left_anti"), keys, left_id, right_id)
+    both = F.when(F.col(left_id).isNotNull() & F.col(right_id).isNotNull(), False)
+    return paired.withColumn("context_equal", F.lit(True)).unionByName(rest.withColumn("context_equal", both))
+
+
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of rows and columns with the least total cost (Hungarian method with potentials)."""
     if cost.shape[0] > cost.shape[1]:

@@ -54,6 +54,14 @@ def cost_draws(spark: SparkSession, costs: list[float], draws: int, seed: int, l
     return spark.range(draws).select(F.col("id").alias("draw"), F.array(*each).alias("costs"))
 
 
+def fold_draws(spark: SparkSession, folds: DataFrame, columns: list[str], n: int, draws: int, seed: int) -> DataFrame:
+    """draw and, for each column of folds (fold from 0 to n - 1, a handful of rows), its value in a fold that the draw picks."""
+    out = spark.range(draws).select(F.col("id").alias("draw"), *[F.floor(uniform(seed, "id", F.lit(i)) * n).alias(f"__{c}") for i, c in enumerate(columns)])
+    for c in columns:
+        out = out.join(F.broadcast(folds.select(F.col("fold").alias(f"__{c}"), c)), f"__{c}")
+    return out.select("draw", *columns)
+
+
 def permuted(df: DataFrame, key: str, row: str, value: str, seed: int) -> DataFrame:
     """df with value dealt anew within each key: rows in order of row take values in order of a hash."""
 
