@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MODELS = {
-    "ridge": lambda: LinearRegression(featuresCol="x", labelCol="y", regParam=1.0, elasticNetParam=0.0),
-    "forest": lambda: RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=500, maxDepth=20, seed=7),
-    "boosted": lambda: GBTRegressor(featuresCol="x", labelCol="y", maxIter=20, maxDepth=4, seed=7),
+    "ridge": lambda: LinearRegression(featuresCol="__features", labelCol="y", regParam=1.0, elasticNetParam=0.0),
+    "forest": lambda: RandomForestRegressor(featuresCol="__features", labelCol="y", numTrees=500, maxDepth=20, seed=7),
+    "boosted": lambda: GBTRegressor(featuresCol="__features", labelCol="y", maxIter=20, maxDepth=4, seed=7),
 }
 
 
@@ -20,7 +20,7 @@ def cross_validated(df: DataFrame, features: list[str], target: str, fold: str,
     """row, fold, y_true, y_pred: each fold predicted by a model fitted on the others' rows with all features and a target; null where a row lacks a feature."""
     own = df.withColumn("y", F.col(target).cast("double"))
     whole = reduce(Column.__and__, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in features])
-    data = VectorAssembler(inputCols=features, outputCol="x").transform(own.where(whole)).select(row, fold, "x", "y")
+    data = VectorAssembler(inputCols=features, outputCol="__features").transform(own.where(whole)).select(row, fold, "__features", "y")
     lacking = own.where(~F.coalesce(whole, F.lit(False))).select(row, fold, F.col("y").alias("y_true"), F.lit(None).cast("double").alias("y_pred"))
     folds = [r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]
     parts = [MODELS[model]().fit(data.where((F.col(fold) != f) & F.col("y").isNotNull())).transform(data.where(F.col(fold) == f)) for f in folds]

@@ -96,7 +96,7 @@ def test_rows_without_a_feature_keep_a_null_prediction(spark):
 def test_models_come_back(spark, tmp_path):
     from pyspark.ml.feature import VectorAssembler
 
-    data = VectorAssembler(inputCols=["x"], outputCol="x_").transform(spark.range(20).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))).select(F.col("x_").alias("x"), "y")
+    data = VectorAssembler(inputCols=["x"], outputCol="__features").transform(spark.range(20).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y")))
     model = learn.MODELS["ridge"]().fit(data)
     again = learn.saved(model, f"file://{tmp_path}/m")
     assert again.transform(data).select("prediction").collect() == model.transform(data).select("prediction").collect()
