@@ -55,8 +55,10 @@ def assign(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> Da
     A null key goes where the empty text goes; equal keys go together; an empty table stays empty.
     """
     lookup = lookup_table(df.sparkSession, shards, slots)
-    slot = F.pmod(hashed(F.coalesce(F.col(key).cast("string"), F.lit("")), "key:"), F.lit(slots))
-    return df.drop("slot", "shard").withColumn("slot", slot).join(F.broadcast(lookup), "slot").select(*[c for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
+    slot = F.pmod(hashed(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), "key:"), F.lit(slots))
+    # The key may be one of the columns that are replaced.
+    names = [f"`{c}`" for c in df.columns if c.lower() not in ("slot", "shard")]
+    return df.select(slot.alias("__slot"), *names).join(F.broadcast(lookup), F.col("__slot") == F.col("slot")).select(*names, "slot", "shard")
 
 
 def shard_names(n: int = SHARDS) -> list[str]:

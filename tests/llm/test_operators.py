@@ -382,6 +382,13 @@ def test_sharding_keeps_rows_and_columns(odd, empty):
     assert sharding.assign(empty, "doc_id", sharding.shard_names(4), 53).count() == 0
 
 
+def test_keys_may_have_the_new_columns_names(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "slot string, x int")
+    plain = {r.k: r.shard for r in sharding.assign(df.withColumnRenamed("slot", "k"), "k", sharding.shard_names()).collect()}
+    out = sharding.assign(df, "slot", sharding.shard_names())
+    assert out.columns == ["x", "slot", "shard"] and {r.x: r.shard for r in out.collect()} == {1: plain["a"], 2: plain["b"], 3: plain[None]}
+
+
 # 7
 
 
