@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,11 +49,16 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Removes tables of this call; those it doesn't hold are left alone."""
+        """Removes tables of this call; those it doesn't hold are left alone.
+
+        Shuffle files go when the driver's JVM collects the plans that wrote them, which a large heap puts off; so it is asked to.
+        """
         for t in tables:
             if found := self.held.pop(id(t), None):
                 folder = self.spark._jvm.org.apache.hadoop.fs.Path(found[1])
                 folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        gc.collect()  # what Python holds of those plans
+        self.spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
