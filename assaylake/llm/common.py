@@ -82,8 +82,11 @@ def chunk_count(spark: SparkSession, total_bytes: int, chunk_bytes: int = 4 << 2
 
 
 def bucket_count(spark: SparkSession, total_bytes: int, bucket_bytes: int = 8 << 20) -> int:
-    """How many ranges of hashes keep one range's share of so many bytes small, whatever the input's size; two a partition at least."""
-    return max(2 * shuffle_partitions(spark), -(-total_bytes // bucket_bytes))
+    """How many ranges of hashes keep one range's share of so many bytes small, whatever the input's size; one a partition at least.
+
+    Each chunk sends to and hears from each range that it has hashes in, so more ranges than that only make more and smaller messages.
+    """
+    return max(shuffle_partitions(spark), -(-total_bytes // bucket_bytes))
 
 
 def chunk_of(doc_id: Column, text: Column, chunks: int) -> Column:

@@ -42,6 +42,7 @@ def lean_group(run: Callable) -> Callable:
         give_back()
         return out
 
+    whole.__name__ = run.__name__
     return whole
 
 
@@ -53,4 +54,5 @@ def lean_cogroup(run: Callable) -> Callable:
         give_back()
         return out
 
+    whole.__name__ = run.__name__
     return whole
