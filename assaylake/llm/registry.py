@@ -8,7 +8,7 @@ from .media import op5_media_columns
 from .ngram_join import op10_ngram_jaccard_join
 from .packing import op7_packing
 from .sharding import OP6_SQL, op6_sharding
-from .substring_dedup import op1_substring_dedup
+from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .warc import op8_warc_derivatives
 
 QUERIES = {
@@ -27,4 +27,4 @@ QUERIES = {
     )
 }
 
-ORACLE = {"op6_sharding": OP6_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE = {"op1_substring_dedup": OP1_SQL, "op6_sharding": OP6_SQL, "op9_line_dedup": OP9_SQL}

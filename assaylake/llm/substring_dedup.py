@@ -215,3 +215,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").alias("n_repeats"))
+
+
+OP1_SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT rid, i, sha256(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS h FROM (SELECT rid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS c FROM p) WHERE c > 1),
+g AS (SELECT DISTINCT rid, i + k AS j FROM r, range({WINDOW}) t(k)),
+x AS (SELECT rid, j, word, g.j IS NOT NULL AS gone FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM w) LEFT JOIN g USING (rid, j)),
+y AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY j), false) AS begins FROM x),
+k AS (SELECT rid, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_repeats, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM y GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_repeats, 0) AS n_repeats, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (rid)
+"""
