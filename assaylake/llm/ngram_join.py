@@ -274,3 +274,15 @@ def _open(nodes: DataFrame, index: DataFrame, labels: DataFrame) -> tuple[DataFr
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, sha256(array_to_string(w[i:i + {SHINGLE - 1}], ' ')) AS h FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.rid < b.rid GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * k >= {PERCENT} * (a.n + b.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT rid, doc_id AS c FROM w UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.rid JOIN w ON w.rid = e.y WHERE r.c < w.doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM w LEFT JOIN n USING (rid) JOIN (SELECT rid, min(c) AS component_id FROM r GROUP BY 1) USING (rid)
+"""

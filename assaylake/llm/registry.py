@@ -5,7 +5,7 @@ from .html_extract import op3_html_extraction
 from .language_id import op4_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .media import op5_media_columns
-from .ngram_join import op10_ngram_jaccard_join
+from .ngram_join import OP10_SQL, op10_ngram_jaccard_join
 from .packing import op7_packing
 from .sharding import OP6_SQL, op6_sharding
 from .substring_dedup import OP1_SQL, op1_substring_dedup
@@ -27,4 +27,4 @@ QUERIES = {
     )
 }
 
-ORACLE = {"op1_substring_dedup": OP1_SQL, "op6_sharding": OP6_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE = {"op1_substring_dedup": OP1_SQL, "op6_sharding": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL}
