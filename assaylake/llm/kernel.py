@@ -7,8 +7,11 @@ planes are nearly all zero, and the shuffle's compression takes them away.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 SEGMENT = 1 << 18
@@ -188,3 +191,32 @@ def member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     i = np.searchsorted(known, values)
     i[i == len(known)] = 0
     return known[i] == values
+
+
+class Spans(Words):
+    """The words of some texts without hashes: byte ranges, and bounds[i]:bounds[i+1] for text i."""
+
+    def _hash(self) -> None:
+        return None
+
+    def strings(self, pick: np.ndarray | None = None) -> pa.Array:
+        """The words themselves, or those picked."""
+        starts, ends = (self.starts, self.ends) if pick is None else (self.starts[pick], self.ends[pick])
+        size = ends - starts
+        offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+        np.cumsum(size, out=offsets[1:])
+        step = np.zeros(len(self.data) + 1, dtype=np.int8)
+        step[starts] += 1
+        step[ends] -= 1
+        data = self.data[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+        return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def pieces(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about `size` bytes of the text column, at least a row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, to - at)
+        at = to

@@ -1,6 +1,7 @@
 """The queries of this folder and, where SQL can express one, its SQL."""
 
 from .decontaminate import op2_benchmark_decontamination
+from .divergence import OP12_SQL, op12_source_divergence
 from .html_extract import op3_html_extraction
 from .language_id import op4_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
@@ -24,7 +25,8 @@ QUERIES = {
         op8_warc_derivatives,
         op9_line_dedup,
         op10_ngram_jaccard_join,
+        op12_source_divergence,
     )
 }
 
-ORACLE = {"op1_substring_dedup": OP1_SQL, "op6_sharding": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+ORACLE = {"op1_substring_dedup": OP1_SQL, "op6_sharding": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op12_source_divergence": OP12_SQL}
