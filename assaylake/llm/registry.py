@@ -9,6 +9,7 @@ from .media import op5_media_columns
 from .ngram_join import OP10_SQL, op10_ngram_jaccard_join
 from .packing import op7_packing
 from .sharding import OP6_SQL, op6_sharding
+from .spelling import OP13_SQL, op13_spelling_variants
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .warc import op8_warc_derivatives
 
@@ -26,7 +27,8 @@ QUERIES = {
         op9_line_dedup,
         op10_ngram_jaccard_join,
         op12_source_divergence,
+        op13_spelling_variants,
     )
 }
 
-ORACLE = {"op1_substring_dedup": OP1_SQL, "op6_sharding": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op12_source_divergence": OP12_SQL}
+ORACLE = {"op1_substring_dedup": OP1_SQL, "op6_sharding": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op12_source_divergence": OP12_SQL, "op13_spelling_variants": OP13_SQL}
