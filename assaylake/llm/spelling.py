@@ -28,7 +28,7 @@ from .memory import lean
 
 LEAST_POINTS, LEAST_SEEN, FORM_TIMES, ONE_IN = 7, 2, 10, 31
 #: Bytes of text read at a time, entries of a unit, and the length from which on words share their units.
-PIECE, UNIT, LONG = 4 << 20, 2048, 64
+PIECE, UNIT, LONG = 4 << 20, 1 << 15, 64
 BANDS, BAND_BITS = 3, 10
 WORDS = pa.schema([("word", pa.string()), ("n", pa.int64())])
 ENTRIES = pa.schema([("band", pa.int32()), ("value", pa.int32()), ("size", pa.int32()), ("longer", pa.bool_()), ("mask", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
@@ -136,16 +136,6 @@ def _enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(c.take(pa.array(own)) for c in batch.columns)], schema=ENTRIES)
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Whether a and b differ by exactly one inserted, deleted or replaced sign."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1 or a == b:
-        return False
-    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return a[k + (len(a) == len(b)) :] == b[k + 1 :]
-
-
 def _verified(i: np.ndarray, j: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Which of the rows left[i] and right[j], of as many letters or of one more on the right, differ by one edit."""
     out, size = np.zeros(len(i), dtype=bool), left.shape[1]
@@ -161,50 +151,55 @@ def _verified(i: np.ndarray, j: np.ndarray, left: np.ndarray, right: np.ndarray)
     return out
 
 
-def _meet(mask: np.ndarray, other: np.ndarray, flips: tuple[int, ...], band: int, triangle: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs whose masks differ in so many bits, and in each band before this one."""
-    step = max(1, (1 << 21) // max(1, len(other)))
-    for at in range(0, len(mask), step):
-        apart = mask[at : at + step, None] ^ other[None]
-        bits = np.bitwise_count(apart)
-        fits = bits == flips[0]
-        for f in flips[1:]:
-            fits |= bits == f
-        i, j = np.nonzero(fits)
-        good = i + at < j if triangle else np.ones(len(i), dtype=bool)
-        for b in range(band):
-            good &= (apart[i, j] >> np.uint32(b * BAND_BITS)) & np.uint32((1 << BAND_BITS) - 1) != 0
-        yield i[good] + at, j[good]
+def _equal(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of equal numbers of a and b, at most one for each of a at a time."""
+    order = np.argsort(b, kind="stable")
+    at, end = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
+    on = np.flatnonzero(at < end)
+    while len(on):
+        yield on, order[at[on]]
+        at[on] += 1
+        on = on[at[on] < end[on]]
+
+
+def _hashed(letters: np.ndarray) -> np.ndarray:
+    up, _ = K.BYTES.get(letters.shape[1] + 1)
+    return letters.astype(K.U) @ up[: letters.shape[1]]
 
 
 def _pairs(unit: int, mask: np.ndarray, longer: np.ndarray, block: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the near pairs of one unit, whose words are in order."""
-    band, size, split = unit >> 57, unit >> 40 & 127, (unit >> 20 & 0xFFFFF) != (unit & 0xFFFFF)
+    """Places of the near pairs of one unit.
+
+    Verification begins with halves: words one edit apart agree in all before the middle letter or in all from it on, so only such
+    have their masks and then their letters compared.
+    """
+    band, split = unit >> 57, (unit >> 20 & 0xFFFFF) != (unit & 0xFFFFF)
     data, offsets = _strings(words)
+    letters = np.where(np.concatenate(([False], data[:-1] == 0xC3)), data + np.uint8(0x40), data)
+    real = data != 0xC3
+    size = np.add.reduceat(real.astype(np.int64), offsets[:-1])
     found = []
-    if size >= LONG:
-        text = words.to_pylist()
-        for i, j in _meet(mask, mask, (0, 1, 2), band, True):
-            good = [one_edit(text[a], text[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
-            found.append((i[good], j[good]))
-    else:
-        letters = np.where(np.concatenate(([False], data[:-1] == 0xC3)), data + np.uint8(0x40), data)
-        own = np.repeat(longer, np.diff(offsets))
-        short, long = np.flatnonzero(~longer), np.flatnonzero(longer)
-        left = letters[~own & (data != 0xC3)].reshape(len(short), size)
-        right = letters[own & (data != 0xC3)].reshape(len(long), size + 1)
-        for a, b, rows, flips in ((short, short, left, (0, 2)), (short, long, right, (1,))):
-            for i, j in _meet(mask[a], mask[b], flips, band, a is b):
-                if split:
-                    cross = block[a[i]] != block[b[j]]
-                    i, j = i[cross], j[cross]
-                good = _verified(i, j, left, rows)
-                found.append((a[i[good]], b[j[good]]))
-    i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-    if split and size >= LONG:
-        cross = block[i] != block[j]
-        i, j = i[cross], j[cross]
-    return i, j
+    wide = np.diff(offsets)
+    for n in np.unique(size[~longer]).tolist():
+        short, long = np.flatnonzero((size == n) & ~longer), np.flatnonzero(size == n + 1)
+        rows = [letters[np.repeat(w, wide) & real].reshape(-1, k) for k, w in ((n, (size == n) & ~longer), (n + 1, size == n + 1))]
+        front, back = [_hashed(r[:, : n // 2]) for r in rows], [_hashed(rows[0][:, n // 2 :]), _hashed(rows[1][:, n // 2 + 1 :])]
+        # Two words of n letters: the first half or what follows it; with one of n + 1, its middle letter is the one too many.
+        for other, own, right, flips in ((short, 0, rows[0], (0, 2)), (long, 1, rows[1], (1, 1))):
+            for k, (x, y) in enumerate(((front[0], front[own]), (back[0], back[own]))):
+                for i, j in _equal(x, y):
+                    apart = mask[short[i]] ^ mask[other[j]]
+                    bits = np.bitwise_count(apart)
+                    good = (bits == flips[0]) | (bits == flips[1])
+                    good &= i < j if other is short else (k == 0) | (front[0][i] != front[1][j])
+                    for b in range(band):
+                        good &= (apart >> np.uint32(b * BAND_BITS)) & np.uint32((1 << BAND_BITS) - 1) != 0
+                    if split:
+                        good &= block[short[i]] != block[other[j]]
+                    i, j = i[good], j[good]
+                    good = _verified(i, j, rows[0], right)
+                    found.append((short[i[good]], other[j[good]]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
 
 
 def _summed(unit: int, rows: pa.Table) -> pa.Table | None:
