@@ -149,7 +149,7 @@ def _met(yields: int):
             a, b, d = (np.concatenate([f[k] for f in found]) for k in range(3))
             order = np.lexsort((d, b, a))
             a, b, d = a[order], b[order], d[order]
-            new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+            new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
             out = _table(PAIRS, a[new], b[new], d[new])
         return out, None if last else rows.slice(at[-2])
 
