@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -53,61 +55,215 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((of[j] - 1, j - 1) for j in range(1, m + 1) if of[j])
 
 
-MOST_BUCKET = 2000
+class _Flow:
+    """Flow of least cost between classes: rounds of all shortest ways at once, of which there are as many as there are different costs."""
 
+    def __init__(self):
+        self.out, self.to, self.left, self.cost = [], [], [], []
 
-def by_rank(p: pd.DataFrame, q: pd.DataFrame, left_id: str, right_id: str) -> list[tuple[int, int]]:
-    """Index pairs of rows with equal values, then equal contexts, then of the rest, each in order of ids."""
-    p, q, pairs = p.sort_values(left_id), q.sort_values(right_id), []
-    for x, y in (("va", "vb"), ("ca", "cb")):
-        a, b = p[p[x].notna()], q[q[y].notna()]
-        a = pd.DataFrame({"v": a[x], "k": a.groupby(x).cumcount(), "i": a.index})
-        b = pd.DataFrame({"v": b[y], "k": b.groupby(y).cumcount(), "j": b.index})
-        same = a.merge(b, on=["v", "k"])
-        pairs += zip(same.i, same.j, strict=True)
-        p, q = p.drop(same.i), q.drop(same.j)
-    return [*pairs, *zip(p.index, q.index, strict=False)]
+    def node(self) -> int:
+        self.out.append([])
+        return len(self.out) - 1
 
+    def edge(self, u: int, v: int, most: int, cost: int = 0) -> int:
+        for a, b, n, c in ((u, v, most, cost), (v, u, 0, -cost)):
+            self.out[a].append(len(self.to))
+            self.to.append(b)
+            self.left.append(n)
+            self.cost.append(c)
+        return len(self.to) - 2
 
-def match_by_value(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, value: str, context: str) -> DataFrame:
-    """keys, left_id, right_id, value_equal, context_equal: most equal values first, then most equal contexts, then the nearest ids.
+    def sent(self, edge: int) -> int:
+        return self.left[edge ^ 1]
+
+    def _costs(self, start: int) -> list[float]:
+        far, waits, held = [float("inf")] * len(self.out), deque([start]), [False] * len(self.out)
+        far[start] = 0
+        while waits:
+            u = waits.popleft()
+            held[u] = False
+            for e in self.out[u]:
+                v = self.to[e]
+                if self.left[e] and far[u] + self.cost[e] < far[v]:
+                    far[v] = far[u] + self.cost[e]
+                    if not held[v]:
+                        held[v] = True
+                        waits.append(v)
+        return far
+
+    def run(self, start: int, end: int) -> None:
+        while True:
+            far = self._costs(start)
+            if far[end] == float("inf"):
+                return
+            fits = lambda u, e, far=far: self.left[e] and far[self.to[e]] == far[u] + self.cost[e]
+            while True:
+                level, ring = {start: 0}, [start]
+                while ring and end not in level:
+                    ring = [v for u in ring for e in self.out[u] if fits(u, e) and (v := self.to[e]) not in level and not level.update({v: level[u] + 1})]
+                if end not in level:
+                    break
+                tried, way = [0] * len(self.out), []
+                while True:
+                    u = self.to[way[-1]] if way else start
+                    if u == end:
+                        most = min(self.left[e] for e in way)
+                        for e in way:
+                            self.left[e] -= most
+                            self.left[e ^ 1] += most
+                        way = way[: next(k for k, e in enumerate(way) if not self.left[e])]
+                        continue
+                    while tried[u] < len(self.out[u]) and not (fits(u, e := self.out[u][tried[u]]) and level.get(self.to[e]) == level[u] + 1):
+                        tried[u] += 1
+                    if tried[u] < len(self.out[u]):
+                        way.append(self.out[u][tried[u]])
+                    elif way:
+                        tried[self.to[way.pop() ^ 1]] += 1
+                    else:
+                        break
+
+
+def _dealt(ways_in: list[tuple[int, int]], ways_out: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Who in came through a node to whom out, in order: (in, out, how many)."""
+    out, rest = [], [list(w) for w in ways_out if w[1]]
+    for who, n in ways_in:
+        while n:
+            m = min(n, rest[0][1])
+            out.append((who, rest[0][0], m))
+            n -= m
+            rest[0][1] -= m
+            if not rest[0][1]:
+                rest.pop(0)
+    return out
 
-    Records that agree in value and context are paired natively; only what is left of a bucket is assigned in Python, which bounds its cost
-    matrix; in a bucket with more than MOST_BUCKET records left on a side, equal values are paired by rank of their ids, then equal
-    contexts of what is left, then the rest: as many equal values as the assignment has, though perhaps fewer equal contexts.
+
+def pair_classes(left: list[tuple], right: list[tuple]) -> list[tuple[int, int, int]]:
+    """Pairs of classes (value, context, n) with how many of each: as many equal values as can be, then as many compatible contexts.
+
+    As many pairs as the smaller side has records. A null in a left context fits anything; a null value equals none. Edges are
+    few: equal values and compatible contexts each meet in nodes of their own, and contexts are looked up by the fields present.
     """
-    a = left.select(*keys, F.col(left_id), F.col(value).alias("va"), F.col(context).alias("ca"))
-    b = right.select(*keys, F.col(right_id), F.col(value).alias("vb"), F.col(context).alias("cb"))
-    wa = Window.partitionBy(*keys, "va", "ca").orderBy(left_id)
-    wb = Window.partitionBy(*keys, "vb", "cb").orderBy(right_id)
-    a, b = a.withColumn("__rank", F.row_number().over(wa)), b.withColumn("__rank", F.row_number().over(wb))
-    b = b.withColumnsRenamed({k: f"r__{k}" for k in [*keys, "__rank"]})
-    on = [F.col(k) == F.col(f"r__{k}") for k in [*keys, "__rank"]]
-    same = a.join(b, [*on, F.col("va").eqNullSafe(F.col("vb")), F.col("ca").eqNullSafe(F.col("cb"))])
-    exact = same.select(*keys, left_id, right_id, F.lit(True).alias("value_equal"), F.lit(True).alias("context_equal"))
-    b = b.withColumnsRenamed({f"r__{k}": k for k in [*keys, "__rank"]})
-    rest_a, rest_b = a.join(exact.select(left_id), left_id, "left_anti").drop("__rank"), b.join(exact.select(right_id), right_id, "left_anti").drop("__rank")
-    names = [*keys, left_id, right_id, "value_equal", "context_equal"]
+    f = _Flow()
+    start, end = f.node(), f.node()
+    most = min(sum(x[2] for x in left), sum(x[2] for x in right))
+    a, b = [f.node() for _ in left], [f.node() for _ in right]
+    for node, x in zip(a, left, strict=True):
+        f.edge(start, node, x[2])
+    for node, x in zip(b, right, strict=True):
+        f.edge(node, end, x[2])
+    contexts = sorted({x[1] for x in right}, key=str)
+    looked: dict[tuple, dict] = {}
+
+    def fitting(pattern: tuple) -> list[tuple]:
+        there = tuple(k for k, x in enumerate(pattern) if x is not None)
+        if there not in looked:
+            looked[there] = {}
+            for c in contexts:
+                looked[there].setdefault(tuple(c[k] for k in there), []).append(c)
+        return looked[there].get(tuple(pattern[k] for k in there), [])
+
+    whole = most + 1
+    ends: dict = {}
+    for j, (v, c, _) in enumerate(right):
+        ends.setdefault(v, {}).setdefault(c, []).append(j)
+    flows, hubs = [], {}
+
+    def hub(name: tuple) -> tuple[int, list, list]:
+        return hubs.setdefault(name, (f.node(), [], []))
+
+    pool = hub(("any",))
+    for j in range(len(right)):
+        pool[2].append((j, f.edge(pool[0], b[j], most)))
+        own = hub(("context", right[j][1]))
+        own[2].append((j, f.edge(own[0], b[j], most)))
+    for i, (v, p, _) in enumerate(left):
+        pool[1].append((i, f.edge(a[i], pool[0], most)))
+        if v is not None and v in ends:
+            for c in fitting(p):
+                flows += [(i, j, f.edge(a[i], b[j], most, -whole - 1)) for j in ends[v].get(c, ())]
+            new = ("value", v) not in hubs
+            h = hub(("value", v))
+            if new:
+                h[2].extend((j, f.edge(h[0], b[j], most)) for at in ends[v].values() for j in at)
+            h[1].append((i, f.edge(a[i], h[0], most, -whole)))
+        if fits := fitting(p):
+            new = ("pattern", p) not in hubs
+            h = hub(("pattern", p))
+            if new:
+                h[2].extend((c, f.edge(h[0], hub(("context", c))[0], most, -1)) for c in fits)
+            h[1].append((i, f.edge(a[i], h[0], most)))
+    f.run(start, end)
+    told = lambda ways: [(x, f.sent(e)) for x, e in ways]
+    pairs = [(i, j, f.sent(e)) for i, j, e in flows]
+    into: dict = {}
+    for name, (_, come, go) in sorted(hubs.items(), key=str):
+        if name[0] == "pattern":
+            for i, c, n in _dealt(told(come), told(go)):
+                into.setdefault(c, []).append((i, n))
+        elif name[0] != "context":
+            pairs += _dealt(told(come), told(go))
+    for c, come in into.items():
+        pairs += _dealt(come, told(hubs["context", c][2]))
+    return [x for x in pairs if x[2]]
+
+
+#: How many pairs of one class with another one row stands for at most while they are dealt to records.
+RUN = 4096
+
+
+def match_compatible(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, value: str, context: str) -> DataFrame:
+    """keys, left_id, right_id, value_equal, context_equal: one to one in each bucket, as many pairs as its smaller side has records.
+
+    Most equal values first, then most contexts that fit: context is an array of fields, and a null field on the left fits any,
+    while one on the right fits a null only. A null value equals none. Records of one value and context are one class; classes are
+    counted and dealt natively, and only they are paired in Python, so a bucket costs as many steps as it has classes, whatever
+    its records. Within a class the smaller ids go first. Ids are unique; those left over have nulls.
+    """
+    sides = []
+    for d, i, s in ((left, left_id, "a"), (right, right_id, "b")):
+        own = d.select(*[F.col(k).alias(k) for k in keys], F.col(i).alias(f"id_{s}"), F.col(value).alias(f"v_{s}"), F.col(context).alias(f"c_{s}"))
+        sides.append(own.withColumn(f"place_{s}", F.row_number().over(Window.partitionBy(*keys, f"v_{s}", f"c_{s}").orderBy(f"id_{s}"))))
+    a, b = sides
+    counts = [d.groupBy(*keys, f"v_{s}", f"c_{s}").agg(F.count("*").alias("n")) for d, s in ((a, "a"), (b, "b"))]
+    of = [f"of_{k}" for k in keys]
+    schema = T.StructType([*counts[0].drop("n").schema, *counts[1].drop("n", *keys).schema, T.StructField("n", T.LongType())])
+    counts[1] = counts[1].withColumnsRenamed(dict(zip(keys, of, strict=True)))
+    names = [f.name for f in schema]
 
     def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        p, q = p.sort_values(left_id).reset_index(drop=True), q.sort_values(right_id).reset_index(drop=True)
-        pairs: list = []
-        if len(p) and len(q):
-            if max(len(p), len(q)) > MOST_BUCKET:
-                pairs = by_rank(p, q, left_id, right_id)
-            else:
-                v = p.va.to_numpy()[:, None] == q.vb.to_numpy()[None, :]
-                c = p.ca.to_numpy()[:, None] == q.cb.to_numpy()[None, :]
-                near = np.abs(np.arange(len(p))[:, None] - np.arange(len(q))[None, :])
-                pairs = assign(-(v * 4.0 + c * 1.0) * 1e4 + near)
-        used_a, used_b = {i for i, _ in pairs}, {j for _, j in pairs}
-        rows = [[*p.loc[i, keys], p.at[i, left_id], q.at[j, right_id], bool(p.at[i, "va"] == q.at[j, "vb"]), bool(p.at[i, "ca"] == q.at[j, "cb"])] for i, j in pairs]
-        rows += [[*p.loc[i, keys], p.at[i, left_id], None, None, None] for i in p.index if i not in used_a]
-        rows += [[*q.loc[j, keys], None, q.at[j, right_id], None, None] for j in q.index if j not in used_b]
-        return pd.DataFrame(rows, columns=names).astype({left_id: "Int64", right_id: "Int64"}) if rows else pd.DataFrame(columns=names)
-
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in exact.select(*names).schema])
-    return exact.select(*names).unionByName(rest_a.groupBy(*keys).cogroup(rest_b.groupBy(*keys)).applyInPandas(run, schema))
+        if not len(p) or not len(q):
+            return pd.DataFrame(columns=names)
+        read = lambda d, s: sorted(((None if pd.isna(v) else v, tuple(c), int(n), k) for k, (v, c, n) in enumerate(zip(d[f"v_{s}"], d[f"c_{s}"], d.n, strict=True))), key=lambda x: str(x[:2]))
+        x, y = read(p, "a"), read(q, "b")
+        pairs = pair_classes([r[:3] for r in x], [r[:3] for r in y])
+        one, two = p.iloc[[x[i][3] for i, _, _ in pairs]].reset_index(drop=True), q.iloc[[y[j][3] for _, j, _ in pairs]].reset_index(drop=True)
+        return pd.concat([one.drop(columns="n"), two.drop(columns=["n", *of])], axis=1).assign(n=[n for _, _, n in pairs])[names]
+
+    dealt = counts[0].groupBy(*keys).cogroup(counts[1].groupBy(*of)).applyInPandas(run, schema)
+    before = lambda s, o: F.sum("n").over(Window.partitionBy(*keys, f"v_{s}", f"c_{s}").orderBy(f"v_{o}", f"c_{o}").rowsBetween(Window.unboundedPreceding, -1))
+    dealt = dealt.groupBy(*names[:-1]).agg(F.sum("n").alias("n")).withColumns({f"at_{s}": F.coalesce(before(s, o), F.lit(0)) for s, o in ("ab", "ba")})
+    runs = dealt.withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), "n", F.lit(RUN).cast("long"))))
+    each = runs.withColumn("k", F.explode(F.sequence("from", F.least(F.col("from") + RUN - 1, "n")))).withColumns({f"place_{s}": F.col(f"at_{s}") + F.col("k") for s in "ab"})
+    key = lambda d, e, s: [F.col(f"{d}.{k}") == F.col(f"{e}.{k}") for k in keys] + [F.col(f"{d}.{c}_{s}").eqNullSafe(F.col(f"{e}.{c}_{s}")) for c in ("v", "c", "place")]
+    pairs = each.alias("e").join(a.alias("x"), key("e", "x", "a")).join(b.alias("y"), key("e", "y", "b"))
+    fits = F.forall(F.zip_with("x.c_a", "y.c_b", lambda p, q: p.isNull() | F.coalesce(p == q, F.lit(False))), lambda t: t)
+    same = F.coalesce(F.col("x.v_a") == F.col("y.v_b"), F.lit(False))
+    paired = pairs.select(*[F.col(f"e.{k}").alias(k) for k in keys], "x.id_a", "y.id_b", same.alias("value_equal"), fits.alias("context_equal"))
+    none = lambda n, t: F.lit(None).cast(t).alias(n)
+    flags = [none("value_equal", "boolean"), none("context_equal", "boolean")]
+    alone = a.join(paired.select("id_a"), "id_a", "left_anti").select(*keys, "id_a", none("id_b", b.schema["id_b"].dataType), *flags)
+    spare = b.join(paired.select("id_b"), "id_b", "left_anti").select(*keys, none("id_a", a.schema["id_a"].dataType), "id_b", *flags)
+    return paired.unionByName(alone).unionByName(spare).withColumnsRenamed({"id_a": left_id, "id_b": right_id})
+
+
+def match_by_value(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, value: str, context: str) -> DataFrame:
+    """keys, left_id, right_id, value_equal, context_equal: most equal values first, then most equal contexts; null equals null.
+
+    `match_compatible` with one field that nothing leaves out, at any size of a bucket.
+    """
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    a, b = (d.select(*keys, i, text(value).alias("__value"), F.array(text(context)).alias("__context")) for d, i in ((left, left_id), (right, right_id)))
+    return match_compatible(a, b, keys, left_id, right_id, "__value", "__context")
 
 
 def dispositions(pairs: DataFrame, left_id: str, right_id: str) -> DataFrame:
