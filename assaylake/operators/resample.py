@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import finite
 
 #: Steps of the distribution function of Poisson(1).
 POISSON = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(11)]).tolist()
@@ -36,6 +38,106 @@ def bootstrap_means(df: DataFrame, key: str, row: str, value: str, draws: int, s
     return sums.select(key, "draw", F.try_divide("s", "n").alias("mean"))
 
 
+#: A row's two numbers and a draw's two are below this prime; a draw's number for a row is the sum of their products modulo it.
+PRIME = (1 << 31) - 1
+#: Rows and draws whose weights are in memory at once.
+ROWS, DRAWS = 2048, 512
+
+
+def _numbers(seed: int, *columns) -> list[F.Column]:
+    """Two numbers below PRIME from the MD5 of the seed and columns."""
+    h = _hash(seed, *columns)
+    return [(F.conv(F.substring(h, at, 8), 16, 10).cast("long") % PRIME).alias(n) for at, n in ((1, "__x"), (9, "__y"))]
+
+
+def draw_numbers(draws: int, seed: int) -> np.ndarray:
+    """Each draw's two numbers, as `_numbers` has them for the text draw."""
+    own = [hashlib.md5(f"{seed}|draw|{d}".encode()).hexdigest() for d in range(draws)]
+    return np.array([[int(h[:8], 16) % PRIME, int(h[8:16], 16) % PRIME] for h in own], dtype=np.int64).reshape(-1, 2)
+
+
+def weights(x: np.ndarray, y: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """How often each row is in each draw: Poisson(1), a row a row and a column a draw."""
+    u = (x[:, None] * draws[:, 0] + y[:, None] * draws[:, 1]) % PRIME
+    return np.searchsorted(np.array(POISSON), u / PRIME, side="right")
+
+
+def _by_draw(columns: list[str], draws: int, seed: int):
+    """Sums of weights and of weighted columns by draw, a row a batch's key and draw: what a task sends does not grow with its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = draw_numbers(draws, seed)
+        for batch in batches:
+            key = batch.column("__p").to_numpy(zero_copy_only=False)
+            x, y = (batch.column(c).to_numpy() for c in ("__x", "__y"))
+            values = np.stack([np.ones(len(key)), *[batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns]], axis=1)
+            for k in np.unique(key):
+                own = np.flatnonzero(key == k)
+                for d in range(0, draws, DRAWS):
+                    some, sums = every[d : d + DRAWS], 0
+                    for at in range(0, len(own), ROWS):
+                        i = own[at : at + ROWS]
+                        sums = sums + weights(x[i], y[i], some).T @ values[i]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(np.arange(d, d + len(some))), *map(pa.array, sums.T)], names=["__p", "draw", "w", *columns])
+
+    return run
+
+
+def enrichment_draws(df: DataFrame, score: str, passes: str, row: str, low: bool, shares: list[float], draws: int, seed: int) -> DataFrame:
+    """share, draw, factor: the enrichment of the best share of each bootstrap sample; all shares are taken of the same samples.
+
+    A row counts as often as Poisson(1) has it in a draw. A sample's best k rows are told by its rows' weights summed in order of
+    rank, so that no sample is gathered and rows are not multiplied by draws: rows are dealt by ranges of rank, sums by range and
+    draw give what goes before a range, and each range adds what it has within k. Factors of samples in which nothing passes are
+    null. Rows without a score or outcome take no part; ties as in `topk.ranked`.
+    """
+    from . import topk
+
+    rows = df.where(finite(F.col(score), F.col(passes))).select(F.col(score).alias("s"), F.col(passes).cast("double").alias("pass"), F.col(row).alias("r"))
+    r = topk.ranked(rows, "s", "r", low).withColumn("__p", F.floor((F.col("k") - 1) / ROWS)).select("__p", "k", "pass", *_numbers(seed, "r"))
+    sums = r.select("__p", "pass", "__x", "__y").mapInArrow(_by_draw(["pass"], draws, seed), "__p long, draw long, w double, pass double").groupBy("__p", "draw").agg(F.sum("w").alias("w"), F.sum("pass").alias("pass"))
+    along = Window.partitionBy("draw")
+    told = sums.select("__p", "draw", (F.sum("w").over(along.orderBy("__p")) - F.col("w")).alias("before"), F.sum("w").over(along).alias("w"), F.sum("pass").over(along).alias("pass"))
+    arrays = told.groupBy("__p").agg(F.array_sort(F.collect_list(F.struct("draw", "before", "w"))).alias("a")).select("__p", *[F.col(f"a.{c}").alias(c) for c in ("before", "w")])
+
+    def run(key: tuple, own: pa.Table, totals: pa.Table) -> pa.Table:
+        own = own.sort_by("k")
+        x, y, good = (own.column(c).to_numpy() for c in ("__x", "__y", "pass"))
+        every = draw_numbers(draws, seed)
+        before, total = (np.array(totals.column(c)[0].as_py()) for c in ("before", "w"))
+        hits = np.zeros((len(shares), draws))
+        for d in range(0, draws, DRAWS):
+            w = weights(x, y, every[d : d + DRAWS])
+            ahead = before[d : d + DRAWS] + np.cumsum(w, axis=0) - w
+            for i, s in enumerate(shares):
+                most = np.maximum(1, np.rint(s * total[d : d + DRAWS]))
+                hits[i, d : d + DRAWS] = good @ np.clip(most - ahead, 0, w)
+        i, d = np.nonzero(hits)
+        return pa.table({"i": i, "draw": d, "hits": hits[i, d]})
+
+    groups = r.groupBy("__p").cogroup(arrays.groupBy("__p"))
+    hits = groups.applyInArrow(run, "i long, draw long, hits double").groupBy("i", "draw").agg(F.sum("hits").alias("hits"))
+    of = told.where("__p = 0").select("draw", "w", "pass", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(shares) - 1).cast("long"))).alias("i"))
+    share = F.element_at(F.array(*[F.lit(float(s)) for s in shares]), (F.col("i") + 1).cast("int"))
+    most = F.greatest(F.lit(1.0), F.rint(share * F.col("w")))
+    factor = F.try_divide(F.coalesce("hits", F.lit(0.0)) / most, F.try_divide("pass", "w"))
+    return of.join(hits, ["i", "draw"], "left").select(share.alias("share"), "draw", factor.alias("factor"))
+
+
+def compounded(draws: list[DataFrame]) -> DataFrame:
+    """draw, factor: the product of several gates' factors (draw, factor), draw by draw."""
+    out = draws[0].select("draw", "factor")
+    for d in draws[1:]:
+        out = out.join(d.select("draw", F.col("factor").alias("__f")), "draw").select("draw", (F.col("factor") * F.col("__f")).alias("factor"))
+    return out
+
+
+def intervals(draws: DataFrame, by: list[str], value: str, places: int = 4) -> DataFrame:
+    """by, n, low, median, high: the 95 % interval of the draws that have a value."""
+    at = {"low": 0.025, "median": 0.5, "high": 0.975}
+    return draws.groupBy(*by).agg(F.count(value).alias("n"), *[F.round(F.expr(f"percentile({value}, {q}D)") + 1e-9, places).alias(n) for n, q in at.items()])
+
+
 def rate_draws(spark: SparkSession, rates: list[float], sizes: list[int], draws: int, seed: int, slices: int = 16) -> DataFrame:
     """draw, rates: binomial resamples of pass rates, a generator per draw."""
 
@@ -64,7 +166,6 @@ def fold_draws(spark: SparkSession, folds: DataFrame, columns: list[str], n: int
 
 def permuted(df: DataFrame, key: str, row: str, value: str, seed: int) -> DataFrame:
     """df with value dealt anew within each key: rows in order of row take values in order of a hash."""
-
     w = Window.partitionBy(key)
     a = df.withColumn("__k", F.row_number().over(w.orderBy(row)))
     b = df.select(F.col(key), F.col(value).alias("shuffled"), F.row_number().over(w.orderBy(_hash(seed, row), row)).alias("__k"))

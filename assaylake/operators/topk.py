@@ -5,6 +5,8 @@ Order within a table is global; so that no task sorts all rows, the cut is found
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +27,19 @@ def size_round(n: Column, share: float) -> Column:
 def ranked(df: DataFrame, score: str, row: str, low: bool, strata: list[str] = ()) -> DataFrame:
     """df with k (from 1, best first) and n, in each stratum. Ties: for low scores the least row first, for high ones the greatest.
 
-    Without strata rows are dealt by ranges of the score; a row's rank is its rank in its range and the sizes of the ranges before, of which
-    there are as many as shuffle partitions.
+    Rows are dealt by ranges of the score, whatever their stratum; a row's rank is its rank among its stratum's rows in its range
+    and their number in the ranges before, so a stratum that holds most rows is spread over as many tasks as there are ranges.
     """
     order = [F.asc(score), F.asc(row)] if low else [F.desc(score), F.desc(row)]
-    if strata:
-        w = Window.partitionBy(*strata)
-        return df.withColumn("k", F.row_number().over(w.orderBy(*order)).cast("long")).withColumn("n", F.count("*").over(w))
+    strata = list(strata)
     dealt = checkpointed(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
-    sizes = dealt.groupBy("__p").agg(F.count("*").alias("__n"))  # a row per partition
-    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("n"))
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return dealt.join(F.broadcast(before), "__p").withColumn("k", inside + F.col("__before")).drop("__p", "__before")
+    sizes = dealt.groupBy("__p", *strata).agg(F.count("*").alias("__n"))  # a row per range and stratum
+    whole = Window.partitionBy(*strata)
+    before = sizes.select(F.col("__p").alias("__q"), *[F.col(c).alias(f"__s{i}") for i, c in enumerate(strata)], (F.sum("__n").over(whole.orderBy("__p")) - F.col("__n")).alias("__before"), F.sum("__n").over(whole).alias("n"))
+    inside = F.row_number().over(Window.partitionBy("__p", *strata).orderBy(*order))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(strata)], F.col("__p") == F.col("__q"))
+    joined = dealt.withColumn("__k", inside).join(before, same)
+    return joined.select(*df.columns, (F.col("__k") + F.col("__before")).cast("long").alias("k"), "n")
 
 
 def enrichment(df: DataFrame, score: str, outcome: str, passes: Column, row: str, low: bool, share: float = 0.2, size=size_floor) -> DataFrame:
@@ -72,6 +75,30 @@ def sweep(df: DataFrame, score: str, outcome: str, passes: Column, row: str, low
     return one.select(F.inline(rows))
 
 
+def precision_grid(df: DataFrame, score: str, outcome: str, row: str, low: bool, shares: list[float], thresholds: list[float], stratum: str | None = None, least: int = 10, size=size_floor) -> DataFrame:
+    """share, threshold, n, n_selected, n_hit, base_rate, precision, factor: how many of the best share of rows have an outcome above a threshold.
+
+    With a stratum the share is taken in each stratum of `least` rows or more; rows without one, and those of smaller strata, stay
+    in the base rate. Every share and threshold comes from one ranking and one count: shares lie in one another, and so do
+    thresholds, so a row is told by the first share that takes it and by how many thresholds it passes.
+    """
+    shares, thresholds = sorted(shares), sorted(thresholds)
+    rows = df.where(finite(F.col(score), F.col(outcome)))
+    r = ranked(rows, score, row, low, [stratum] if stratum else [])
+    first = F.coalesce(*[F.when(F.col("k") <= size(F.col("n"), x), i) for i, x in enumerate(shares)], F.lit(len(shares)))
+    if stratum:
+        first = F.when(F.col(stratum).isNotNull() & (F.col("n") >= least), first).otherwise(len(shares))
+    passed = sum((F.when(F.col(outcome) > x, 1).otherwise(0) for x in thresholds), F.lit(0))
+    counts = r.groupBy(first.alias("first"), passed.alias("passed")).agg(F.count("*").alias("m"))  # a row a share and threshold
+    own = counts.select("m", "first", "passed", F.explode(F.sequence(F.lit(0), F.lit(len(shares) - 1))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(thresholds) - 1))).alias("j"))
+    taken, hit = F.col("first") <= F.col("i"), F.col("passed") > F.col("j")
+    some = lambda c: F.coalesce(F.sum(F.when(c, F.col("m"))), F.lit(0))
+    out = own.groupBy("i", "j").agg(F.sum("m").alias("n"), some(taken).alias("n_selected"), some(taken & hit).alias("n_hit"), some(hit).alias("n_pass"))
+    at = lambda xs, i: F.element_at(F.array(*[F.lit(float(x)) for x in xs]), F.col(i) + 1)
+    base, precision = F.col("n_pass") / F.col("n"), F.try_divide("n_hit", "n_selected")
+    return out.select(at(shares, "i").alias("share"), at(thresholds, "j").alias("threshold"), "n", "n_selected", "n_hit", F.round(base, 6).alias("base_rate"), F.round(precision, 6).alias("precision"), F.round(F.try_divide(precision, base), 6).alias("factor"))
+
+
 def best_rows(df: DataFrame, keys: list[str], score: str, row: str) -> DataFrame:
     """Of each key the row with the greatest score, the least row number among equals."""
     w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(score), F.asc(row))
