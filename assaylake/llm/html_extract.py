@@ -39,6 +39,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search menu menub
 SIGMA, REACH = 1.0, 3
 SPREAD = 0.5
 MAIN = ("article", "main")
+#: Elements whose paragraphs are their own.
+APART = (*MAIN, "td", "th", "li", "div", "section", "body")
 HOLDERS = frozenset("article body center div form main section td".split())
 #: What an element has to hold of the ratio mass of its page to be content whatever its class says; a whole token says more than a part of one.
 MOST, WHOLE = 0.5, 0.9
@@ -59,6 +61,9 @@ class Lines(HTMLParser):
 
     An element that its name, its role or a form alone tells to be no content is a guess; those in `spared` (their numbers) are
     content. `guessed` has, of each guess, the share that it outweighs, the ratio mass and the marked articles in it.
+
+    What is open is held by the innermost of each kind and what that is in, so a page costs as many steps as it has tags, however
+    deep they are.
     """
 
     def __init__(self, spared: frozenset[int] = frozenset()):
@@ -68,8 +73,12 @@ class Lines(HTMLParser):
         self.holders = 0
         self.above: dict[int, int] = {}  # the holder that a holder is in
         self.marked: list[str] = []
+        self.outer: list[dict[str, int]] = []  # of a marked element, by kind, the outermost that it is or is in
+        self.around: list[int] = []  # the guess that a guess is in, or -1
+        self.at: dict[str, list[int]] = {}  # by tag, places in open
+        self.within: dict[str, list[int]] = {"mark": [-1], "home": [0], "guess": [-1]}  # open numbers, the innermost last
         self.text: list[str] = []
-        self.lost: list[tuple[tuple[int, ...], int]] = []  # guesses that text is in, and its length
+        self.lost: list[tuple[int, int]] = []  # the guess that text is in, and its length
         self.tags = 0
         self.dropped = 0  # open elements that are no content
         self.sure = 0  # those of them that are no guess
@@ -84,14 +93,13 @@ class Lines(HTMLParser):
 
     def _line(self) -> None:
         text = " ".join("".join(self.text).split())
-        for within, size in [*self.lost, ((), len(text) if not self.dropped else 0)]:
+        for guess, size in [*self.lost, (-1, len(text) if not self.dropped else 0)]:
             share = size / max(1, self.tags)
             self.mass += share
-            for k in within:
-                self.guessed[k][1] += share
+            if guess >= 0:
+                self.guessed[guess][1] += share
         if text or self.tags:
-            home = next((h for _, _, _, h, _ in reversed(self.open) if h), 0)
-            self.lines.append((text, self.tags, not self.dropped, tuple(k for _, _, k, _, _ in self.open if k >= 0), home))
+            self.lines.append((text, self.tags, not self.dropped, self.within["mark"][-1], self.within["home"][-1]))
         self.text, self.lost, self.tags = [], [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -115,24 +123,28 @@ class Lines(HTMLParser):
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 drop = True
         kind = "main" if role else tag
-        if tag == "header" and any(t in MAIN for t, *_ in self.open):
+        if tag == "header" and any(self.at.get(t) for t in MAIN):
             drop = False  # an article's own, with its title
         self.sure += drop
         number, which = -1, -1
         if guess and not drop and not self.sure:
             which = len(self.guessed)
             self.guessed.append([guess, 0.0, 0])
-        if kind in MAIN and not self.sure and which < 0:
-            for *_, k in self.open:
-                if k >= 0:
-                    self.guessed[k][2] += 1
+            self.around.append(self.within["guess"][-1])
+        if kind in MAIN and not self.sure and which < 0 and self.within["guess"][-1] >= 0:
+            self.guessed[self.within["guess"][-1]][2] += 1
         sure, drop = drop, drop or guess > 0 and which not in self.spared
         if kind in MAIN and not drop and not self.dropped:
-            number = len(self.marked)
+            number, inside = len(self.marked), self.within["mark"][-1]
             self.marked.append(kind)
+            self.outer.append({kind: number} | (self.outer[inside] if inside >= 0 else {}))
         if tag in HOLDERS:
             self.holders += 1
-            self.above[self.holders] = next((h for _, _, _, h, _ in reversed(self.open) if h), 0)
+            self.above[self.holders] = self.within["home"][-1]
+        for name, k, there in (("mark", number, number >= 0), ("home", self.holders, tag in HOLDERS), ("guess", which, which >= 0)):
+            if there:
+                self.within[name].append(k)
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, drop, number, self.holders if tag in HOLDERS else 0, -2 if sure else which))
         self.dropped += drop
 
@@ -142,15 +154,24 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def _close(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                for _, drop, *_, which in self.open[k:]:
-                    self.dropped -= drop
-                    self.sure -= which == -2
-                del self.open[k:]
-                return
-            if tag == "p" and self.open[k][0] in MAIN + ("td", "th", "li", "div", "section", "body"):
-                return  # a paragraph outside this element
+        k = self.at[tag][-1] if self.at.get(tag) else -1
+        if k < 0 or tag == "p" and any(self.at[t][-1] > k for t in APART if self.at.get(t)):
+            return  # nothing to close, or a paragraph outside the element that this is in
+        while len(self.open) > k:
+            own, drop, number, home, which = self.open.pop()
+            self.at[own].pop()
+            self.dropped -= drop
+            self.sure -= which == -2
+            for name, there in (("mark", number >= 0), ("home", home > 0), ("guess", which >= 0)):
+                if there:
+                    self.within[name].pop()
+
+    def settle(self) -> None:
+        """What a guess holds, the guess that it is in holds too."""
+        for k in range(len(self.guessed) - 1, -1, -1):
+            if self.around[k] >= 0:
+                for i in (1, 2):
+                    self.guessed[self.around[k]][i] += self.guessed[k][i]
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -162,9 +183,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.dropped:
             self.text.append(data)
-        if not self.sure and (within := tuple(k for *_, k in self.open if k >= 0)):
-            size = len(" ".join(data.split()))
-            self.lost.append((within, size))
+        if not self.sure and self.within["guess"][-1] >= 0:
+            self.lost.append((self.within["guess"][-1], len(" ".join(data.split()))))
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -180,6 +200,7 @@ def parsed(html: str, spared: frozenset[int] = frozenset()) -> Lines:
         parser.rawdata = ""  # a tag or comment that the page's end cuts off is no text
     parser.close()
     parser._line()
+    parser.settle()
     return parser
 
 
@@ -205,14 +226,15 @@ def main_text(html: str | None) -> list[str]:
     for kind in MAIN:
         weights: dict[int, float] = {}
         clustered: set[int] = set()
-        for m, (t, _, ok, inside, _) in zip(mass, lines, strict=True):
-            if own := [k for k in inside if parser.marked[k] == kind]:
-                weights[own[0]] = weights.get(own[0], 0.0) + m + (1e-9 if ok and t else 0.0)
+        top = [parser.outer[k].get(kind, -1) if k >= 0 else -1 for _, _, _, k, _ in lines]
+        for m, (t, _, ok, *_), own in zip(mass, lines, top, strict=True):
+            if own >= 0:
+                weights[own] = weights.get(own, 0.0) + m + (1e-9 if ok and t else 0.0)
                 if m > 0:
-                    clustered.add(own[0])
+                    clustered.add(own)
         if weights and max(weights.values()) > 0:
             kept = clustered or {max(weights, key=lambda k: (weights[k], -k))}
-            return [t for t, _, ok, inside, _ in lines if ok and t and not kept.isdisjoint(inside)]
+            return [t for (t, _, ok, *_), own in zip(lines, top, strict=True) if ok and t and own in kept]
     at = np.flatnonzero(dense & (ratios > 0))
     if not len(at):
         at = np.flatnonzero(ratios > 0)
@@ -225,15 +247,19 @@ def main_text(html: str | None) -> list[str]:
             weight[lines[k][4]] = weight.get(lines[k][4], 0.0) + ratios[k]
         homes.append(max(weight, key=weight.get))
     # The heaviest region counts, and those in the same element as its own, in that element's siblings, parent or children.
-    top = homes[max(range(len(regions)), key=lambda i: ratios[regions[i]].sum())]
-    near = lambda h: h == top or parser.above.get(h) in (top, parser.above.get(top, 0)) or h == parser.above.get(top)
-    kept = set()
+    heaviest = homes[max(range(len(regions)), key=lambda i: ratios[regions[i]].sum())]
+    near = lambda h: h == heaviest or parser.above.get(h) in (heaviest, parser.above.get(heaviest, 0)) or h == parser.above.get(heaviest)
+    ends: dict[int, list[int]] = {}
+    for k, (t, _, ok, _, home) in enumerate(lines):
+        if ok and t:
+            ends.setdefault(home, [k, k])[1] = k
+    step = np.zeros(len(lines) + 1, dtype=np.int64)
     for region, home in zip(regions, homes, strict=True):
         if near(home):
             # The element that holds most of a region is content from its first line to its last.
-            own = [k for k, x in enumerate(lines) if x[4] == home and x[0] and x[2]]
-            kept.update(range(min(region[0], own[0]), max(region[-1], own[-1]) + 1))
-    return [t for k, (t, _, ok, *_) in enumerate(lines) if k in kept and ok and t]
+            step[min(region[0], ends[home][0])] += 1
+            step[max(region[-1], ends[home][1]) + 1] -= 1
+    return [t for k, (t, _, ok, *_) in zip(np.cumsum(step), lines, strict=False) if k and ok and t]
 
 
 RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_blocks", pa.int64())])
