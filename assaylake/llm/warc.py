@@ -2,7 +2,8 @@
 
 Both refer to the response by its identifier and repeat its target and date; the metadata record holds the response's own
 WARC and HTTP headers, its digests as declared and as computed, and its title, links and sizes as JSON; the conversion holds the
-page's visible text. Identifiers of derivatives follow from the response's identifier, so that a repeated attempt makes
+page's visible text, its transfer and content encodings undone; a payload in an encoding that is not known here gives the empty text, and the
+metadata says so. Identifiers of derivatives follow from the response's identifier, so that a repeated attempt makes
 the same records. Each response is handled alone, in batches; there is no shuffle.
 """
 
@@ -16,6 +17,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -38,8 +40,47 @@ PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.
 INLINE = frozenset("a abbr b bdi bdo cite code del dfn em font i ins kbd mark q s samp small span strong sub sup tt u var wbr".split())
 SPACE = re.compile(r"[ \t\r\f\v\xa0]+")
 LINES = re.compile(r" ?\n[ \n]*")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.DOTALL | re.IGNORECASE)
-LINK = re.compile(r"""<(a|link|img|script|iframe|form)\b[^>]*?\s(href|src|action)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
+UNENDED = re.compile(r"<[a-zA-Z/!?]")
+#: Elements that link, and the attributes that say where to.
+LINKING, TARGETS = frozenset("a link img script iframe form".split()), ("href", "src", "action")
+
+
+class Links(HTMLParser):
+    """Title and links of a page: the first title, and of each linking element the first target. Scripts and comments hold neither."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.title: list[str] | None = None
+        self.inside = False
+        self.links: list[tuple[str, str]] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "title" and self.title is None:
+            self.title, self.inside = [], True
+        elif tag in LINKING and (found := next((v for k, v in attrs if k in TARGETS and v is not None), None)) is not None:
+            self.links.append((tag, found))
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "title":
+            self.inside = False
+
+    def handle_data(self, data: str) -> None:
+        if self.inside:
+            self.title.append(data)
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """What begins with <![ ends at the next >; the library stops the parser at unknown words."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
+
+def linked(page: str) -> Links:
+    parser = Links()
+    parser.feed(page)
+    if UNENDED.match(parser.rawdata):
+        parser.rawdata = ""
+    parser.close()
+    return parser
 
 
 def digest(raw: bytes) -> str:
@@ -128,7 +169,10 @@ def _tag(m: re.Match) -> str:
 
 
 def visible_text(page: str) -> str:
-    """Lines of a page's text without markup, scripts and styles; blank lines go."""
+    """Lines of a page's text without markup, scripts and styles; blank lines go. A tag that the page's end cuts off is no text."""
+    last = page.rfind(">") + 1
+    if cut := UNENDED.search(page, last):
+        page = page[: cut.start()]  # from here on every tag has an end, so that none is looked for twice
     body = PART.sub(_tag, SPACE.sub(" ", page.replace("\n", " ")))
     return LINES.sub("\n", SPACE.sub(" ", html.unescape(body))).strip()
 
@@ -141,6 +185,37 @@ def _decoded(http: list[tuple[str, str]], payload: bytes) -> str:
         return payload.decode("utf-8", "replace")
 
 
+def _chunks(raw: bytes) -> bytes:
+    """What a body in chunks holds, as far as it is whole."""
+    out, at = [], 0
+    while (end := raw.find(b"\n", at)) >= 0:
+        size = raw[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size) or not int(size, 16):
+            break
+        out.append(raw[end + 1 : end + 1 + int(size, 16)])
+        at = end + 1 + int(size, 16)
+        at += 2 if raw[at : at + 2] == b"\r\n" else 1
+    return b"".join(out)
+
+
+def unpacked(http: list[tuple[str, str]], payload: bytes) -> tuple[bytes, str | None]:
+    """A payload without its transfer and content encodings, and the encoding that can't be undone, if any; that far it is unpacked."""
+    if "chunked" in (get(http, "Transfer-Encoding") or "").lower() and re.match(rb"[0-9A-Fa-f]{1,15}[ \t]*(;[^\n]*)?\r?\n", payload):
+        payload = _chunks(payload)
+    for name in reversed([x.strip().lower() for x in (get(http, "Content-Encoding") or "").split(",") if x.strip()]):
+        if name == "identity":
+            continue
+        if name not in ("gzip", "x-gzip", "deflate"):
+            return payload, name
+        raw = name == "deflate" and (payload[:1] or b"x")[0] & 15 != 8
+        member = zlib.decompressobj(31 if "gzip" in name else -15 if raw else 15)
+        try:
+            payload = member.decompress(payload)
+        except zlib.error:
+            return payload, name
+    return payload, None
+
+
 def derive(fields: list[tuple[str, str]], block: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
     """The metadata and the conversion record of a response; none for records of other types."""
     if (get(fields, "WARC-Type") or "").lower() != "response":
@@ -152,15 +227,16 @@ def derive(fields: list[tuple[str, str]], block: bytes) -> list[tuple[list[tuple
         end = re.search(rb"\r?\n\r?\n", block)
         http, payload = (_head(block[len(status) + 1 : end.start()]), block[end.end() :]) if end else (_head(rest), b"")
     source, uri, date = get(fields, "WARC-Record-ID") or "", get(fields, "WARC-Target-URI") or "", get(fields, "WARC-Date") or ""
-    page = _decoded(http, payload)
-    title = TITLE.search(page)
-    links = [{"tag": m[1].lower(), "url": _absolute(uri, html.unescape(m[3].strip("\"'")))} for m in LINK.finditer(page)]
+    body, packed = unpacked(http, payload)
+    page = "" if packed else _decoded(http, body)
+    seen = linked(page)
+    links = [{"tag": tag, "url": _absolute(uri, url)} for tag, url in seen.links]
     found = {"block": digest(block), "payload": digest(payload)}
     about = {
         "warc": [list(x) for x in fields], "status": status.decode("latin-1").strip(), "http": [list(x) for x in http],
         "digests": {"computed": found, "matches": {k: _same(get(fields, f"WARC-{k.title()}-Digest"), v) for k, v in found.items()}},
-        "payload_bytes": len(payload), "title": " ".join(html.unescape(title[1]).split()) if title else None, "links": links,
-    }
+        "payload_bytes": len(payload), "title": None if seen.title is None else " ".join("".join(seen.title).split()), "links": links,
+    } | ({"encoding_unknown": packed} if packed else {})
     out = []
     for kind, body in (("metadata", json.dumps(about, ensure_ascii=False)), ("conversion", visible_text(page))):
         raw = body.encode("utf-8", "replace")
