@@ -199,8 +199,9 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, star
     entries = entries.select("token", "group", "size", "own", (F.col("own") + F.col("i")).alias("place"), F.get("prefix", F.col("i") - 1).alias("prev"), *[F.get("bits", F.lit(k)).alias(f"x{k}") for k in range(BITS)])
     # A shingle that only one group has in its prefix pairs with nothing but within that group.
     wide = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
-    inner = nodes.groupBy("group", "size").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("group", "size").alias("token"), "group", "size", zero.alias("own"), zero.alias("place"), *[none.alias(c) for c in names[5:]])
+    # Members of a group share its whole prefix, so the first shingle that two of them share stands behind their own ones.
+    none = F.lit(None).cast("long")
+    inner = nodes.groupBy("group", "size").agg(F.count("*").alias("n"), F.first("prefix").alias("prefix")).where("n > 1").select(F.xxhash64("group", "size").alias("token"), "group", "size", own.alias("own"), own.alias("place"), *[none.alias(c) for c in names[5:]])
     index = write(entries.join(wide, "token").select(*names).unionByName(inner))
     labels = write(nodes.select("node", F.col("node").alias("label")))
 
