@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import basics, chemistry, evaluation, exchange, funnels, matching, modelling, names, records, review, study, sweeps, texts, values  # noqa: F401
+from . import basics, chemistry, evaluation, exchange, funnels, grids, matching, modelling, names, records, review, study, sweeps, texts, values  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 FLAGSHIP = "funnel_backcalc"
