@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import grids
+from ..operators import completeness, grids
 from ..sources import readers
 from .registry import Tables, query
 
@@ -50,3 +50,35 @@ def grid_entries(t: Tables):
     """From the text of printed tables to entries: rows that spill over, doses carried down, sequences split over rows, compounds as columns."""
     found = _documents(t).select(F.explode(readers.tables(F.col("text"))).alias("t")).select(F.col("t.num").alias("table_id"), F.posexplode("t.rows").alias("position", "cells"))
     return grids.entries(found).groupBy("table_id", "kind", "compound", "field", "value").agg(F.count("*").alias("n"))
+
+
+def _claimed(t: Tables):
+    """Printed tables, an order's parts with two doses, and what is claimed of them: of four tables in five with a defect.
+
+    1: a part's claims are gone; 2: a value is mistyped; 3: all compounds are renamed; 4: a dose that is not printed.
+    """
+    own = t.lineitem.groupBy(F.col("l_orderkey").alias("o"), "l_partkey").agg((10 + F.max("l_quantity")).cast("int").alias("a"), (61 + F.round(100 * F.max("l_discount"))).cast("int").alias("b"))
+    own = own.withColumn("k", F.row_number().over(Window.partitionBy("o").orderBy("l_partkey"))).withColumn("c", 100000 + F.col("l_partkey"))
+    text = lambda c: F.col(c).cast("string")
+    # A row now and then is printed without its second cell.
+    cells = F.when(F.col("k") % 4 == 0, F.array(text("c"), text("a"), text("b"))).otherwise(F.array(text("c"), F.concat(F.lit("0"), text("k")), text("a"), text("b")))
+    head = own.select("o").distinct().select(F.col("o").alias("table_id"), F.lit(0).alias("position"), F.array(*map(F.lit, ("ISIS NO", "SEQ ID", "100 nM", "0.5 µM"))).alias("cells"))
+    rows = head.unionByName(own.select(F.col("o").alias("table_id"), F.col("k").alias("position"), cells.alias("cells")))
+    defect, first = F.col("o") % 5, F.col("k") == 1
+    claim = lambda dose, value: F.struct(F.lit(float(dose)).alias("dose"), value.cast("string").alias("value"))
+    name = F.when(defect == 3, F.concat(F.lit("99"), F.substring(text("c"), 3, 4))).otherwise(text("c"))
+    each = F.array_compact(F.array(claim(100, 100 - F.col("a") + F.when((defect == 2) & first, 3).otherwise(0)), claim(500, 100 - F.col("b")), F.when((defect == 4) & first, claim(7777, F.col("a")))))
+    claims = own.where(~((defect == 1) & first)).select(F.col("o").alias("table_id"), name.alias("compound"), F.explode(each).alias("x")).select("table_id", "compound", "x.dose", "x.value")
+    return rows, claims
+
+
+@query("""WITH g AS (SELECT l_orderkey AS o, l_partkey, 10 + max(l_quantity)::INTEGER AS a, 61 + round(100 * max(l_discount))::INTEGER AS b FROM lineitem GROUP BY 1, 2), k AS (SELECT *, o % 5 AS d, row_number() OVER (PARTITION BY o ORDER BY l_partkey) AS k FROM g),
+p AS (SELECT o, a AS v FROM k UNION SELECT o, b FROM k UNION SELECT o, 100000 + l_partkey FROM k UNION SELECT o, k FROM k WHERE k % 4 <> 0),
+f AS (SELECT o, 103 - a AS v, a - 3 AS w FROM k WHERE d = 2 AND k = 1), u AS (SELECT f.o, NOT bool_or(coalesce(p.v = f.v OR p.v = f.w, false)) AS lost FROM f JOIN p ON p.o = f.o GROUP BY 1),
+n AS (SELECT o, any_value(d) AS d, count(*) AS n, count(DISTINCT 99 * 10000 + l_partkey % 10000) AS renamed, bool_or(k % 4 = 0) AS short FROM k GROUP BY 1),
+t AS (SELECT o, d, n, CASE WHEN d = 3 THEN 0 WHEN d = 1 THEN n - 1 ELSE n END AS r, renamed, short FROM n WHERE d <> 1 OR n > 1)
+SELECT o AS table_id, r AS n_rows, CASE d WHEN 1 THEN n - 1 WHEN 3 THEN renamed ELSE n END AS n_compounds, CASE WHEN d = 3 THEN renamed ELSE 0 END AS n_missing, 2 * r AS n_cells, CASE WHEN d = 2 THEN 2 * r - 1 ELSE 2 * r END AS n_accounted, CASE WHEN d = 2 THEN round(100.0::DOUBLE * (2 * r - 1) / (2 * r), 2) WHEN d <> 3 THEN 100.0 END AS coverage_pct,
+CASE WHEN d = 1 THEN 1 ELSE 0 END AS n_dropped, coalesce(lost, false)::INT AS n_unsourced, (d = 4)::INT AS n_unprinted, (d = 2)::INT AS n_partial, d <> 3 AND short AS ragged FROM t LEFT JOIN u USING (o)""")
+def grid_defects(t: Tables):
+    """What a check of tables finds where claims were dropped, mistyped, renamed or given a dose that is not printed."""
+    return completeness.report(*_claimed(t)).drop("suspect_column")
