@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import helm as H
+from ..functions import notation as N
 from .registry import Tables, query
 
 #: A 20-mer a part: bases from its key's MD5, sugars by p_size % 5 (5-10-5 MOE, 3-14-3 cEt, 4-12-4 LNA, all DNA, 2-16-2 MOE), links by p_partkey % 3.
@@ -70,3 +71,43 @@ def helm_validate(t: Tables):
     h, k = F.col("helm"), F.col("p_partkey") % 5
     broken = F.when(k == 1, F.regexp_replace(h, r"\$+$", "")).when(k == 2, F.regexp_replace(h, r"\)(?=[^)]*$)", "")).when(k == 3, F.replace(h, F.lit("RNA1"), F.lit("PEP1"))).when(k == 4, F.replace(h, F.lit("}}$$$$"), F.lit(".d(X)}}$$$$"))).otherwise(h)
     return noted(t).withColumn("v", H.validate(broken)).select("p_partkey", "v.is_valid", F.size("v.errors").alias("n_errors"))
+
+
+#: What a part's notation has wrong, by p_partkey % 9, and its strict reading.
+_SPOILT = """o AS (SELECT p_partkey, p_partkey % 9 AS c, substr(translate(substr(md5(p_partkey::VARCHAR), 1, 20), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 6) AS s FROM part),
+x AS (SELECT *, substr(s, 1, 1) AS a, substr(s, 2, 1) AS b, substr(s, 3, 1) AS d FROM o),
+y AS (SELECT p_partkey, c, CASE c WHEN 0 THEN '[moe](' || a || ')[sp].d(' || b || ').[cet](' || d || ')' WHEN 1 THEN '[moe](' || a || ')[sp].d(' || b || ').[cet](' || d || ')[sp]' WHEN 2 THEN '(' || a || ').d(' || b || ')' WHEN 3 THEN 'd().d(' || b || ')' WHEN 4 THEN '[moe](' || a || '.d(' || b || ')' WHEN 5 THEN '[moe](Z).d(' || b || ')' WHEN 6 THEN '' WHEN 7 THEN '[moe)(' || a || '].d(' || b || ')' ELSE 'd(' || a || ').d(' || b || ')' END AS body FROM x)"""
+
+
+def _spoilt(t: Tables):
+    s = F.translate(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 20), "0123456789abcdef", "ACGTACGTACGTACGT")
+    a, b, d, c = *(F.substring(s, k, 1) for k in (1, 2, 3)), F.col("p_partkey") % 9
+    plain = F.concat(F.lit("[moe]("), a, F.lit(")[sp].d("), b, F.lit(").[cet]("), d, F.lit(")"))
+    after = F.concat(F.lit(".d("), b, F.lit(")"))
+    body = (
+        F.when(c == 0, plain).when(c == 1, F.concat(plain, F.lit("[sp]"))).when(c == 2, F.concat(F.lit("("), a, F.lit(")"), after)).when(c == 3, F.concat(F.lit("d()"), after)).when(c == 4, F.concat(F.lit("[moe]("), a, after))
+        .when(c == 5, F.concat(F.lit("[moe](Z)"), after)).when(c == 6, "").when(c == 7, F.concat(F.lit("[moe)("), a, F.lit("]"), after)).otherwise(F.concat(F.lit("d("), a, F.lit(")"), after))
+    )
+    text = F.concat(F.lit("RNA1{"), body, F.when(c == 8, "}").otherwise("}$$$$"))
+    return t.part.select("p_partkey", F.when(c == 0, F.concat(F.lit("CHEM1{[x]}|"), text)).otherwise(text).alias("text"))
+
+
+@query(f"""WITH {_SPOILT}, z AS (SELECT p_partkey, c, CASE WHEN c = 0 THEN 'CHEM1{{[x]}}|' ELSE '' END || 'RNA1{{' || body || CASE WHEN c = 8 THEN '}}' ELSE '}}$$$$' END AS text FROM y)
+SELECT p_partkey, CASE c WHEN 1 THEN 'last_link:3' WHEN 3 THEN 'base:1' WHEN 4 THEN 'base:1|round' WHEN 6 THEN 'no_units' WHEN 7 THEN 'base:1' WHEN 8 THEN 'message:' || text ELSE '' END AS errors,
+CASE c WHEN 2 THEN 'sugar:1' WHEN 5 THEN 'unusual_base:1' WHEN 7 THEN 'sugar:1' ELSE '' END AS warnings, CASE c WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 6 THEN 0 WHEN 8 THEN NULL ELSE 2 END AS units, CASE WHEN c <> 8 THEN c = 0 END AS five,
+CASE c WHEN 4 THEN length(text) - 4 WHEN 7 THEN 10 END AS place, CASE c WHEN 4 THEN 'crossed' WHEN 7 THEN 'crossed' END AS kind FROM z""")
+def notation_check(t: Tables):
+    """Errors, warnings and structure of notations, and the first bracket that doesn't nest."""
+    seen = _spoilt(t).withColumn("v", N.check(F.col("text")))
+    return seen.select("p_partkey", F.array_join("v.errors", "|").alias("errors"), F.array_join("v.warnings", "|").alias("warnings"), "v.structure.units", "v.structure.five", "v.nesting.place", "v.nesting.kind")
+
+
+@query(f"""WITH {NOTED}, g AS (SELECT p_partkey, any_value(seq) AS sequence, string_agg(CASE sugar WHEN 'MOE' THEN 'e' WHEN 'cEt' THEN 'k' WHEN 'LNA' THEN 'l' ELSE 'd' END, '' ORDER BY i) AS sugars, string_agg(CASE WHEN ps THEN 's' ELSE 'o' END, '' ORDER BY i) FILTER (i < 20) AS links FROM u GROUP BY 1)
+SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN sequence END AS sequence, CASE WHEN p_partkey % 7 <> 0 THEN sugars END AS sugars, CASE WHEN p_partkey % 7 <> 0 THEN links END AS links, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 2 = 0 AND contains(sequence, 'C') END AS methyl, p_partkey % 7 <> 0 AS same FROM g""")
+def strict_round_trip(t: Tables):
+    """Notations read strictly and built again; one with a unit that can't be read is not read at all."""
+    own = noted(t).withColumn("text", F.when(F.col("p_partkey") % 7 == 0, F.regexp_replace("helm", r"\}\}", ".?}}")).when(F.col("p_partkey") % 2 == 0, F.replace(F.col("helm"), F.lit("(C)"), F.lit("([5meC])"))).otherwise(F.col("helm")))
+    read = own.withColumn("r", N.read_strict(F.col("text")))
+    again = N.build_strict(F.col("r.sequence"), F.col("r.sugars"), F.col("r.links"), F.col("r.methyl"))
+    same = (again == F.col("text")) & (N.without_methyl(again) == F.col("helm"))
+    return read.select("p_partkey", "r.sequence", "r.sugars", "r.links", "r.methyl", F.coalesce(same, F.lit(False)).alias("same"))
