@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import printed
+from .graph import checkpointed
 
 #: Digits that name a compound, a whole cell that looks like one, doses as headers print them, and nM in their units.
 NUMBER, BARE = r"\d{4,7}", r"^\s*\d{5,7}\s*$"
@@ -51,9 +52,11 @@ def report(rows: DataFrame, claims: DataFrame, mirror: bool = True) -> DataFrame
     """
     name = F.coalesce(F.nullif(F.regexp_extract(F.col("compound").cast("string"), NUMBER, 0), F.lit("")), F.lower(F.trim(F.col("compound").cast("string"))))
     said = claims.select("table_id", name.alias("compound"), F.col("dose").cast("double").alias("dose"), printed(F.col("value").cast("string")).alias("v")).where("compound <> ''")
+    said = checkpointed(said)  # these two are read several times and made once
     known = said.select("table_id", "compound").distinct()
     cell = rows.join(known.select("table_id").distinct(), "table_id", "left_semi").select("table_id", "position", F.size("cells").alias("width"), F.posexplode("cells").alias("k", "cell"))
     cell = cell.withColumns({"key": _key(printed(F.col("cell"))), "digits": F.regexp_extract("cell", NUMBER, 0), "name": F.lower(F.trim("cell"))})
+    cell = checkpointed(cell)
 
     # The first cell that names a claimed compound, by its digits before its whole text.
     hit = cell.select("table_id", "position", "k", "width", F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("digits").alias("compound")), F.struct(F.lit(1).alias("way"), F.col("name").alias("compound")))).alias("x")).select("*", "x.way", "x.compound").where("compound <> ''")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import header
+from .graph import checkpointed
 
 #: How a cell prints a compound's number; a piece of a sequence; headers of properties that hold for the rows below.
 COMPOUND = r"^(?:[A-Za-z]+[ -]?)?(\d{4,7})[†‡*]?$"
@@ -58,7 +59,7 @@ def entries(rows: DataFrame) -> DataFrame:
     Properties (CARRIED) take the last value printed for the compound. B: one entry a row and compound; the first cell is the field.
     Blank values, rows above the data and tables without a kind give nothing; a cell beyond the headers is column_<k>.
     """
-    seen = typed(rows)
+    seen = checkpointed(typed(rows))  # read several times, made once
     number = lambda c: F.regexp_extract(F.trim(c), COMPOUND, 1)
     a = seen.where((F.col("kind") == "A") & (F.col("position") >= F.col("start")))
     up = Window.partitionBy("table_id").orderBy("position")

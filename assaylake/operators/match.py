@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -217,38 +217,43 @@ def match_compatible(left: DataFrame, right: DataFrame, keys: list[str], left_id
     Most equal values first, then most contexts that fit: context is an array of fields, and a null field on the left fits any,
     while one on the right fits a null only. A null value equals none. Records of one value and context are one class; classes are
     counted and dealt natively, and only they are paired in Python, so a bucket costs as many steps as it has classes, whatever
-    its records. Within a class the smaller ids go first. Ids are unique; those left over have nulls.
+    its records; a bucket's classes are in one task. Within a class the smaller ids go first. Ids are unique; those left over have nulls.
     """
+    parts = 8 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sides = []
     for d, i, s in ((left, left_id, "a"), (right, right_id, "b")):
-        own = d.select(*[F.col(k).alias(k) for k in keys], F.col(i).alias(f"id_{s}"), F.col(value).alias(f"v_{s}"), F.col(context).alias(f"c_{s}"))
-        sides.append(own.withColumn(f"place_{s}", F.row_number().over(Window.partitionBy(*keys, f"v_{s}", f"c_{s}").orderBy(f"id_{s}"))))
+        own = d.select(*[F.col(k).alias(k) for k in keys], F.to_json(F.struct(*keys)).alias(f"of_{s}"), F.col(i).alias(f"id_{s}"), F.col(value).alias(f"v_{s}"), F.col(context).alias(f"c_{s}"))
+        sides.append(own.withColumn(f"place_{s}", F.row_number().over(Window.partitionBy(f"of_{s}", f"v_{s}", f"c_{s}").orderBy(f"id_{s}"))))
     a, b = sides
-    counts = [d.groupBy(*keys, f"v_{s}", f"c_{s}").agg(F.count("*").alias("n")) for d, s in ((a, "a"), (b, "b"))]
-    of = [f"of_{k}" for k in keys]
-    schema = T.StructType([*counts[0].drop("n").schema, *counts[1].drop("n", *keys).schema, T.StructField("n", T.LongType())])
-    counts[1] = counts[1].withColumnsRenamed(dict(zip(keys, of, strict=True)))
-    names = [f.name for f in schema]
-
-    def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(q):
-            return pd.DataFrame(columns=names)
-        read = lambda d, s: sorted(((None if pd.isna(v) else v, tuple(c), int(n), k) for k, (v, c, n) in enumerate(zip(d[f"v_{s}"], d[f"c_{s}"], d.n, strict=True))), key=lambda x: str(x[:2]))
-        x, y = read(p, "a"), read(q, "b")
-        pairs = pair_classes([r[:3] for r in x], [r[:3] for r in y])
-        one, two = p.iloc[[x[i][3] for i, _, _ in pairs]].reset_index(drop=True), q.iloc[[y[j][3] for _, j, _ in pairs]].reset_index(drop=True)
-        return pd.concat([one.drop(columns="n"), two.drop(columns=["n", *of])], axis=1).assign(n=[n for _, _, n in pairs])[names]
-
-    dealt = counts[0].groupBy(*keys).cogroup(counts[1].groupBy(*of)).applyInPandas(run, schema)
-    before = lambda s, o: F.sum("n").over(Window.partitionBy(*keys, f"v_{s}", f"c_{s}").orderBy(f"v_{o}", f"c_{o}").rowsBetween(Window.unboundedPreceding, -1))
+    counts = [d.groupBy(f"of_{s}", f"v_{s}", f"c_{s}").agg(F.count("*").alias("n")).withColumn("part", F.pmod(F.xxhash64(f"of_{s}"), F.lit(parts).cast("long"))) for d, s in ((a, "a"), (b, "b"))]
+    names = ["of_a", "v_a", "c_a", "v_b", "c_b", "n"]
+    schema = T.StructType([*(counts[0].schema[c] for c in names[:3]), *(counts[1].schema[c] for c in names[3:5]), T.StructField("n", T.LongType())])
+
+    def run(_key: tuple, p: pa.Table, q: pa.Table) -> pa.Table:
+        """The classes of a share of the buckets, bucket by bucket."""
+        classes: list[dict] = []
+        for d, s in ((p, "a"), (q, "b")):
+            own: dict = {}
+            for bucket, v, c, n in zip(*(d.column(x).to_pylist() for x in (f"of_{s}", f"v_{s}", f"c_{s}", "n")), strict=True):
+                own.setdefault(bucket, []).append((v, tuple(c), n))
+            classes.append(own)
+        out = []
+        for bucket in sorted(classes[0].keys() & classes[1].keys()):
+            x, y = (sorted(own[bucket], key=lambda r: str(r[:2])) for own in classes)
+            out += [(bucket, *x[i][:2], *y[j][:2], n) for i, j, n in pair_classes(x, y)]
+        types = [p.schema.field(c).type for c in names[:3]] + [q.schema.field(c).type for c in names[3:5]] + [pa.int64()]
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
+
+    dealt = counts[0].groupBy("part").cogroup(counts[1].groupBy("part")).applyInArrow(run, schema)
+    before = lambda s, o: F.sum("n").over(Window.partitionBy("of_a", f"v_{s}", f"c_{s}").orderBy(f"v_{o}", f"c_{o}").rowsBetween(Window.unboundedPreceding, -1))
     dealt = dealt.groupBy(*names[:-1]).agg(F.sum("n").alias("n")).withColumns({f"at_{s}": F.coalesce(before(s, o), F.lit(0)) for s, o in ("ab", "ba")})
     runs = dealt.withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), "n", F.lit(RUN).cast("long"))))
     each = runs.withColumn("k", F.explode(F.sequence("from", F.least(F.col("from") + RUN - 1, "n")))).withColumns({f"place_{s}": F.col(f"at_{s}") + F.col("k") for s in "ab"})
-    key = lambda d, e, s: [F.col(f"{d}.{k}") == F.col(f"{e}.{k}") for k in keys] + [F.col(f"{d}.{c}_{s}").eqNullSafe(F.col(f"{e}.{c}_{s}")) for c in ("v", "c", "place")]
-    pairs = each.alias("e").join(a.alias("x"), key("e", "x", "a")).join(b.alias("y"), key("e", "y", "b"))
+    key = lambda d, s: [F.col("e.of_a") == F.col(f"{d}.of_{s}")] + [F.col(f"e.{c}_{s}").eqNullSafe(F.col(f"{d}.{c}_{s}")) for c in ("v", "c", "place")]
+    pairs = each.alias("e").join(a.alias("x"), key("x", "a")).join(b.drop(*keys).alias("y"), key("y", "b"))
     fits = F.forall(F.zip_with("x.c_a", "y.c_b", lambda p, q: p.isNull() | F.coalesce(p == q, F.lit(False))), lambda t: t)
     same = F.coalesce(F.col("x.v_a") == F.col("y.v_b"), F.lit(False))
-    paired = pairs.select(*[F.col(f"e.{k}").alias(k) for k in keys], "x.id_a", "y.id_b", same.alias("value_equal"), fits.alias("context_equal"))
+    paired = pairs.select(*[F.col(f"x.{k}").alias(k) for k in keys], "x.id_a", "y.id_b", same.alias("value_equal"), fits.alias("context_equal"))
     none = lambda n, t: F.lit(None).cast(t).alias(n)
     flags = [none("value_equal", "boolean"), none("context_equal", "boolean")]
     alone = a.join(paired.select("id_a"), "id_a", "left_anti").select(*keys, "id_a", none("id_b", b.schema["id_b"].dataType), *flags)
