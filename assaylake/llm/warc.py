@@ -17,7 +17,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -42,45 +41,8 @@ SPACE = re.compile(r"[ \t\r\f\v\xa0]+")
 LINES = re.compile(r" ?\n[ \n]*")
 UNENDED = re.compile(r"<[a-zA-Z/!?]")
 #: Elements that link, and the attributes that say where to.
-LINKING, TARGETS = frozenset("a link img script iframe form".split()), ("href", "src", "action")
-
-
-class Links(HTMLParser):
-    """Title and links of a page: the first title, and of each linking element the first target. Scripts and comments hold neither."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.title: list[str] | None = None
-        self.inside = False
-        self.links: list[tuple[str, str]] = []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "title" and self.title is None:
-            self.title, self.inside = [], True
-        elif tag in LINKING and (found := next((v for k, v in attrs if k in TARGETS and v is not None), None)) is not None:
-            self.links.append((tag, found))
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "title":
-            self.inside = False
-
-    def handle_data(self, data: str) -> None:
-        if self.inside:
-            self.title.append(data)
-
-    def parse_marked_section(self, i: int, report: int = 1) -> int:
-        """What begins with <![ ends at the next >; the library stops the parser at unknown words."""
-        end = self.rawdata.find(">", i + 3)
-        return end + 1 if end >= 0 else -1
-
-
-def linked(page: str) -> Links:
-    parser = Links()
-    parser.feed(page)
-    if UNENDED.match(parser.rawdata):
-        parser.rawdata = ""
-    parser.close()
-    return parser
+LINKING = frozenset("a link img script iframe form".split())
+TARGET = re.compile(r"""\s(?:href|src|action)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 
 
 def digest(raw: bytes) -> str:
@@ -164,17 +126,37 @@ def response_record(page_id: int | None, url: str | None, page: str | None, date
     return write_record(fields, block)
 
 
-def _tag(m: re.Match) -> str:
-    return "" if m[3] and m[3].lower() in INLINE else "\n"
-
-
-def visible_text(page: str) -> str:
-    """Lines of a page's text without markup, scripts and styles; blank lines go. A tag that the page's end cuts off is no text."""
+def read_page(page: str) -> tuple[str, str | None, list[tuple[str, str]]]:
+    """Lines of a page's text without markup, scripts and styles, without blank ones; its first title that ends; and of each element
+    that links (LINKING) the first target. All in one walk over tags, so scripts and comments hold no links. A tag that the page's
+    end cuts off is no text.
+    """
     last = page.rfind(">") + 1
     if cut := UNENDED.search(page, last):
         page = page[: cut.start()]  # from here on every tag has an end, so that none is looked for twice
-    body = PART.sub(_tag, SPACE.sub(" ", page.replace("\n", " ")))
-    return LINES.sub("\n", SPACE.sub(" ", html.unescape(body))).strip()
+    links: list[tuple[str, str]] = []
+    title: list[str] = []
+    begun = -1
+
+    def tag(m: re.Match) -> str:
+        nonlocal begun
+        name = (m[1] or m[3] or "").lower()
+        if name in LINKING and not m[2]:
+            if found := TARGET.search(page, m.start(), page.find(">", m.start()) + 1 if m[1] else m.end()):
+                links.append((name, html.unescape(found[1].strip("\"'"))))
+        elif name == "title" and not title:
+            if m[2] and begun >= 0:
+                title.append(page[begun : m.start()])
+            elif not m[2] and begun < 0:
+                begun = m.end()
+        return "" if m[3] and name in INLINE else "\n"
+
+    body = PART.sub(tag, page.replace("\n", " "))
+    return LINES.sub("\n", SPACE.sub(" ", html.unescape(body))).strip(), " ".join(html.unescape(title[0]).split()) if title else None, links
+
+
+def visible_text(page: str) -> str:
+    return read_page(page)[0]
 
 
 def _decoded(http: list[tuple[str, str]], payload: bytes) -> str:
@@ -229,16 +211,16 @@ def derive(fields: list[tuple[str, str]], block: bytes) -> list[tuple[list[tuple
     source, uri, date = get(fields, "WARC-Record-ID") or "", get(fields, "WARC-Target-URI") or "", get(fields, "WARC-Date") or ""
     body, packed = unpacked(http, payload)
     page = "" if packed else _decoded(http, body)
-    seen = linked(page)
-    links = [{"tag": tag, "url": _absolute(uri, url)} for tag, url in seen.links]
+    text, title, found_links = read_page(page)
+    links = [{"tag": tag, "url": _absolute(uri, url)} for tag, url in found_links]
     found = {"block": digest(block), "payload": digest(payload)}
     about = {
         "warc": [list(x) for x in fields], "status": status.decode("latin-1").strip(), "http": [list(x) for x in http],
         "digests": {"computed": found, "matches": {k: _same(get(fields, f"WARC-{k.title()}-Digest"), v) for k, v in found.items()}},
-        "payload_bytes": len(payload), "title": None if seen.title is None else " ".join("".join(seen.title).split()), "links": links,
+        "payload_bytes": len(payload), "title": title, "links": links,
     } | ({"encoding_unknown": packed} if packed else {})
     out = []
-    for kind, body in (("metadata", json.dumps(about, ensure_ascii=False)), ("conversion", visible_text(page))):
+    for kind, body in (("metadata", json.dumps(about, ensure_ascii=False)), ("conversion", text)):
         raw = body.encode("utf-8", "replace")
         own = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, source)), ("WARC-Refers-To", source), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Block-Digest", digest(raw)), ("WARC-Payload-Digest", get(fields, "WARC-Payload-Digest") or found["payload"]), ("Content-Type", TYPES[kind])]
         out.append((own, raw))
