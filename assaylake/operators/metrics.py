@@ -107,6 +107,46 @@ def _beta(x: float, a: float, b: float) -> float:
     return front * (f - 1)
 
 
+#: Steps of the continued fraction; on the side of the middle where it is used it has long stood still by then.
+STEPS = 300
+
+
+def _half_gamma(a: Column) -> Column:
+    """Gamma(a + 1/2) / Gamma(a): its series at a + 12, and the factors from there back to a."""
+    z = a + 12
+    log = F.log(z) / 2 - 1 / (8 * z) + 1 / (192 * F.pow(z, 3)) - 1 / (640 * F.pow(z, 5)) + 17 / (14336 * F.pow(z, 7))
+    return reduce(Column.__mul__, [(a + j) / (a + j + 0.5) for j in range(12)], F.exp(log))
+
+
+def _fraction(x: Column, a: Column, b: Column) -> Column:
+    """The continued fraction of the incomplete beta function, less 1."""
+
+    def step(s: Column, i: Column) -> Column:
+        m = F.floor(i / 2)
+        even, odd = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        num = F.when(i == 0, 1.0).when(i % 2 == 0, even).otherwise(odd)
+        c, d = 1 + num / s["c"], 1 / (1 + num * s["d"])
+        return F.struct((s["f"] * c * d).alias("f"), c.alias("c"), d.alias("d"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(STEPS - 1)), F.struct(*[F.lit(v).alias(k) for k, v in (("f", 1.0), ("c", 1.0), ("d", 0.0))]), step, lambda s: s["f"] - 1)
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of n pairs by Student's t, as an expression; null for fewer than three pairs, 0 where r is 1 or -1."""
+    x, a, half = 1 - r * r, (n - 2) / 2, F.lit(0.5)
+    front = F.pow(x, a) * F.sqrt(1 - x) * _half_gamma(a) / math.sqrt(math.pi)
+    p = F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x > (a + 1) / (a + 2.5), 1 - front / half * _fraction(1 - x, half, a)).otherwise(front / a * _fraction(x, a, half))
+    return F.when((n >= 3) & r.isNotNull(), p)
+
+
+def significances(pairs: DataFrame, tests: int | None = None) -> DataFrame:
+    """pairs (a, b, n, rho) with p and corrected, p by Bonferroni's number of tests: those given, else as many as the table has, each of two triangles' once."""
+    m = F.lit(tests) if tests is not None else F.count_distinct(F.array_sort(F.array("a", "b")))
+    one = pairs.agg(m.alias("__m"))  # one row
+    told = pairs.withColumn("p", correlation_p(F.col("rho"), F.col("n")))
+    return told.crossJoin(F.broadcast(one)).withColumn("corrected", F.least(F.col("p") * F.col("__m"), F.lit(1.0))).drop("__m")
+
+
 def correlations(df: DataFrame, item: str, metrics: list[str], least: int = 10) -> DataFrame:
     """a, b, n, rho for each pair of metrics with enough items that have both, in both triangles.
 

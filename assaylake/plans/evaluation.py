@@ -101,6 +101,24 @@ def corr_matrix(t: Tables):
     return metrics.correlations(means, "l_partkey", ["quantity", "discount", "tax"])
 
 
+_TESTED = f"""w AS (SELECT l_partkey, avg(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_tax) AS tax FROM lineitem GROUP BY 1),
+p AS (SELECT 'quantity' a, 'discount' b, round(quantity, 6) x, round(discount, 6) y FROM w UNION ALL SELECT 'quantity', 'tax', round(quantity, 6), round(tax, 6) FROM w UNION ALL SELECT 'discount', 'tax', round(discount, 6), round(tax, 6) FROM w),
+q AS (SELECT a || b AS ab, a, b, x, y FROM p), r AS (SELECT a, b, rank() OVER (PARTITION BY ab ORDER BY x) + (count(*) OVER (PARTITION BY ab, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY ab ORDER BY y) + (count(*) OVER (PARTITION BY ab, y) - 1) / 2.0::DOUBLE AS ry FROM q),
+c AS (SELECT a, b, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {_TESTED}, x AS (SELECT *, 1 - rho * rho AS x0, (n - 2) / 2.0::DOUBLE AS a0 FROM c), k AS (SELECT *, x0 > (a0 + 1) / (a0 + 2.5) AS up FROM x), s AS (SELECT a, b, n, rho, up, CASE WHEN up THEN 1 - x0 ELSE x0 END AS x, CASE WHEN up THEN 0.5::DOUBLE ELSE a0 END AS p, CASE WHEN up THEN a0 ELSE 0.5::DOUBLE END AS q FROM k),
+z AS (SELECT *, 0 AS i, 1.0::DOUBLE AS f, 1.0::DOUBLE AS c, 0.0::DOUBLE AS d FROM s UNION ALL SELECT a, b, n, rho, up, x, p, q, i + 1, f * (1 + num / c) / (1 + num * d), 1 + num / c, 1 / (1 + num * d) FROM
+  (SELECT *, CASE WHEN i = 0 THEN 1.0 WHEN i % 2 = 0 THEN (i // 2) * (q - i // 2) * x / ((p + 2 * (i // 2) - 1) * (p + 2 * (i // 2))) ELSE -(p + i // 2) * (p + q + i // 2) * x / ((p + 2 * (i // 2)) * (p + 2 * (i // 2) + 1)) END AS num FROM z WHERE i < {metrics.STEPS})),
+v AS (SELECT a, b, n, rho, up, exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * ln(x) + q * ln(1 - x)) / p * (f - 1) AS beta FROM z WHERE i = {metrics.STEPS}), t AS (SELECT a, b, n, rho, CASE WHEN up THEN 1 - beta ELSE beta END AS p FROM v)
+SELECT a, b, n, rho, round(p, 6) AS p, round(least(p * 3, 1), 6) AS corrected FROM t UNION ALL SELECT b, a, n, rho, round(p, 6), round(least(p * 3, 1), 6) FROM t""")
+def corr_significance(t: Tables):
+    """Correlations with their p by Student's t and Bonferroni's correction by the number of pairs, as columns."""
+    means = t.lineitem.groupBy("l_partkey").agg(*[F.round(F.avg(f"l_{c}"), 6).alias(c) for c in ("quantity", "discount", "tax")])
+    out = metrics.significances(metrics.correlations(means, "l_partkey", ["quantity", "discount", "tax"]))
+    return out.select("a", "b", "n", "rho", F.round("p", 6).alias("p"), F.round("corrected", 6).alias("corrected"))
+
+
 @query("""WITH x AS (SELECT d.doc_id, n_chars AS s, quality AS y FROM labels l JOIN documents d USING (doc_id)), g AS (SELECT s, count(*) FILTER (y=1) p, count(*) FILTER (y=0) q FROM x GROUP BY 1),
 w AS (SELECT s, p, q, sum(q) OVER (ORDER BY s) - q AS below, sum(p) OVER (ORDER BY s DESC) tp, sum(q) OVER (ORDER BY s DESC) fp, sum(p) OVER () pp, sum(q) OVER () qq FROM g), j AS (SELECT *, round(tp::DOUBLE / pp - fp::DOUBLE / qq, 9) AS j FROM w)
 SELECT round(sum(p * (below + q / 2.0::DOUBLE)) / (max(pp)::DOUBLE * max(qq)), 6) AS auc, arg_max(s, (j, s)) AS threshold, round(max(j), 6) AS youden FROM j""")

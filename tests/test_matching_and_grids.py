@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaylake.functions import notation
-from assaylake.operators import completeness, grids, match, records, resample, topk
+from assaylake.operators import completeness, grids, match, metrics, records, resample, topk
 
 
 def best_pairs(left, right):
@@ -211,3 +211,18 @@ def test_notation_equals_a_plain_parser(spark):
 def test_notation_check(spark, text, errors, warnings):
     v = spark.createDataFrame([(text,)], "t string").select(notation.check(F.col("t")).alias("v")).first().v
     assert (v.errors, v.warnings, v.is_valid) == (errors, warnings, not errors)
+
+
+def test_p_values_equal_the_plain_function(spark):
+    g = random.Random(3)
+    rows = [(r, n) for n in (3, 4, 5, 10, 100, 5000, 10**6) for r in (0.0, 1e-4, -0.02, 0.3, -0.7, 0.999, 1.0, g.uniform(-1, 1))] + [(0.5, 2), (None, 9)]
+    out = spark.createDataFrame(rows, "r double, n long").select("r", "n", metrics.correlation_p(F.col("r"), F.col("n")).alias("p")).collect()
+    for r in out:
+        if r.r is None or r.n < 3:
+            assert r.p is None
+        else:
+            assert r.p == pytest.approx(metrics.student_p(r.r, r.n), rel=1e-7, abs=1e-290)
+    pairs = spark.createDataFrame([("x", "y", 20, 0.5), ("y", "x", 20, 0.5), ("x", "z", 20, 0.1), ("z", "x", 20, 0.1)], "a string, b string, n long, rho double")
+    for r in metrics.significances(pairs).collect():
+        assert r.corrected == pytest.approx(min(1, 2 * r.p))
+    assert metrics.significances(pairs, 15).where("corrected = least(15 * p, 1)").count() == 4
