@@ -56,9 +56,10 @@ def assign(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> Da
     """
     lookup = lookup_table(df.sparkSession, shards, slots)
     slot = F.pmod(hashed(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), "key:"), F.lit(slots))
-    # The key may be one of the columns that are replaced.
-    names = [f"`{c}`" for c in df.columns if c.lower() not in ("slot", "shard")]
-    return df.select(slot.alias("__slot"), *names).join(F.broadcast(lookup), F.col("__slot") == F.col("slot")).select(*names, "slot", "shard")
+    # The key may be one of the columns that are replaced. The others go in one struct, so that no name of theirs can clash.
+    names = [c for c in df.columns if c.lower() not in ("slot", "shard")]
+    dealt = df.select(slot.alias("slot"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).alias("row"))
+    return dealt.join(F.broadcast(lookup), "slot").select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(names)], "slot", "shard")
 
 
 def shard_names(n: int = SHARDS) -> list[str]:

@@ -15,7 +15,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from assaylake.llm import divergence, html_extract, neighbours, ngram_join, spelling, warc
+from assaylake.llm import divergence, html_extract, neighbours, ngram_join, sharding, spelling, warc
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -244,3 +244,10 @@ def test_members_of_a_hot_passage_that_cannot_link_make_no_pairs(spark, monkeypa
     sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
     linked = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     assert all(out[a] == out[b] for a, b in linked) and len(set(out.values())) == 401 and sum(made) < 8000, made
+
+
+def test_sharding_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a", "b", "c", "d")], "doc_id long, __slot string, row string, slot string, `x.y` string")
+    out = sharding.assign(df, "doc_id", sharding.shard_names(3), 17)
+    assert out.columns == ["doc_id", "__slot", "row", "x.y", "slot", "shard"] and tuple(out.first())[:4] == (1, "a", "b", "d")
+    assert sharding.assign(df.select("slot"), "slot", ["one"], 17).columns == ["slot", "shard"]
