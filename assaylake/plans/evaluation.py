@@ -92,12 +92,18 @@ def spearman(t: Tables):
     return metrics.spearman(t.lineitem, ["l_returnflag"], "l_quantity", "l_extendedprice")
 
 
+def _means(t: Tables):
+    """A part's means, added exactly: whether one of them is half way between two roundings must not depend on the order of its rows."""
+    exact = lambda c: F.avg(F.col(f"l_{c}").try_cast("decimal(20,8)"))
+    return t.lineitem.groupBy("l_partkey").agg(*[F.round(exact(c), 6).cast("double").alias(c) for c in ("quantity", "discount", "tax")])
+
+
 @query(f"""WITH w AS (SELECT l_partkey, avg(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_tax) AS tax FROM lineitem GROUP BY 1),
 p AS (SELECT 'quantity' a, 'discount' b, round(quantity, 6) x, round(discount, 6) y FROM w UNION ALL SELECT 'quantity', 'tax', round(quantity, 6), round(tax, 6) FROM w UNION ALL SELECT 'discount', 'tax', round(discount, 6), round(tax, 6) FROM w),
 q AS (SELECT a || b AS ab, a, b, x, y FROM p), r AS (SELECT a, b, rank() OVER (PARTITION BY ab ORDER BY x) + (count(*) OVER (PARTITION BY ab, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY ab ORDER BY y) + (count(*) OVER (PARTITION BY ab, y) - 1) / 2.0::DOUBLE AS ry FROM q),
 c AS (SELECT a, b, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r GROUP BY 1, 2) SELECT * FROM c UNION ALL SELECT b, a, n, rho FROM c""")
 def corr_matrix(t: Tables):
-    means = t.lineitem.groupBy("l_partkey").agg(*[F.round(F.avg(f"l_{c}"), 6).alias(c) for c in ("quantity", "discount", "tax")])
+    means = _means(t)
     return metrics.correlations(means, "l_partkey", ["quantity", "discount", "tax"])
 
 
@@ -114,7 +120,7 @@ v AS (SELECT a, b, n, rho, up, exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * l
 SELECT a, b, n, rho, round(p, 6) AS p, round(least(p * 3, 1), 6) AS corrected FROM t UNION ALL SELECT b, a, n, rho, round(p, 6), round(least(p * 3, 1), 6) FROM t""")
 def corr_significance(t: Tables):
     """Correlations with their p by Student's t and Bonferroni's correction by the number of pairs, as columns."""
-    means = t.lineitem.groupBy("l_partkey").agg(*[F.round(F.avg(f"l_{c}"), 6).alias(c) for c in ("quantity", "discount", "tax")])
+    means = _means(t)
     out = metrics.significances(metrics.correlations(means, "l_partkey", ["quantity", "discount", "tax"]))
     return out.select("a", "b", "n", "rho", F.round("p", 6).alias("p"), F.round("corrected", 6).alias("corrected"))
 
