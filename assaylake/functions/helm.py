@@ -128,7 +128,10 @@ def sequence_score(parsed: Column) -> Column:
     run = F.length(F.regexp_extract(seq, "[^G]*$", 0))
     run = F.when(run == F.length(seq), RUN_CAP).otherwise(F.least(run, F.lit(RUN_CAP)))
     n = {b: F.length(seq) - F.length(F.translate(seq, b, "")) for b in "ACTG"}
-    return F.round(F.lit(SCORE[""]) + sum(SCORE[b] * n[b] for b in "ACTG") + SCORE["run"] * run, 1) + 0.0
+    score = F.lit(SCORE[""])
+    for b in "ACTG":  # from left to right, as ties of the rounding depend on it
+        score = score + SCORE[b] * n[b]
+    return F.round((score + SCORE["run"] * run) * 10) / 10 + 0.0
 
 
 def shorthand(parsed: Column) -> Column:
@@ -145,6 +148,10 @@ def shorthand(parsed: Column) -> Column:
 
 def build(sequence: Column, sugars: Column, backbones: Column) -> Column:
     """Notation of a sequence; sugars by letter (e MOE, k cEt, l LNA, d DNA), links by letter (s, o)."""
+    return let(F.struct(sequence.alias("q"), sugars.alias("s"), backbones.alias("b")), lambda x: _built(x["q"], x["s"], x["b"]))
+
+
+def _built(sequence: Column, sugars: Column, backbones: Column) -> Column:
     sign = F.create_map(*[F.lit(x) for x in ("e", "[moe]", "k", "[cet]", "l", "[lna]", "d", "d", "m", "[m]")])
     at = F.sequence(F.lit(1), F.length(sequence))
     unit = lambda i: F.concat(F.element_at(sign, F.substring(sugars, i, F.lit(1))), F.lit("("), F.substring(sequence, i, F.lit(1)), F.lit(")"), F.when(F.substring(backbones, i, F.lit(1)) == "s", "[sp]").otherwise(""))
@@ -181,8 +188,13 @@ def single_braces(helm: Column) -> Column:
 def features(parsed: Column) -> Column:
     """Numbers of a notation: base, sugar and link at each place up to REACH, shares of neighbouring bases, and length; all 0 under two units."""
     n = F.least(F.size(parsed["bases"]), F.lit(REACH))
-    hot = lambda values, names, reach: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(reach - 1)), lambda j: F.transform(F.array(*map(F.lit, names)), lambda x: F.when((j < reach - REACH + n) & (F.get(values, j) == x), 1.0).otherwise(0.0))))
     pairs = F.zip_with(F.slice(parsed["bases"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(parsed["bases"], F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("/"), b))
+    return let(F.struct(n.alias("n"), pairs.alias("pairs"), *[parsed[c].alias(c) for c in ("bases", "sugars", "backbones")]), _features)
+
+
+def _features(parsed: Column) -> Column:
+    n, pairs = parsed["n"], parsed["pairs"]
+    hot = lambda values, names, reach: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(reach - 1)), lambda j: F.transform(F.array(*map(F.lit, names)), lambda x: F.when((j < reach - REACH + n) & (F.get(values, j) == x), 1.0).otherwise(0.0))))
     kinds = F.array(*[F.lit(f"{a}/{b}") for a in BASES for b in BASES])
     shares = F.transform(kinds, lambda k: F.size(F.filter(pairs, lambda x: x == k)) / F.greatest(n - 1, F.lit(1)).cast("double"))
     own = F.concat(hot(parsed["bases"], BASES, REACH), hot(parsed["sugars"], KINDS, REACH), hot(parsed["backbones"], BONDS, REACH - 1), shares, F.array(n.cast("double")))

@@ -76,23 +76,29 @@ def read_strict(text: Column) -> Column:
     """struct<bases, sequence, sugars, links, methyl> in the letters of motifs; null unless every unit can be read."""
     parts = F.transform(F.split(F.nullif(F.regexp_extract(text, r"(?s)RNA1\{\{(.*)\}\}", 1), F.lit("")), r"\.", -1), F.trim)
     letter = F.create_map(*[F.lit(x) for kv in LETTERS.items() for x in kv])
-    sugar = lambda p: F.element_at(letter, F.regexp_extract(p, STRICT, 1))
-    bases = F.transform(parts, lambda p: F.regexp_extract(p, STRICT, 2))
-    links = F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.when(F.regexp_extract(p, STRICT, 3) != "", "s").otherwise("o"))
-    whole = F.struct(bases.alias("bases"), F.array_join(F.transform(bases, lambda b: F.when(b == "[5meC]", "C").otherwise(b)), "").alias("sequence"), F.array_join(F.transform(parts, sugar), "").alias("sugars"), F.array_join(links, "").alias("links"), F.array_contains(bases, "[5meC]").alias("methyl"))
-    return F.when(F.forall(parts, lambda p: sugar(p).isNotNull()), whole)
+    unit = lambda p: F.struct(F.element_at(letter, F.regexp_extract(p, STRICT, 1)).alias("sugar"), F.regexp_extract(p, STRICT, 2).alias("base"), F.when(F.regexp_extract(p, STRICT, 3) != "", "s").otherwise("o").alias("link"))
+    return let(F.transform(parts, unit), _read)
+
+
+def _read(units: Column) -> Column:
+    bases, links = F.transform(units, lambda u: u["base"]), F.transform(F.slice(units, F.lit(1), F.greatest(F.size(units) - 1, F.lit(0))), lambda u: u["link"])
+    whole = F.struct(bases.alias("bases"), F.array_join(F.transform(bases, lambda b: F.when(b == "[5meC]", "C").otherwise(b)), "").alias("sequence"), F.array_join(F.transform(units, lambda u: u["sugar"]), "").alias("sugars"), F.array_join(links, "").alias("links"), F.array_contains(bases, "[5meC]").alias("methyl"))
+    return F.when(F.forall(units, lambda u: u["sugar"].isNotNull()), whole)
 
 
 def build_strict(sequence: Column, sugars: Column, links: Column, methyl: Column) -> Column:
     """The notation of a sequence with its sugars and links by letter, methylated where it has a C; null where lengths or a sugar don't fit. Null links are none."""
-    clean = F.upper(F.regexp_replace(sequence, r"[^ACGTUacgtu]", ""))
+    own = F.struct(F.upper(F.regexp_replace(sequence, r"[^ACGTUacgtu]", "")).alias("q"), sugars.alias("s"), links.alias("l"), methyl.alias("m"))
+    return let(own, lambda x: _built(x["q"], x["s"], x["l"], x["m"]))
+
+
+def _built(clean: Column, sugars: Column, links: Column, methyl: Column) -> Column:
     sign = F.create_map(*[F.lit(x) for k, v in LETTERS.items() for x in (v, k)])
     at = F.sequence(F.lit(1), F.greatest(F.length(clean), F.lit(1)))
     base = lambda i: F.when(methyl & (F.substring(clean, i, F.lit(1)) == "C"), "[5meC]").otherwise(F.substring(clean, i, F.lit(1)))
     unit = lambda i: F.concat(F.element_at(sign, F.substring(sugars, i, F.lit(1))), F.lit("("), base(i), F.lit(")"), F.when(F.substring(links, i, F.lit(1)) == "s", "[sp]").otherwise(""))
-    units = F.transform(at, unit)
-    fits = (F.length(clean) > 0) & (F.length(sugars) == F.length(clean)) & (links.isNull() | (F.coalesce(F.length(links), F.lit(0)) == 0) | (F.length(links) == F.length(clean) - 1)) & F.forall(units, lambda u: u.isNotNull())
-    return F.when(fits, F.concat(F.lit("RNA1{{"), F.array_join(units, "."), F.lit("}}$$$$")))
+    fits = lambda units: (F.length(clean) > 0) & (F.length(sugars) == F.length(clean)) & (links.isNull() | (F.coalesce(F.length(links), F.lit(0)) == 0) | (F.length(links) == F.length(clean) - 1)) & F.forall(units, lambda u: u.isNotNull())
+    return let(F.transform(at, unit), lambda units: F.when(fits(units), F.concat(F.lit("RNA1{{"), F.array_join(units, "."), F.lit("}}$$$$"))))
 
 
 def without_methyl(text: Column) -> Column:

@@ -14,6 +14,11 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def dealt(df: DataFrame, *keys: str, rows: int = 20_000) -> DataFrame:
+    """df dealt out by keys, some `rows` rows a task: for work whose cost lies in its rows, where a file of few bytes is one task."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), *keys)
+
+
 def first_wins(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """key, value: the first value that is there, in an order, for each key that is there."""
     return df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, order).alias(value))

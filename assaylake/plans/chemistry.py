@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import helm as H
 from ..functions import notation as N
+from ..operators import joins
 from .registry import Tables, query
 
 #: A 20-mer a part: bases from its key's MD5, sugars by p_size % 5 (5-10-5 MOE, 3-14-3 cEt, 4-12-4 LNA, all DNA, 2-16-2 MOE), links by p_partkey % 3.
@@ -21,7 +22,7 @@ def noted(t: Tables):
     kind, link = F.col("p_size") % 5, F.col("p_partkey") % 3
     sugars = F.when(kind == 0, "e" * 5 + "d" * 10 + "e" * 5).when(kind == 1, "k" * 3 + "d" * 14 + "k" * 3).when(kind == 2, "l" * 4 + "d" * 12 + "l" * 4).when(kind == 4, "ee" + "d" * 16 + "ee").otherwise("d" * 20)
     links = F.when(link == 0, "s" * 19 + "o").when(link == 1, "os" * 9 + "oo").otherwise("o" * 20)
-    return t.part.select("p_partkey", H.build(seq, sugars, links).alias("helm"))
+    return joins.dealt(t.part.select("p_partkey", "p_size"), "p_partkey").select("p_partkey", H.build(seq, sugars, links).alias("helm"))
 
 
 def parsed(t: Tables):
