@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cell_lines as C
@@ -117,6 +118,6 @@ def odd_notation(t: Tables):
 @query(f"""WITH {NOTED}, g AS (SELECT p_partkey // 3 AS compound, p_partkey, seq, kind, link FROM s), r AS (SELECT compound, min(p_partkey) AS k FROM g GROUP BY 1), z AS (SELECT g.compound, g.seq = a.seq AS q, g.kind = a.kind OR (g.kind IN (3) AND a.kind IN (3)) AS u, g.link = a.link AS l FROM g JOIN r USING (compound) JOIN g a ON a.p_partkey = r.k)
 SELECT compound, bool_and(q) AS strict_sequence, bool_or(q) AS best_sequence, bool_and(u) AS strict_sugars, bool_or(u) AS best_sugars, bool_and(l) AS strict_links, bool_or(l) AS best_links FROM z GROUP BY 1""")
 def notation_agreement(t: Tables):
-    own = parsed(t).withColumn("compound", F.floor(F.col("p_partkey") / 3))
-    gold = own.groupBy("compound").agg(F.min_by("p", "p_partkey").alias("gold"))
-    return H.agreement(own.join(gold, "compound"), "compound", "gold", "p")
+    parts = parsed(t).select(F.floor(F.col("p_partkey") / 3).alias("compound"), "p_partkey", F.struct(*[F.col(f"p.{c}").alias(c) for c in ("sequence", "sugars", "backbones")]).alias("p"))
+    gold = F.first("p").over(Window.partitionBy("compound").orderBy("p_partkey"))
+    return H.agreement(parts.withColumn("gold", gold), "compound", "gold", "p")
