@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.numbers import finite
+from . import joins
 
 #: Steps of the distribution function of Poisson(1).
 POISSON = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(11)]).tolist()
@@ -26,16 +28,115 @@ def _hash(seed: int, *columns) -> F.Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]))
 
 
+#: MD5's shifts and constants.
+SHIFTS, SINES = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)], [int(abs(math.sin(i + 1)) * 2**32) & 0xFFFFFFFF for i in range(64)]
+#: Hashes that are in memory at once, and keys whose sums are.
+BLOCK, KEYS = 16_384, 256
+
+
+def _message_parts(own: list[bytes], at: int, width: int) -> np.ndarray:
+    """Words of messages of 64 bytes that hold each text, all of one length, from a place on."""
+    out = np.zeros((len(own), 64), np.uint8)
+    out[:, at : at + width] = np.frombuffer(b"".join(own), np.uint8).reshape(len(own), width)
+    return out.view("<u4")
+
+
+def md5_uniform(texts: list[bytes], draws: np.ndarray) -> np.ndarray:
+    """For each text and draw, the first 52 bits of the MD5 of <text>|<draw> as a number in [0, 1), as `uniform` has it.
+
+    Texts are of one length and draws have as many digits; messages of one block of MD5 are hashed many at once.
+    """
+    tails = [b"|%d" % d for d in draws.tolist()]
+    n, k = len(texts[0]), len(tails[0])
+    if n + k > 55:
+        heads = [[hashlib.md5(t + d).hexdigest()[:13] for d in tails] for t in texts]
+        return np.array([[int(h, 16) for h in own] for own in heads], float) / float(1 << 52)
+    left, right = _message_parts(texts, 0, n), _message_parts([d + b"\x80" for d in tails], n, k + 1)
+    right[:, 14] = (n + k) * 8
+    words = [(left[:, w, None] if left[:, w].any() else np.uint32(0)) | (right[None, :, w] if right[:, w].any() else np.uint32(0)) for w in range(16)]
+    shape = len(texts), len(draws)
+    a, b, c, d, t, s = (np.full(shape, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476, 0, 0))
+    for i in range(64):
+        kind = i // 16
+        if kind < 2:
+            x, y, z = (b, c, d) if kind == 0 else (d, b, c)
+            np.bitwise_xor(y, z, out=t)
+            t &= x
+            t ^= z
+        elif kind == 2:
+            np.bitwise_xor(b, c, out=t)
+            t ^= d
+        else:
+            np.invert(d, out=t)
+            t |= b
+            t ^= c
+        t += a
+        t += words[(i, 5 * i + 1, 3 * i + 5, 7 * i)[kind] % 16] + np.uint32(SINES[i])
+        turn = SHIFTS[kind][i % 4]
+        np.left_shift(t, np.uint32(turn), out=s)
+        t >>= np.uint32(32 - turn)
+        t |= s
+        t += b
+        a, b, c, d, t = d, t, b, c, a
+    high, low = (a + np.uint32(0x67452301)).byteswap(), (b + np.uint32(0xEFCDAB89)).byteswap() >> np.uint32(12)
+    return (high * float(1 << 20) + low) / float(1 << 52)
+
+
+def _counted(u: np.ndarray) -> np.ndarray:
+    """How often Poisson(1) takes each number."""
+    out = np.zeros(u.shape, np.uint8)
+    for step in POISSON:
+        out += u >= step
+    return out
+
+
+def _means_by_draw(draws: int, kind):
+    """Sums by key and draw of a task's rows (__m the text hashed, __k, __v): what it sends grows with its keys, not with its rows."""
+    spans = [np.arange(10 ** (d - 1) if d > 1 else 0, min(10**d, draws)) for d in range(1, len(str(max(draws - 1, 0))) + 1)]
+
+    def sent(held: dict) -> Iterator[pa.RecordBatch]:
+        for key, (s, n, has) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(key, kind), draws), pa.array(np.arange(draws)), pa.array(s), pa.array(n), pa.repeat(has, draws)], names=["k", "draw", "s", "n", "has"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            texts, keys, values = (batch.column(c) for c in ("__m", "__k", "__v"))
+            there, value = values.is_valid().to_numpy(zero_copy_only=False), values.fill_null(0.0).to_numpy(zero_copy_only=False)
+            groups: dict = {}
+            for i, (text, key) in enumerate(zip(texts.to_pylist(), keys.to_pylist(), strict=True)):
+                groups.setdefault((key, len(own := text.encode())), []).append((i, own))
+            for (key, _), own in groups.items():
+                if key not in held and len(held) == KEYS:
+                    yield from sent(held)
+                    held = {}
+                s, n, has = held.setdefault(key, [np.zeros(draws), np.zeros(draws, np.int64), 0])
+                held[key][2] = has + int(there[[i for i, _ in own]].sum())
+                for span in spans:
+                    for f in range(0, len(span), BLOCK // 8):
+                        some = span[f : f + BLOCK // 8]
+                        rows = BLOCK // len(some)
+                        for g in range(0, len(own), rows):
+                            part = own[g : g + rows]
+                            w = _counted(md5_uniform([x for _, x in part], some))
+                            s[some] += value[[i for i, _ in part]] @ w.astype(float)
+                            n[some] += w.sum(axis=0, dtype=np.int64)
+        yield from sent(held)
+
+    return run
+
+
 def bootstrap_means(df: DataFrame, key: str, row: str, value: str, draws: int, seed: int) -> DataFrame:
     """key, draw, mean of Poisson bootstrap samples: each row counts as often as its own draw from Poisson(1) says.
 
-    No sample is gathered: a row makes one weight per draw and sums are combined before they move.
+    No sample is gathered and no row is multiplied by draws: a task hashes blocks of rows and draws, and sends its sums by key and draw.
     """
-    u = uniform(seed, F.col(row), F.col("draw"))
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in POISSON), F.lit(0))
-    rows = df.select(key, row, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", weight)
-    sums = rows.groupBy(key, "draw").agg(F.sum(F.col("w") * F.col(value)).alias("s"), F.sum("w").alias("n"))
-    return sums.select(key, "draw", F.try_divide("s", "n").alias("mean"))
+    text = F.concat_ws("|", F.lit(str(seed)), F.col(row).cast("string"))
+    rows = joins.dealt(df.select(text.alias("__m"), F.col(key).alias("__k"), F.col(value).cast("double").alias("__v")), "__m")
+    kind = rows.schema["__k"].dataType
+    sums = rows.mapInArrow(_means_by_draw(draws, to_arrow_type(kind)), f"k {kind.simpleString()}, draw long, s double, n long, has long").groupBy("k", "draw")
+    out = sums.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("has").alias("has"))
+    return out.select(F.col("k").alias(key), "draw", F.when(F.col("has") > 0, F.try_divide("s", "n")).alias("mean"))
 
 
 #: A row's two numbers and a draw's two are below this prime; a draw's number for a row is the sum of their products modulo it.
