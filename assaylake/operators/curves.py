@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_POINTS = 10_000
+#: Points whose groups are fitted in one task, about.
+MOST_POINTS = 200_000
 
 
 @dataclass(frozen=True)
@@ -108,8 +109,11 @@ def _median(x: np.ndarray, w: np.ndarray) -> float:
 
 
 def _descend(x, y, w, p, low, high, span: bool, rounds: int = 120) -> tuple[np.ndarray, np.ndarray]:
-    """Damped least squares of many small problems at once; steps stay within bounds. Returns parameters and squared errors."""
-    logs = np.log(x)
+    """Damped least squares of many small problems at once; steps stay within bounds. Returns parameters and squared errors.
+
+    Problems that stand still leave, as soon as they are half of those that are left.
+    """
+    logs, live, ends = np.log(x), np.arange(len(p)), (p.copy(), np.empty(len(p)))
 
     def model(q):
         bottom, top, c, h = (q[:, k : k + 1] for k in range(4))
@@ -138,30 +142,34 @@ def _descend(x, y, w, p, low, high, span: bool, rounds: int = 120) -> tuple[np.n
         still = np.where(better & (error - e > 1e-12 * np.maximum(error, 1e-12)), 0, still + 1)
         p, r, jac = np.where(better[:, None], q, p), np.where(better[:, None], s, r), np.where(better[:, None, None], new, jac)
         error, damp = np.where(better, e, error), np.clip(np.where(better, damp / 5, damp * 4), 1e-12, 1e12)
-        if (still > 10).all():
-            break
-    return p, error
+        going = still <= 10
+        if 2 * going.sum() <= len(going):
+            ends[0][live], ends[1][live] = p, error
+            logs, y, w, low, high, live = logs[going], y[going], w[going], low[going], high[going], live[going]
+            p, r, jac, error, damp, still = p[going], r[going], jac[going], error[going], damp[going], still[going]
+            if not len(live):
+                break
+    ends[0][live], ends[1][live] = p, error
+    return ends
 
 
 def fit_groups(df: DataFrame, keys: list[str], dose: str, response: str, gates: Gates = CANONICAL) -> DataFrame:
     """keys, ic50, bottom, top, hill, r2, n of each group whose curve counts.
 
-    Points are gathered per group in the JVM; those of a group of more than MOST_POINTS are averaged by dose first, and each
-    mean counts as often as it has points, so that the curve, r2 and n are those of all points.
+    Points of one dose are averaged in the JVM, and each mean counts as often as it has points, so that the curve, r2 and n are those
+    of all points, and what a group sends grows with its doses. Groups are dealt to tasks by their rows' number.
     """
-    n = df.where(F.col(dose).isNotNull() & F.col(response).isNotNull())
-    size = n.groupBy(*keys).agg(F.count("*").alias("__n"))
-    large = n.join(size.where(F.col("__n") > MOST_POINTS), keys, "left_semi").select(*keys, F.col(dose).cast("double").alias("x"), F.col(response).cast("double").alias("y"))
+    points = df.where(F.col(dose).isNotNull() & F.col(response).isNotNull()).select(*keys, F.col(dose).cast("double").alias("x"), F.col(response).cast("double").alias("y"))
     means = F.array(F.count("y").cast("double"), F.var_pop("y") * F.count("y"), F.min("y"), F.max("y"))
-    large = large.where(F.abs("y") < float("inf")).groupBy(*keys, "x").agg(F.avg("y").alias("m"), means.alias("z")).select(*keys, "x", F.col("m").alias("y"), "z")
-    points = n.join(size.where(F.col("__n") <= MOST_POINTS), keys, "left_semi").select(*keys, F.col(dose).cast("double").alias("x"), F.col(response).cast("double").alias("y"), F.lit(None).cast("array<double>").alias("z"))
-    lists = points.unionByName(large).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "y", "z"))).alias("xy"))
+    each = points.where(F.abs("y") < float("inf")).groupBy(*keys, "x").agg(F.avg("y").alias("m"), means.alias("z")).select(*keys, "x", F.col("m").alias("y"), "z")
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // MOST_POINTS))
+    lists = each.repartition(n, *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "y", "z"))).alias("xy"))
 
     @F.pandas_udf("struct<ic50:double,bottom:double,top:double,hill:double,r2:double,n:int>")
     def run(xy: pd.Series) -> pd.DataFrame:
         names, rows = ["ic50", "bottom", "top", "hill", "r2", "n"], []
         for k in range(0, len(xy), 500):
-            part = [(np.array([p["x"] for p in g], float), np.array([p["y"] for p in g], float), *([[p["z"] for p in g]] if g[0]["z"] is not None else [])) for g in xy.iloc[k : k + 500]]
+            part = [(np.array([p["x"] for p in g], float), np.array([p["y"] for p in g], float), [p["z"] for p in g]) for g in xy.iloc[k : k + 500]]
             rows += [[f[c] if f else None for c in names] for f in fit_many(part, gates)]
         return pd.DataFrame(rows, columns=names)
 
