@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+from .joins import small
 
 #: Ranges that a column's values are dealt into, so that running sums need no task with all rows of a key.
 RANGES = 64
@@ -57,8 +59,16 @@ def average_ranks(df: DataFrame, keys: list[str], ranked: dict[str, str]) -> Dat
 
 def percentiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
     """keys and the exact linear quantiles of a column, by name; nulls don't count. From counts per distinct value."""
-    own = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("n"))
-    rows = cumulated(own, keys, "__v", ["n"], range_cuts(df, [value])[0])
+    return _percentiles(_value_counts(df, keys, value), keys, at, range_cuts(df, [value])[0])
+
+
+def _value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("n"))
+
+
+def _percentiles(counts: DataFrame, keys: list[str], at: dict[str, float], cuts: list[float]) -> DataFrame:
+    """The same from counts (keys, __v, n)."""
+    rows = cumulated(counts, keys, "__v", ["n"], cuts)
 
     def place(i: Column) -> Column:
         return F.max(F.when((F.col("before_n") <= i) & (i < F.col("before_n") + F.col("n")), F.col("__v")))
@@ -162,10 +172,12 @@ def bonferroni(p: Column, m: int) -> Column:
 
 
 def median_limit(df: DataFrame, keys: list[str], value: str, times: float = 3.0) -> DataFrame:
-    """keys, median, mad and median + times * mad."""
-    med = percentiles(df, keys, value, {"median": 0.5})
-    joined = df.join(med, keys) if keys else df.crossJoin(F.broadcast(med))  # one row
-    far = percentiles(joined.withColumn("__far", F.abs(F.col(value) - F.col("median"))), [*keys, "median"], "__far", {"mad": 0.5})
+    """keys, median, mad and median + times * mad. Rows are counted by value once; deviations come from these counts."""
+    counts = checkpointed(_value_counts(df, keys, value))
+    med = _percentiles(counts, keys, {"median": 0.5}, range_cuts(counts, ["__v"])[0])
+    joined = counts.join(small(med), keys) if keys else counts.crossJoin(F.broadcast(med))  # one row
+    away = joined.groupBy(*keys, "median", F.abs(F.col("__v") - F.col("median")).alias("__v")).agg(F.sum("n").alias("n"))
+    far = _percentiles(away, [*keys, "median"], {"mad": 0.5}, range_cuts(away, ["__v"])[0])
     return far.select(*keys, F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"), F.round(F.col("median") + times * F.col("mad"), 6).alias("upper"))
 
 
