@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +19,10 @@ MODELS = {
 }
 
 
+#: Rows whose vectors are multiplied in one task, and queries at once.
+BLOCK, QUERIES = 20_000, 256
+
+
 def cross_validated(df: DataFrame, features: list[str], target: str, fold: str, row: str, model: str) -> DataFrame:
     """row, fold, y_true, y_pred: each fold predicted by a model fitted on the others' rows with all features and a target; null where a row lacks a feature."""
     own = df.withColumn("y", F.col(target).cast("double"))
@@ -46,12 +53,53 @@ def neighbours(queries: DataFrame, base: DataFrame, item: str, vector: str, k: i
 
 
 def _neighbours(queries: DataFrame, base: DataFrame, item: str, vector: str, k: int) -> DataFrame:
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    dot = F.aggregate(F.zip_with("u", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    q = F.broadcast(queries.select(F.col(item).alias("query"), F.col(vector).alias("u")))
-    pairs = base.select(F.col(item).alias("neighbour"), F.col(vector).alias("v")).join(q, F.col("neighbour") != F.col("query"))
-    scored = pairs.select("query", "neighbour", F.round(F.try_divide(dot, norm(F.col("u")) * norm(F.col("v"))), 6).alias("similarity"))
-    part = Window.partitionBy("query", F.pmod(F.xxhash64("neighbour"), F.lit(16))).orderBy(F.desc("similarity"), "neighbour")
+    """Rows are dealt to blocks by a hash, queries go to each; a block multiplies its vectors at once and keeps what can be among its k nearest."""
+    blocks = max(1, -(-base.count() // BLOCK))
+    of = F.pmod(F.xxhash64(item), F.lit(blocks))
+    wide = lambda c: F.transform(F.col(c), lambda x: x.cast("double"))
+    left = queries.select(F.col(item).alias("i"), wide(vector).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__p"))
+    right = base.select(F.col(item).alias("i"), wide(vector).alias("v"), of.alias("__p"))
+    kind = base.schema[item].dataType.simpleString()
+
+    def run(q: pa.Table, b: pa.Table) -> pa.Table:
+        parts = []
+        if q.num_rows and b.num_rows:
+            width = max(_width(q), _width(b))
+            (own, u, m), (other, v, n) = _unit(q, width), _unit(b, width)
+            places = {x: j for j, x in enumerate(other.to_pylist())}
+            for at in range(0, len(u), QUERIES):
+                s = u[at : at + QUERIES] @ v.T
+                # A pair without a similarity comes last, one that is no number first, as in an ordering by Spark.
+                rank = np.where(m[at : at + QUERIES, None] & n, np.where(np.isnan(s), np.inf, s), -2.0)
+                same = [(r, places[x]) for r, x in enumerate(own.slice(at, len(s)).to_pylist()) if x in places]
+                rank[[r for r, _ in same], [c for _, c in same]] = -np.inf
+                # Roundings of the k-th best and of what is just below it may be equal, so all of them go on.
+                most = min(k, rank.shape[1])
+                low = np.partition(rank, -most, axis=1)[:, -most, None]
+                r, c = np.nonzero((rank >= low - 2e-6) & (rank > -np.inf))
+                parts.append(pa.table({"query": own.take(pa.array(r + at)), "neighbour": other.take(pa.array(c)), "similarity": pa.array(s[r, c], mask=rank[r, c] == -2.0)}))
+        schema = pa.schema([("query", q.schema.field("i").type), ("neighbour", b.schema.field("i").type), ("similarity", pa.float64())])
+        return pa.concat_tables(parts).cast(schema) if parts else schema.empty_table()
+
+    found = left.groupBy("__p").cogroup(right.groupBy("__p")).applyInArrow(run, f"query {kind}, neighbour {kind}, similarity double")
+    scored = found.select("query", "neighbour", F.round("similarity", 6).alias("similarity"))
     whole = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
-    first = scored.withColumn("place", F.row_number().over(part)).where(F.col("place") <= k)
-    return first.withColumn("place", F.row_number().over(whole)).where(F.col("place") <= k)
+    return scored.withColumn("place", F.row_number().over(whole)).where(F.col("place") <= k)
+
+
+def _width(rows: pa.Table) -> int:
+    return pc.max(pc.list_value_length(rows.column("v"))).as_py() or 1
+
+
+def _unit(rows: pa.Table, width: int) -> tuple:
+    """Ids, vectors of length 1 and whether there is one: not for null or zero vectors, those with a null and those of another width."""
+    vectors, ids = rows.column("v").combine_chunks(), rows.column("i").combine_chunks()
+    if vectors.null_count == 0 and vectors.flatten().null_count == 0 and len(vectors.flatten()) == width * len(vectors) and pc.min(pc.list_value_length(vectors)).as_py() == width:
+        there, x = np.ones(len(vectors), bool), vectors.flatten().to_numpy().reshape(len(vectors), width)
+    else:
+        own = vectors.to_pylist()
+        there = np.array([v is not None and len(v) == width and None not in v for v in own])
+        x = np.array([v if ok else [0.0] * width for v, ok in zip(own, there, strict=True)], float)
+    norm = np.sqrt((x * x).sum(axis=1))
+    there &= norm != 0
+    return ids, x / np.where(norm != 0, norm, 1.0)[:, None], there
