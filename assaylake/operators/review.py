@@ -80,11 +80,10 @@ def recall_split(df: DataFrame, keys: list[str], kept: Column, extracted: Column
 
 def lifted(release: DataFrame, lineage: DataFrame, contributors: DataFrame, group: str, source: str, channel: str, value: str) -> DataFrame:
     """source, channel, value: release values that a source reaches through lineage; where a group has contributors of a channel, only those count."""
-    reach = release.join(lineage.select(group, source).distinct(), group)
-    own = contributors.select(group, channel).distinct().withColumn("__has", F.lit(True))
-    mine = contributors.select(group, channel, source).distinct().withColumn("__mine", F.lit(True))
-    told = reach.join(own, [group, channel], "left").join(mine, [group, channel, source], "left")
-    return told.where(F.col("__has").isNull() | F.col("__mine").isNotNull()).select(source, channel, value)
+    # Values carry their contributors to the join with the sources, so that no pair of a value and a source is shuffled.
+    own = contributors.groupBy(group, channel).agg(F.collect_set(source).alias("__own"))
+    told = release.join(own, [group, channel], "left").join(lineage.select(group, source).distinct(), group)
+    return told.where(F.col("__own").isNull() | F.array_contains("__own", F.col(source))).select(source, channel, value)
 
 
 def relationship(df: DataFrame, key: str, state: str) -> DataFrame:
