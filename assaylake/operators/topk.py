@@ -30,16 +30,28 @@ def ranked(df: DataFrame, score: str, row: str, low: bool, strata: list[str] = (
     Rows are dealt by ranges of the score, whatever their stratum; a row's rank is its rank among its stratum's rows in its range
     and their number in the ranges before, so a stratum that holds most rows is spread over as many tasks as there are ranges.
     """
-    order = [F.asc(score), F.asc(row)] if low else [F.desc(score), F.desc(row)]
-    strata = list(strata)
-    dealt = checkpointed(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    order = _order(score, row, low)
+    dealt = _dealt(df, order)
+    return _numbered(dealt, dealt, order, list(strata)).select(*df.columns, "k", "n")
+
+
+def _order(score: str, row: str, low: bool) -> list[Column]:
+    return [F.asc(score), F.asc(row)] if low else [F.desc(score), F.desc(row)]
+
+
+def _dealt(df: DataFrame, order: list[Column]) -> DataFrame:
+    return checkpointed(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+
+
+def _numbered(rows: DataFrame, dealt: DataFrame, order: list[Column], strata: list[str], k: str = "k", n: str = "n") -> DataFrame:
+    """rows of dealt with their rank k and the number n in each stratum."""
     sizes = dealt.groupBy("__p", *strata).agg(F.count("*").alias("__n"))  # a row per range and stratum
     whole = Window.partitionBy(*strata)
-    before = sizes.select(F.col("__p").alias("__q"), *[F.col(c).alias(f"__s{i}") for i, c in enumerate(strata)], (F.sum("__n").over(whole.orderBy("__p")) - F.col("__n")).alias("__before"), F.sum("__n").over(whole).alias("n"))
+    before = sizes.select(F.col("__p").alias("__q"), *[F.col(c).alias(f"__s{i}") for i, c in enumerate(strata)], (F.sum("__n").over(whole.orderBy("__p")) - F.col("__n")).alias("__before"), F.sum("__n").over(whole).alias(n))
     inside = F.row_number().over(Window.partitionBy("__p", *strata).orderBy(*order))
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(strata)], F.col("__p") == F.col("__q"))
-    joined = dealt.withColumn("__k", inside).join(before, same)
-    return joined.select(*df.columns, (F.col("__k") + F.col("__before")).cast("long").alias("k"), "n")
+    joined = rows.withColumn("__k", inside).join(before, same)
+    return joined.select(*rows.columns, (F.col("__k") + F.col("__before")).cast("long").alias(k), n)
 
 
 def enrichment(df: DataFrame, score: str, outcome: str, passes: Column, row: str, low: bool, share: float = 0.2, size=size_floor) -> DataFrame:
@@ -66,6 +78,19 @@ def fold_rates(df: DataFrame, fold: str, score: str, passes: str, row: str, low:
     return r.groupBy(fold).agg(F.count("*").alias("n"), F.avg(passes).alias("b"), F.avg(F.when(F.col("k") <= size_floor(F.col("n"), share), F.col(passes))).alias("s"))
 
 
+def pooled_and_folds(df: DataFrame, fold: str, score: str, outcome: str, passes: Column, row: str, low: bool, share: float = 0.2) -> DataFrame:
+    """A row: base_rate, selected_rate and factor of enrichment, and precision_sd, the spread over folds of the best share's pass rate, from one ranking."""
+    order = _order(score, row, low)
+    rows = df.where(finite(F.col(score), F.col(outcome))).select(F.col(fold).alias("__fold"), score, row, passes.cast("double").alias("__pass"))
+    dealt = _dealt(rows, order)
+    both = _numbered(_numbered(dealt, dealt, order, [], "k", "n"), dealt, order, ["__fold"], "fk", "fn")
+    taken = lambda k, n: F.when(F.col(k) <= size_floor(F.col(n), share), F.col("__pass"))
+    # Passes are 0 or 1, so sums over folds are exact.
+    sums = both.groupBy("__fold").agg(F.count("__pass").alias("n"), F.sum("__pass").alias("b"), F.count(taken("k", "n")).alias("m"), F.sum(taken("k", "n")).alias("s"), F.avg(taken("fk", "fn")).alias("own"))
+    rate = lambda a, b: F.try_divide(F.sum(a), F.sum(b))
+    return sums.agg(F.round(rate("b", "n"), 4).alias("base_rate"), F.round(rate("s", "m"), 4).alias("selected_rate"), F.round(F.try_divide(rate("s", "m"), rate("b", "n")), 3).alias("factor"), F.round(F.stddev_samp("own"), 4).alias("precision_sd"))
+
+
 def sweep(df: DataFrame, score: str, outcome: str, passes: Column, row: str, low: bool, shares: list[float]) -> DataFrame:
     """share, n_selected, selected_rate, factor for each share, from one ranking: sums by rank bands, not a copy of the rows a share."""
     r = ranked(df.where(finite(F.col(score), F.col(outcome))).withColumn("__pass", passes.cast("double")), score, row, low)
