@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.helm import let
 from ..functions.text import printed
-from .graph import checkpointed
 
 #: Digits that name a compound, a whole cell that looks like one, doses as headers print them, and nM in their units.
 NUMBER, BARE = r"\d{4,7}", r"^\s*\d{5,7}\s*$"
@@ -18,6 +18,8 @@ DOSE = r"([\d,]*\.?\d+)\s*([nNuUµμm]M)\b"
 UNITS = {"nm": 1.0, "um": 1e3, "µm": 1e3, "μm": 1e3, "mm": 1e6}
 #: A column with this share of its cells accounted for holds measurements, whatever its header; one left of the ids with this share of compound-like numbers is suspect.
 MEASURED, SUSPECT = 0.5, 0.8
+#: Cells and claimed values as rows of one kind.
+EVENTS = "array<struct<claim:boolean,position:bigint,k:int,width:int,cell:string,compound:string,dose:double,key:string>>"
 
 
 def _key(values: Column) -> Column:
@@ -28,14 +30,8 @@ def _key(values: Column) -> Column:
 def doses(text: Column) -> Column:
     """array<double>: the doses in a text, in nM."""
     number, unit = (F.regexp_extract_all(text, F.lit(DOSE), F.lit(k)) for k in (1, 2))
-    factor = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
-    return F.zip_with(number, unit, lambda n, u: F.round(F.regexp_replace(n, ",", "").try_cast("double") * F.element_at(factor, F.lower(u)), 4))
-
-
-def _mode(df: DataFrame, by: str, of: Column, largest: bool) -> DataFrame:
-    """by, mode: the most frequent; of equals the largest or the smallest."""
-    n = df.groupBy(by, of.alias("__v")).agg(F.count("*").alias("__n"))
-    return n.groupBy(by).agg(F.max(F.struct("__n", (F.col("__v") if largest else -F.col("__v")).alias("v")))["v"].alias("mode")).select(by, F.abs("mode").alias("mode"))
+    factor = F.create_map(*[F.lit(x) for u, n in UNITS.items() for x in (u[0] + "M", n)], *[F.lit(x) for u in "nu" for x in (u.upper() + "M", UNITS[u + "m"])])
+    return F.zip_with(number, unit, lambda n, u: F.round(F.translate(n, ",", "").try_cast("double") * F.element_at(factor, u), 4))
 
 
 def report(rows: DataFrame, claims: DataFrame, mirror: bool = True) -> DataFrame:
@@ -48,67 +44,81 @@ def report(rows: DataFrame, claims: DataFrame, mirror: bool = True) -> DataFrame
 
     With mirror a value of 100 less is as good (control and inhibition). Rows shorter than most are aligned at their right end. A
     column headed with a dose is of measurements and is held against claims of that dose; others are by MEASURED. A table without
-    claims has no row here; one in which no row names a compound has no cells.
+    claims has no row here; one in which no row names a compound has no cells. A table's rows and claims meet in one task, once:
+    rows and claims dealt by table_id alone move no more.
     """
     name = F.coalesce(F.nullif(F.regexp_extract(F.col("compound").cast("string"), NUMBER, 0), F.lit("")), F.lower(F.trim(F.col("compound").cast("string"))))
     said = claims.select("table_id", name.alias("compound"), F.col("dose").cast("double").alias("dose"), printed(F.col("value").cast("string")).alias("v")).where("compound <> ''")
-    said = checkpointed(said)  # these two are read several times and made once
-    known = said.select("table_id", "compound").distinct()
-    cell = rows.join(known.select("table_id").distinct(), "table_id", "left_semi").select("table_id", "position", F.size("cells").alias("width"), F.posexplode("cells").alias("k", "cell"))
-    cell = cell.withColumns({"key": _key(printed(F.col("cell"))), "digits": F.regexp_extract("cell", NUMBER, 0), "name": F.lower(F.trim("cell"))})
-    cell = checkpointed(cell)
+    said = said.groupBy("table_id").agg(F.collect_list(F.struct("compound", "dose", "v")).alias("said"))
+    whole = said.join(rows.groupBy("table_id").agg(F.collect_list(F.struct(F.col("position").cast("long").alias("position"), "cells")).alias("rows")), "table_id", "left")
+
+    # Of the table as a whole: how much is claimed, and which claimed doses no cell prints.
+    asked = F.array_distinct(F.filter(F.col("said.dose"), lambda d: d.isNotNull()))
+    shown = F.array_distinct(F.filter(doses(F.array_join(F.flatten("rows.cells"), "|")), lambda d: d.isNotNull()))
+    unprinted = lambda x: F.when((F.size(x["asked"]) > 1) & (F.size(x["shown"]) > 0), F.size(F.filter(x["asked"], lambda a: ~F.exists(x["shown"], lambda s: F.abs(a - s) <= F.greatest(F.lit(0.01), 1e-3 * s))))).otherwise(0)
+    whole = whole.select("*", F.size(F.array_distinct("said.compound")).alias("n_compounds"), F.size(F.filter("said.v", lambda v: v.isNotNull())).alias("n_values"), let(F.struct(asked.alias("asked"), shown.alias("shown")), unprinted).alias("n_unprinted"))
+
+    # Claimed values, each in its forms, and cells become rows of one kind, so that what follows looks them up in windows, in the table's own task.
+    none = lambda t: F.lit(None).cast(t)
+    event = lambda claim, position, k, width, cell, compound, dose, key: F.struct(F.lit(claim).alias("claim"), position.alias("position"), k.alias("k"), width.alias("width"), cell.alias("cell"), compound.alias("compound"), dose.alias("dose"), key.alias("key"))
+    one = lambda v: F.array(F.round(100 - F.get(v, F.lit(0)), 6))
+    forms = lambda v: F.when(F.lit(mirror) & (F.size(v) == 1), F.array(_key(v), _key(one(v)))).otherwise(F.array(_key(v)))
+    each = F.flatten(F.transform("said", lambda x, i: F.transform(forms(x["v"]), lambda key, f: event(True, i.cast("long"), f, none("int"), none("string"), x["compound"], x["dose"], key))))
+    cells = F.flatten(F.transform("rows", lambda r: F.transform(r["cells"], lambda c, k: event(False, r["position"], k, F.size(r["cells"]), c, none("string"), none("double"), none("string")))))
+    at = whole.select("table_id", "n_compounds", "n_values", "n_unprinted", F.explode(F.concat(each, F.coalesce(cells, F.array().cast(EVENTS)))).alias("x")).select("table_id", "n_compounds", "n_values", "n_unprinted", "x.*")
+    at = at.withColumns({"key": F.when(F.col("claim"), F.col("key")).otherwise(_key(printed(F.col("cell")))), "__digits": F.when(F.col("claim"), F.col("compound")).otherwise(F.regexp_extract("cell", NUMBER, 0)), "__name": F.when(F.col("claim"), F.col("compound")).otherwise(F.lower(F.trim("cell"))), "is_bare": F.coalesce(F.col("cell").rlike(BARE), F.lit(False))})
+    over = lambda *by: Window.partitionBy("table_id", *by)
 
     # The first cell that names a claimed compound, by its digits before its whole text.
-    hit = cell.select("table_id", "position", "k", "width", F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("digits").alias("compound")), F.struct(F.lit(1).alias("way"), F.col("name").alias("compound")))).alias("x")).select("*", "x.way", "x.compound").where("compound <> ''")
-    data = hit.join(known, ["table_id", "compound"]).groupBy("table_id", "position").agg(F.min(F.struct("way", "k", "compound")).alias("f"), F.first("width").alias("width")).select("table_id", "position", "width", F.col("f.k").alias("id_k"), F.col("f.compound").alias("compound"))
-    id_column = _mode(data, "table_id", F.col("id_k"), False).withColumnRenamed("mode", "id_column")
-    widths = _mode(data, "table_id", F.col("width"), True).withColumnRenamed("mode", "usual")
-    heads = cell.join(id_column, "table_id").where(F.col("k") != F.col("id_column")).withColumn("dose", F.get(doses(F.col("cell")), F.lit(0))).where("dose IS NOT NULL AND key IS NULL")
-    heads = heads.groupBy("table_id", F.col("k").alias("column")).agg(F.min_by("dose", "position").alias("dose"))
-
+    for way, c in enumerate(("__digits", "__name")):
+        at = at.withColumn(f"__way{way}", F.max("claim").over(over(c)) & ~F.col("claim") & (F.col(c) != ""))
+    hit = F.when(F.col("__way0"), F.struct(F.lit(0).alias("way"), "k", F.col("__digits").alias("compound"))).when(F.col("__way1"), F.struct(F.lit(1).alias("way"), "k", F.col("__name").alias("compound")))
+    at = at.withColumn("__hit", hit).drop("__digits", "__name", "__way0", "__way1").withColumn("__f", F.min("__hit").over(over("claim", "position"))).drop("__hit")
+    at = at.withColumns({"id_k": F.col("__f.k"), "compound": F.when(F.col("claim"), F.col("compound")).otherwise(F.col("__f.compound"))}).drop("__f").withColumn("is_id", F.coalesce(F.col("k") == F.col("id_k"), F.lit(False)))
+    own_width = F.when(F.col("is_id"), F.col("width"))
+    at = at.withColumns({"id_column": F.mode(F.when(F.col("is_id"), F.col("k")), True).over(over()), "usual": -F.mode(-own_width, True).over(over()), "n_rows": F.count_if("is_id").over(over()), "ragged": F.min(own_width).over(over()) < F.max(own_width).over(over())})
+
+    # Columns: candidates are aligned, heads tell doses.
     shifted = F.when(F.col("k") > F.col("id_k"), F.col("k") + F.col("usual") - F.col("width")).otherwise(F.col("k"))
-    cand = cell.where("key IS NOT NULL").join(data.drop("width"), ["table_id", "position"]).join(widths, "table_id").where("k <> id_k").select("table_id", "position", "compound", shifted.alias("column"), "cell", "key").join(heads, ["table_id", "column"], "left")
-    one = F.array(F.round(100 - F.get("v", F.lit(0)), 6))
-    forms = F.when(F.lit(mirror) & (F.size("v") == 1), F.array("v", one)).otherwise(F.array("v"))
-    pool = said.where("v IS NOT NULL").select("table_id", "compound", "dose", F.explode(F.transform(forms, _key)).alias("key"))
-    by_dose = pool.groupBy("table_id", "compound", "dose", "key").agg(F.count("*").alias("n_dose")).where("dose IS NOT NULL")
-    whole = pool.groupBy("table_id", "compound", "key").agg(F.count("*").alias("n_all"))
-    there = by_dose.select("table_id", "compound", "dose").distinct().withColumn("dosed", F.lit(True))
-    cand = cand.join(there, ["table_id", "compound", "dose"], "left").join(by_dose, ["table_id", "compound", "dose", "key"], "left").join(whole, ["table_id", "compound", "key"], "left")
-    own = F.coalesce("dosed", F.lit(False))
-    cand = cand.withColumn("own", F.when(own, F.col("column")).otherwise(-1)).withColumn("most", F.coalesce(F.when(own, F.col("n_dose")).otherwise(F.col("n_all")), F.lit(0)))
-    fit = cand.groupBy("table_id", "column").agg(F.avg((F.col("most") > 0).cast("double")).alias("fit"))
-    order = fit.withColumn("turn", F.row_number().over(Window.partitionBy("table_id").orderBy(F.desc("fit"), "column"))).drop("fit")
-    taken = Window.partitionBy("table_id", "compound", "own", "key").orderBy("turn", "position")
-    used = cand.join(order, ["table_id", "column"]).withColumn("used", F.row_number().over(taken) <= F.col("most"))
-    columns = used.groupBy("table_id", "column").agg(F.count("*").alias("n"), F.count_if("used").alias("m"), F.max("dose").isNotNull().alias("headed"), F.count_if(F.col("cell").rlike(BARE)).alias("bare"), F.count_distinct(F.when(F.col("cell").rlike(BARE), F.col("cell"))).alias("different"))
-    columns = columns.withColumn("measured", F.col("headed") | (F.col("m") >= MEASURED * F.col("n")))
-
-    sizes = data.groupBy("table_id").agg(F.count("*").alias("n_rows"), (F.count_distinct("width") > 1).alias("ragged"))
-    judged = columns.join(sizes, "table_id").join(id_column, "table_id")
-    looks = (F.col("column") < F.col("id_column")) & (F.col("bare") >= SUSPECT * F.col("n_rows")) & (F.col("different") >= SUSPECT * F.col("n_rows"))
-    measured = judged.groupBy("table_id").agg(*[F.sum(F.when(F.col("measured"), F.col(c)).otherwise(0)).alias(a) for c, a in (("n", "n_cells"), ("m", "n_accounted"))], F.count_if(F.col("measured") & (F.col("m") < F.col("n"))).alias("n_partial"), F.min(F.when(looks, F.col("column"))).alias("suspect_column"))
-
-    loose = cell.join(data.select("table_id", "position"), ["table_id", "position"], "left_anti").join(id_column, "table_id")
-    odd = loose.where((F.col("k") == F.col("id_column")) & F.col("cell").rlike(BARE)).select("table_id", "position")
-    full = loose.where("key IS NOT NULL").join(columns.where("measured").select("table_id", F.col("column").alias("k")), ["table_id", "k"]).select("table_id", "position").distinct()
-    dropped = odd.join(full, ["table_id", "position"], "left_semi").groupBy("table_id").agg(F.count("*").alias("n_dropped"))
-    prints = cell.where("key IS NOT NULL").select("table_id", "key").distinct()
-    claim = said.where("v IS NOT NULL").withColumn("id", F.monotonically_increasing_id())
-    sourced = claim.select("table_id", "id", F.explode(F.array(_key(F.col("v")), F.when(F.lit(mirror) & (F.size("v") == 1), _key(one)))).alias("key")).join(prints, ["table_id", "key"]).groupBy("table_id").agg(F.count_distinct("id").alias("n_sourced"))
-    claimed = claim.groupBy("table_id").agg(F.count("*").alias("n_values"))
-    shown = cell.select("table_id", F.explode(doses(F.col("cell"))).alias("dose")).where("dose IS NOT NULL").distinct()
-    asked = said.where("dose IS NOT NULL").select("table_id", "dose").distinct()
-    both = asked.groupBy("table_id").agg(F.count("*").alias("asked")).join(shown.select("table_id").distinct(), "table_id").where("asked > 1")
-    found = asked.alias("a").join(shown.alias("s"), (F.col("a.table_id") == F.col("s.table_id")) & (F.abs(F.col("a.dose") - F.col("s.dose")) <= F.greatest(F.lit(0.01), 1e-3 * F.col("s.dose"))), "left_anti")
-    unprinted = found.join(both, "table_id", "left_semi").groupBy("table_id").agg(F.count("*").alias("n_unprinted"))
-    compounds = known.groupBy("table_id").agg(F.count("*").alias("n_compounds"))
-    seen = data.groupBy("table_id").agg(F.count_distinct("compound").alias("n_seen"))
-    out = compounds
-    for part in (seen, sizes, measured, dropped, claimed, sourced, unprinted):
-        out = out.join(part, "table_id", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    cand = F.coalesce(~F.col("claim") & F.col("key").isNotNull() & (F.col("k") != F.col("id_k")), F.lit(False))
+    at = at.withColumn("cand", cand).withColumn("column", F.when(F.col("cand"), shifted).when(~F.col("claim"), F.col("k")))
+    head = F.when(~F.col("claim") & F.col("key").isNull() & (F.col("k") != F.col("id_column")), F.get(doses(F.col("cell")), F.lit(0)))
+    at = at.withColumn("__head", head).withColumn("__dose", F.min_by("__head", F.when(F.col("__head").isNotNull(), F.col("position"))).over(over("column")))
+    at = at.withColumn("dose", F.when(F.col("claim"), F.col("dose")).when(F.col("cand"), F.col("__dose"))).drop("__head", "__dose", "width", "usual")
+
+    # How many claimed values fit a candidate: those of its column's dose where its compound has any, else all of the compound's.
+    pool = F.col("claim") & F.col("key").isNotNull()
+    of_dose = pool & F.col("dose").isNotNull()
+    at = at.withColumn("__all", F.count_if(pool).over(over("compound", "key"))).withColumn("__seen", F.min(F.when(F.col("is_id"), F.col("position"))).over(over("compound")))
+    at = at.withColumn("__of", F.count_if(of_dose).over(over("compound", "dose", "key"))).withColumn("__dosed", (F.count_if(of_dose).over(over("compound", "dose")) > 0) & F.col("dose").isNotNull())
+    at = at.withColumns({"own": F.when(F.col("__dosed"), F.col("column")).otherwise(-1), "most": F.when(F.col("__dosed"), F.col("__of")).otherwise(F.col("__all")), "is_new": F.col("is_id") & (F.col("position") == F.col("__seen"))}).drop("__all", "__of", "__dosed", "__seen")
+    fit = F.avg(F.when(F.col("cand"), (F.col("most") > 0).cast("double"))).over(over("column"))
+    at = at.withColumn("__fit", fit).withColumn("turn", F.dense_rank().over(over().orderBy(F.desc("__fit"), "column"))).drop("__fit")
+    taken = over("cand", "compound", "own", "key").orderBy("turn", "position")
+    at = at.withColumn("used", F.col("cand") & (F.row_number().over(taken) <= F.col("most"))).drop("turn", "most", "own", "compound")
+
+    bare = F.when(F.col("cand") & F.col("is_bare"), F.col("cell"))
+    at = at.withColumn("__bare", bare).drop("cell").withColumn("__new", F.col("__bare").isNotNull() & (F.row_number().over(over("column", "__bare").orderBy("position")) == 1))
+    column = over("column")
+    at = at.withColumns({
+        "n": F.count_if("cand").over(column), "m": F.count_if("used").over(column), "__headed": F.max(F.when(F.col("cand"), F.col("dose"))).over(column).isNotNull(), "__bares": F.count("__bare").over(column), "__different": F.count_if("__new").over(column),
+        "__first": F.min(F.when(F.col("cand"), F.struct("position", "k"))).over(column),
+    })
+    at = at.withColumns({"measured": ~F.col("claim") & (F.col("n") > 0) & (F.col("__headed") | (F.col("m") >= MEASURED * F.col("n"))), "first": F.coalesce(F.col("cand") & (F.struct("position", "k") == F.col("__first")), F.lit(False)), "looks": F.col("cand") & (F.col("column") < F.col("id_column")) & (F.col("__bares") >= SUSPECT * F.col("n_rows")) & (F.col("__different") >= SUSPECT * F.col("n_rows"))})
+    at = at.withColumn("printed", F.max(~F.col("claim")).over(over("key")) & F.col("key").isNotNull())
+
+    # A claim or a row of the table, then the table.
+    is_loose = ~F.col("claim") & F.col("id_k").isNull()
+    same = ["n_compounds", "n_values", "n_unprinted", "n_rows", "ragged"]
+    line = at.groupBy("table_id", "claim", "position").agg(
+        *[F.first(c).alias(c) for c in same], F.count_if("is_new").alias("seen"), F.count_if(F.col("measured") & F.col("cand")).alias("cells"), F.count_if(F.col("measured") & F.col("used")).alias("accounted"), F.count_if(F.col("first") & F.col("measured") & (F.col("m") < F.col("n"))).alias("partial"),
+        F.min(F.when(F.col("looks"), F.col("column"))).alias("suspect"), F.max(is_loose & (F.col("k") == F.col("id_column")) & F.col("is_bare")).alias("odd"), F.max(is_loose & F.col("key").isNotNull() & F.col("measured")).alias("full"), F.max(F.col("claim") & F.col("printed")).alias("sourced"),
+    )
+    out = line.groupBy("table_id").agg(
+        *[F.first(c).alias(c) for c in same], *[F.sum(c).alias(f"n_{c}") for c in ("seen", "cells", "accounted", "partial")], F.min("suspect").alias("suspect_column"), F.count_if(F.col("odd") & F.col("full")).alias("n_dropped"), F.count_if("sourced").alias("n_sourced")
+    )
+    whole_number = lambda c: c.cast("long")
     return out.select(
-        "table_id", zero("n_rows"), "n_compounds", (F.col("n_compounds") - F.coalesce("n_seen", F.lit(0))).alias("n_missing"), zero("n_cells"), zero("n_accounted"), F.round(F.try_divide(100 * F.col("n_accounted"), F.col("n_cells")), 2).alias("coverage_pct"),
-        zero("n_dropped"), (F.coalesce("n_values", F.lit(0)) - F.coalesce("n_sourced", F.lit(0))).alias("n_unsourced"), zero("n_unprinted"), zero("n_partial"), "suspect_column", F.coalesce("ragged", F.lit(False)).alias("ragged"),
+        "table_id", whole_number(F.col("n_rows")).alias("n_rows"), whole_number(F.col("n_compounds")).alias("n_compounds"), whole_number(F.col("n_compounds") - F.col("n_seen")).alias("n_missing"), "n_cells", "n_accounted", F.round(F.try_divide(100 * F.col("n_accounted"), F.col("n_cells")), 2).alias("coverage_pct"),
+        "n_dropped", whole_number(F.col("n_values") - F.col("n_sourced")).alias("n_unsourced"), whole_number(F.col("n_unprinted")).alias("n_unprinted"), "n_partial", "suspect_column", F.coalesce("ragged", F.lit(False)).alias("ragged"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import completeness, grids
+from ..operators import completeness, grids, joins
 from ..sources import readers
 from .registry import Tables, query
 
@@ -57,13 +57,15 @@ def _claimed(t: Tables):
 
     1: a part's claims are gone; 2: a value is mistyped; 3: all compounds are renamed; 4: a dose that is not printed.
     """
-    own = t.lineitem.groupBy(F.col("l_orderkey").alias("o"), "l_partkey").agg((10 + F.max("l_quantity")).cast("int").alias("a"), (61 + F.round(100 * F.max("l_discount"))).cast("int").alias("b"))
+    lines = joins.dealt(t.lineitem.select(F.col("l_orderkey").alias("o"), "l_partkey", "l_quantity", "l_discount"), "o", rows=100_000)
+    own = lines.groupBy("o", "l_partkey").agg((10 + F.max("l_quantity")).cast("int").alias("a"), (61 + F.round(100 * F.max("l_discount"))).cast("int").alias("b"))
     own = own.withColumn("k", F.row_number().over(Window.partitionBy("o").orderBy("l_partkey"))).withColumn("c", 100000 + F.col("l_partkey"))
     text = lambda c: F.col(c).cast("string")
     # A row now and then is printed without its second cell.
     cells = F.when(F.col("k") % 4 == 0, F.array(text("c"), text("a"), text("b"))).otherwise(F.array(text("c"), F.concat(F.lit("0"), text("k")), text("a"), text("b")))
-    head = own.select("o").distinct().select(F.col("o").alias("table_id"), F.lit(0).alias("position"), F.array(*map(F.lit, ("ISIS NO", "SEQ ID", "100 nM", "0.5 µM"))).alias("cells"))
-    rows = head.unionByName(own.select(F.col("o").alias("table_id"), F.col("k").alias("position"), cells.alias("cells")))
+    line = lambda k, c: F.struct(k.alias("position"), c.alias("cells"))
+    head, row = line(F.lit(0), F.array(*map(F.lit, ("ISIS NO", "SEQ ID", "100 nM", "0.5 µM")))), line(F.col("k"), cells)
+    rows = own.select(F.col("o").alias("table_id"), F.explode(F.when(F.col("k") == 1, F.array(head, row)).otherwise(F.array(row))).alias("x")).select("table_id", "x.*")
     defect, first = F.col("o") % 5, F.col("k") == 1
     claim = lambda dose, value: F.struct(F.lit(float(dose)).alias("dose"), value.cast("string").alias("value"))
     name = F.when(defect == 3, F.concat(F.lit("99"), F.substring(text("c"), 3, 4))).otherwise(text("c"))
