@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.helm import let
 from ..functions.text import header
-from .graph import checkpointed
 
 #: How a cell prints a compound's number; a piece of a sequence; headers of properties that hold for the rows below.
 COMPOUND = r"^(?:[A-Za-z]+[ -]?)?(\d{4,7})[†‡*]?$"
@@ -32,23 +32,25 @@ def _some(cells: Column, test) -> Column:
 
 
 def typed(rows: DataFrame) -> DataFrame:
-    """rows (table_id, position, cells) with kind and start: A, a compound a row, and its first data row; B, a compound a column, and the row that names them.
+    """A row a table of rows (table_id, position, cells): its rows in order, kind, start and names. A: a compound a row, start is its first data row; B: a compound a column, start is the row that names them.
 
-    A row names compounds where its first cell is none and half or more of its other cells that aren't blank are. A table with neither has no kind.
+    A row names compounds where its first cell is none and half or more of its other cells that aren't blank are. A table with neither
+    has no kind. names: of A, each column's header, its parts of all rows above the data in order, null where all are blank; of B, the cells of start.
     """
     own, rest = F.coalesce(F.get("cells", F.lit(0)).rlike(COMPOUND), F.lit(False)), _cells(F.col("cells"))
     named, there = _some(rest, lambda c: c.rlike(COMPOUND)), _some(rest, lambda c: ~blank(c))
-    whole = Window.partitionBy("table_id")
-    seen = rows.withColumn("is_compound", own).withColumns({"__a": F.min(F.when(own, F.col("position"))).over(whole), "__b": F.min(F.when(~own & (named > 0) & (2 * named >= there), F.col("position"))).over(whole)})
+    seen = rows.withColumn("is_compound", own)
+    across = ~own & (named > 0) & (2 * named >= there)
+    line = F.struct("position", "cells", "is_compound")
+    whole = seen.groupBy("table_id").agg(F.array_sort(F.collect_list(line)).alias("rows"), F.min(F.when(own, F.col("position"))).alias("__a"), F.min(F.when(across, F.col("position"))).alias("__b"))
     across = F.col("__b").isNotNull() & (F.col("__a").isNull() | (F.col("__b") < F.col("__a")))
-    return seen.withColumns({"kind": F.when(across, "B").when(F.col("__a").isNotNull(), "A"), "start": F.when(across, F.col("__b")).otherwise(F.col("__a"))}).drop("__a", "__b")
-
-
-def headers(seen: DataFrame) -> DataFrame:
-    """table_id, names: each column's header, its parts of all rows above the data in order; column_<k> where all are blank."""
-    above = seen.where((F.col("kind") == "A") & (F.col("position") < F.col("start"))).select("table_id", "position", F.posexplode("cells").alias("k", "cell"))
-    parts = above.where(~blank(F.col("cell"))).groupBy("table_id", "k").agg(F.array_join(F.array_sort(F.collect_list(F.struct("position", "cell")))["cell"], " ").alias("name"))
-    return parts.select("table_id", "k", header(F.col("name")).alias("name"))
+    whole = whole.withColumns({"kind": F.when(across, "B").when(F.col("__a").isNotNull(), "A"), "start": F.when(across, F.col("__b")).otherwise(F.col("__a"))}).where("kind IS NOT NULL")
+    above = F.filter("rows", lambda r: r["position"] < F.col("start"))
+    parts = lambda k: F.filter(F.transform(above, lambda r: F.get(r["cells"], k)), lambda c: ~blank(c))
+    width = F.array_max(F.transform("rows", lambda r: F.size(r["cells"])))
+    heads = F.transform(F.sequence(F.lit(0), width - 1), lambda k: let(parts(k), lambda x: F.when(F.size(x) > 0, header(F.array_join(x, " ")))))
+    at = F.get(F.filter("rows", lambda r: r["position"] == F.col("start")), F.lit(0))["cells"]
+    return whole.select("table_id", "rows", "kind", "start", F.when(F.col("kind") == "A", heads).otherwise(at).alias("names"))
 
 
 def entries(rows: DataFrame) -> DataFrame:
@@ -57,26 +59,27 @@ def entries(rows: DataFrame) -> DataFrame:
     A: rows without a compound belong to the one above. Such a row that prints nothing but pieces of sequences carries on those of
     its compound and is no entry; any other is an entry of its own. Pieces join in order and hold for all of a compound's entries.
     Properties (CARRIED) take the last value printed for the compound. B: one entry a row and compound; the first cell is the field.
-    Blank values, rows above the data and tables without a kind give nothing; a cell beyond the headers is column_<k>.
+    Blank values, rows above the data and tables without a kind give nothing; a cell beyond the headers is column_<k>. A table's rows
+    meet once, in one task, and move no more.
     """
-    seen = checkpointed(typed(rows))  # read several times, made once
     number = lambda c: F.regexp_extract(F.trim(c), COMPOUND, 1)
-    a = seen.where((F.col("kind") == "A") & (F.col("position") >= F.col("start")))
+    is_a = F.col("kind") == "A"
+    data = F.filter("rows", lambda r: F.when(F.col("kind") == "A", r["position"] >= F.col("start")).otherwise(r["position"] > F.col("start")))
+    row = typed(rows).select("table_id", "kind", "names", F.explode(data).alias("r")).select("table_id", "kind", "names", "r.*")
     up = Window.partitionBy("table_id").orderBy("position")
     filled = F.filter("cells", lambda c: ~blank(c))
-    pieces = ~F.col("is_compound") & (F.size(filled) > 0) & F.forall(filled, lambda c: c.rlike(PIECE))
-    a = a.withColumns({"compound": F.last(F.when(F.col("is_compound"), number(F.get("cells", F.lit(0)))), ignorenulls=True).over(up), "island": F.sum(F.col("is_compound").cast("long")).over(up), "pieces": pieces})
-    cell = a.select("table_id", "position", "compound", "island", "is_compound", "pieces", F.posexplode("cells").alias("k", "cell")).where("k > 0").join(headers(seen), ["table_id", "k"], "left")
-    cell = cell.withColumn("field", F.coalesce("name", F.concat(F.lit("column_"), F.col("k").cast("string")))).withColumn("own", F.when(~blank(F.col("cell")), F.trim("cell")))
+    pieces = is_a & ~F.col("is_compound") & (F.size(filled) > 0) & F.forall(filled, lambda c: c.rlike(PIECE))
+    row = row.withColumn("first", F.get("cells", F.lit(0))).withColumns({"above": F.last(F.when(is_a & F.col("is_compound"), number(F.col("first"))), ignorenulls=True).over(up), "island": F.sum(F.col("is_compound").cast("long")).over(up), "pieces": pieces})
+    row = row.withColumn("label", F.when(~is_a, header(F.col("first"))))
+
+    each = F.filter(F.transform("cells", lambda c, k: F.struct(k.alias("k"), F.get("names", k).alias("name"), c.alias("cell"))), lambda x: (x["k"] > 0) & ((F.col("kind") == "A") | x["name"].rlike(COMPOUND)))
+    cell = row.select("table_id", "kind", "position", "above", "island", "is_compound", "pieces", "label", F.explode(each).alias("x")).select("*", "x.*").drop("x")
+    cell = cell.withColumn("compound", F.when(is_a, F.col("above")).otherwise(number(F.col("name")))).withColumn("field", F.when(is_a, F.coalesce("name", F.concat(F.lit("column_"), F.col("k").cast("string")))).otherwise(F.col("label")))
+    cell = cell.withColumn("own", F.when(~blank(F.col("cell")), F.trim("cell"))).drop("above", "name", "label", "cell")
     at = Window.partitionBy("table_id", "island", "k")
-    piece = F.when((F.col("is_compound") | F.col("pieces")) & F.col("own").rlike(PIECE), F.struct("position", "own"))
-    joined = F.array_join(F.array_sort(F.collect_list(piece).over(at))["own"], "")
-    carried = F.when(F.col("field").rlike(CARRIED), F.last("own", ignorenulls=True).over(at.orderBy("position")))
+    piece = F.when(is_a & (F.col("is_compound") | F.col("pieces")) & F.col("own").rlike(PIECE), F.struct("position", "own"))
+    cell = cell.withColumns({"__pieces": F.collect_list(piece).over(at), "__last": F.last("own", ignorenulls=True).over(at.orderBy("position"))})
+    joined = F.array_join(F.array_sort("__pieces")["own"], "")
+    carried = F.when(is_a & F.col("field").rlike(CARRIED), F.col("__last"))
     value = F.coalesce(F.nullif(joined, F.lit("")), carried, F.col("own"))
-    down = cell.withColumn("value", value).where(~F.col("pieces")).select("table_id", F.lit("A").alias("kind"), "position", "compound", "field", "value")
-
-    b = seen.where(F.col("kind") == "B")
-    names = b.where(F.col("position") == F.col("start")).select("table_id", F.posexplode("cells").alias("k", "name")).where(F.col("name").rlike(COMPOUND) & (F.col("k") > 0))
-    across = b.where(F.col("position") > F.col("start")).select("table_id", "position", header(F.get("cells", F.lit(0))).alias("field"), F.posexplode("cells").alias("k", "value")).where("k > 0")
-    unpivoted = across.join(names, ["table_id", "k"]).select("table_id", F.lit("B").alias("kind"), "position", number(F.col("name")).alias("compound"), "field", F.trim("value").alias("value"))
-    return down.unionByName(unpivoted).where(~blank(F.col("value")))
+    return cell.where(~F.col("pieces")).select("table_id", "kind", "position", "compound", "field", value.alias("value")).where(~blank(F.col("value")))

@@ -15,9 +15,9 @@ s AS (SELECT *, 100000 + l_partkey AS c, translate(substr(md5(l_partkey::VARCHAR
 
 def _lines(t: Tables):
     """Lines of each order in order, with a compound's number and sequence."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    w = Window.partitionBy("o").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     q = F.translate(F.substring(F.md5(F.col("l_partkey").cast("string")), 1, 20), "0123456789abcdef", "ACGTACGTACGTACGT")
-    return t.lineitem.select(F.col("l_orderkey").alias("o"), (100000 + F.col("l_partkey")).alias("c"), q.alias("q"), *[F.col(f"l_{n}").cast("int" if n == "quantity" else "double").alias(n) for n in ("quantity", "discount", "tax")], F.row_number().over(w).alias("k"))
+    return t.lineitem.withColumnRenamed("l_orderkey", "o").select("o", (100000 + F.col("l_partkey")).alias("c"), q.alias("q"), *[F.col(f"l_{n}").cast("int" if n == "quantity" else "double").alias(n) for n in ("quantity", "discount", "tax")], F.row_number().over(w).alias("k"))
 
 
 def _row(*cells) -> F.Column:

@@ -96,7 +96,7 @@ def texts(spark: SparkSession, path: str, glob: str = "*.xml*") -> DataFrame:
 
 def entities(c: Column) -> Column:
     """Text of a cell: tags off, character references decoded (by number or HTML 4 name; others stay), wide spaces as one space."""
-    bare = F.regexp_replace(c, "<[^>]*>", "")
+    bare = F.when(c.contains("<"), F.regexp_replace(c, "<[^>]*>", "")).otherwise(c)
     names = F.create_map(*[F.lit(x) for k, v in (name2codepoint | {"apos": 0x27}).items() for x in (k, v)])
 
     def sign(ref: Column) -> Column:
@@ -111,7 +111,8 @@ def entities(c: Column) -> Column:
     reference = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,9});"
     between = F.split(bare, reference)
     signs = F.transform(F.regexp_extract_all(bare, F.lit(f"({reference})"), F.lit(1)), sign)
-    out = F.array_join(F.zip_with(between, signs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    whole = F.array_join(F.zip_with(between, signs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    out = F.when(c.contains("&"), whole).otherwise(bare)
     return F.trim(F.regexp_replace(out, r"[\s\u00a0\u2000-\u200b\u202f\u205f\u3000]+", " "))
 
 
