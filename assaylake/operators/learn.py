@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
 from .joins import dealt
 from .resample import POISSON
 
@@ -36,7 +39,11 @@ def cross_validated(df: DataFrame, features: list[str], target: str, fold: str,
     if model == "forest":
         found = _forest(own.where(whole & F.col(fold).isNotNull()), features, fold, row, folds, MODELS[model]())
         return found.unionByName(lacking)
-    parts = [MODELS[model]().fit(data.where((F.col(fold) != f) & F.col("y").isNotNull())).transform(data.where(F.col(fold) == f)) for f in folds]
+    data = checkpointed(dealt(data, row))  # boosting reads it some hundred times
+    with ThreadPool(max(1, len(folds))) as pool:
+        fit = inheritable_thread_target(data.sparkSession)(lambda f: MODELS[model]().fit(data.where((F.col(fold) != f) & F.col("y").isNotNull())))
+        models = pool.map(fit, folds)
+    parts = [m.transform(data.where(F.col(fold) == f)) for m, f in zip(models, folds, strict=True)]
     return reduce(DataFrame.unionByName, parts).select(row, fold, F.col("y").alias("y_true"), F.col("prediction").alias("y_pred")).unionByName(lacking)
 
 
