@@ -240,6 +240,23 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(math.exp(x - top) for x in logs if x <= own + 1e-7) / total)
 
 
+def means_in_order(df: DataFrame, key: str, value: str, order: str, mark: float) -> DataFrame:
+    """key, mean of doubles, such that comparing it with mark gives the same whatever the deal of rows.
+
+    The last bits of a sum of doubles go by the order of addition. Where they could put a mean on either side of mark, values are
+    added one by one in `order`, which is different for each row of a key; other means are sums of parts.
+    """
+    x = F.col(value)
+    own = df.groupBy(key).agg(F.avg(x).alias("__mean"), (F.count(x) * F.avg(F.abs(x))).alias("__bound"))
+    # A sum of n doubles is off by n units of the last place of the sum of their sizes at most, a mean by as many of the mean size.
+    close = F.coalesce(F.abs(F.col("__mean") - mark) <= 4 * 2.0**-53 * (F.col("__bound") + F.abs(F.col("__mean")) + abs(mark)), F.lit(False))
+    own = own.select(F.col(key).alias("__key"), "__mean", close.alias("__close"))
+    of = df.join(own.where("__close").select("__key"), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+    run = F.sum(x).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    added = of.select(key, value, order, run.alias("__run")).groupBy(key).agg((F.max_by("__run", order) / F.count(x)).alias(value))
+    return own.where("NOT __close").select(F.col("__key").alias(key), F.col("__mean").alias(value)).unionByName(added)
+
+
 def rate(k: Column, n: Column) -> Column:
     """struct<k, n, pct>; 0 where there is nothing."""
     return F.struct(k.alias("k"), n.alias("n"), F.when(n > 0, F.round(100 * k / n, 2)).otherwise(F.lit(0.0)).alias("pct"))
