@@ -68,7 +68,8 @@ def _claimed(t: Tables):
     rows = own.select(F.col("o").alias("table_id"), F.explode(F.when(F.col("k") == 1, F.array(head, row)).otherwise(F.array(row))).alias("x")).select("table_id", "x.*")
     defect, first = F.col("o") % 5, F.col("k") == 1
     claim = lambda dose, value: F.struct(F.lit(float(dose)).alias("dose"), value.cast("string").alias("value"))
-    name = F.when(defect == 3, F.concat(F.lit("99"), F.substring(text("c"), 3, 4))).otherwise(text("c"))
+    # The last four digits make another name; with a zero in front, none that a compound has.
+    name = F.when(defect == 3, F.concat(F.lit("099"), F.substring(text("c"), -4, 4))).otherwise(text("c"))
     each = F.array_compact(F.array(claim(100, 100 - F.col("a") + F.when((defect == 2) & first, 3).otherwise(0)), claim(500, 100 - F.col("b")), F.when((defect == 4) & first, claim(7777, F.col("a")))))
     claims = own.where(~((defect == 1) & first)).select(F.col("o").alias("table_id"), name.alias("compound"), F.explode(each).alias("x")).select("table_id", "compound", "x.dose", "x.value")
     return rows, claims
