@@ -1,12 +1,17 @@
 """Whether what was taken from printed tables is all that they print, and nothing else.
 
 Printed cells are consumed by claimed values, each used once. The order in which cells take them, best-fitting column first, is a
-rank within each pool of equal values, so a whole table's greedy consumption is one window over such a pool, not a loop over it.
+rank within each pool of equal values, so the greedy consumption of many tables at once is one sort by pool, not a loop over it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.helm import let
@@ -18,7 +23,8 @@ DOSE = r"([\d,]*\.?\d+)\s*([nNuUµμm]M)\b"
 UNITS = {"nm": 1.0, "um": 1e3, "µm": 1e3, "μm": 1e3, "mm": 1e6}
 #: A column with this share of its cells accounted for holds measurements, whatever its header; one left of the ids with this share of compound-like numbers is suspect.
 MEASURED, SUSPECT = 0.5, 0.8
-#: Cells and claimed values as rows of one kind.
+#: Claims and cells that are looked at together; a table is never cut. Both are rows of one kind.
+EVENTS_AT_ONCE = 200_000
 EVENTS = "array<struct<claim:boolean,position:bigint,k:int,width:int,cell:string,compound:string,dose:double,key:string>>"
 
 
@@ -34,6 +40,184 @@ def doses(text: Column) -> Column:
     return F.zip_with(number, unit, lambda n, u: F.round(F.translate(n, ",", "").try_cast("double") * F.element_at(factor, u), 4))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Figures of tables from their claims and cells, some whole tables at a time; a table begins where `at` is 0."""
+    held, n = [], 0
+    for batch in batches:
+        starts = np.flatnonzero(batch["at"].to_numpy() == 0)
+        if n + batch.num_rows >= EVENTS_AT_ONCE and len(starts):
+            cut = int(starts[-1])
+            if n + cut:
+                yield from figures(pa.Table.from_batches([*held, batch.slice(0, cut)])).to_batches()
+            held, n, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        n += batch.num_rows
+    if n:
+        yield from figures(pa.Table.from_batches(held)).to_batches()
+
+
+def _codes(*columns: np.ndarray | pa.ChunkedArray) -> list[np.ndarray]:
+    """Equal values of all columns as equal numbers from 0; -1 where there is none."""
+    parts = [c if isinstance(c, pa.ChunkedArray) else pa.chunked_array([pa.array(c)]) for c in columns]
+    whole = pa.chunked_array([x for c in parts for x in c.chunks], parts[0].type).combine_chunks()
+    found = pc.fill_null(pc.dictionary_encode(whole).indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.split(found, np.cumsum([len(c) for c in parts])[:-1])
+
+
+def _group(*columns: np.ndarray) -> np.ndarray:
+    """A number from 0 for each combination."""
+    out = columns[0]
+    for c in columns[1:]:
+        low = int(c.min()) if len(c) else 0
+        # Numbers of the combination so far are fewer than rows, so that no product overflows.
+        out, c = _codes(out)[0], c if c.max(initial=low) - low < 1 << 31 else _codes(c)[0]
+        low = int(c.min()) if len(c) else 0
+        out = out * (int(c.max(initial=low)) - low + 1) + (c - low)
+    return _codes(out)[0]
+
+
+def _size(group: np.ndarray) -> int:
+    return int(group.max(initial=-1)) + 1
+
+
+def _least(group: np.ndarray, n: int, value: np.ndarray, none) -> np.ndarray:
+    """The least value of each of n groups; none where it has no rows."""
+    out = np.full(n, none, value.dtype)
+    order = np.lexsort((value, group))
+    first = order[np.r_[True, np.diff(group[order]) != 0][: len(order)]]
+    out[group[first]] = value[first]
+    return out
+
+
+def _mode(group: np.ndarray, n: int, value: np.ndarray) -> np.ndarray:
+    """The most frequent value of each of n groups, the least of equally frequent ones; -1 where it has no rows."""
+    pair = _group(group, value)
+    times = np.bincount(pair, minlength=_size(pair))[pair]
+    order = np.lexsort((value, -times, group))
+    first = order[np.r_[True, np.diff(group[order]) != 0][: len(order)]]
+    out = np.full(n, -1, np.int64)
+    out[group[first]] = value[first]
+    return out
+
+
+def figures(own: pa.Table) -> pa.Table:
+    """A row a table of whole tables' claims and cells."""
+    plain = lambda c: own[c].to_numpy()
+    whole = lambda c: pc.fill_null(own[c], 0).to_numpy().astype(np.int64)
+    begins = np.flatnonzero(plain("at") == 0)
+    t, tables = np.cumsum(plain("at") == 0) - 1, len(begins)
+    claimed = plain("claim").astype(bool)
+    # Claims and cells apart from here on: of each, its table, and the codes of its texts.
+    text = _codes(own["digits"], own["name"])
+    key, bare = _codes(own["key"])[0], _codes(own["bare"])[0]
+    dose = _codes(pc.add(own["dose"], 0.0))[0]
+    position, k, width = whole("position"), whole("k"), whole("width")
+    empty = pc.fill_null(pc.equal(own["digits"], ""), False).to_numpy().astype(bool)
+    unnamed = pc.fill_null(pc.equal(own["name"], ""), False).to_numpy().astype(bool)
+    c, x = np.flatnonzero(claimed), np.flatnonzero(~claimed)
+    ct, cname, ckey, cdose = t[c], text[0][c], key[c], dose[c]
+    t, position, k, width, key, bare, head = t[x], position[x], k[x], width[x], key[x], bare[x], dose[x]
+    digits, name = np.where(empty[x], -1, text[0][x]), np.where(unnamed[x], -1, text[1][x])
+    span = max(int(max(a.max(initial=0) for a in text)), 0) + 2
+
+    # The first cell of a row that names a claimed compound, by its digits before its whole text.
+    said = pa.array(ct * span + cname)
+    named = lambda v: (v >= 0) & pc.is_in(pa.array(t * span + v), said).to_numpy(zero_copy_only=False)
+    way0 = named(digits)
+    hit = np.flatnonzero(way0 | named(name))
+    way, by = np.where(way0[hit], 0, 1), np.where(way0[hit], digits[hit], name[hit])
+    row = _group(t, position)
+    rows = _size(row)
+    rank = np.zeros(len(hit), np.int64)
+    if len(np.unique(pair := _group(row[hit], way, k[hit]))) < len(pair):
+        rank = _ranks(own, text, by)
+    order = np.lexsort((rank, k[hit], way, row[hit]))
+    first = order[np.r_[True, np.diff(row[hit][order]) != 0][: len(order)]]
+    id_k, compound = np.full(rows, -1, np.int64), np.full(rows, -1, np.int64)
+    id_k[row[hit[first]]], compound[row[hit[first]]] = k[hit[first]], by[first]
+    id_k, compound = id_k[row], compound[row]
+    is_id, loose = k == id_k, id_k < 0
+    ids = np.flatnonzero(is_id)
+    id_column, usual = _mode(t[ids], tables, k[ids]), -_mode(t[ids], tables, -width[ids])
+    n_rows = np.bincount(t[ids], minlength=tables)
+    ragged = (_least(t[ids], tables, width[ids], 0) != -_least(t[ids], tables, -width[ids], 0)) & (n_rows > 0)
+
+    # Columns: candidates are aligned, heads tell doses.
+    cand = (key >= 0) & ~loose & ~is_id
+    column = np.where(cand & (k > id_k), k + usual[t] - width, k)
+    of = _group(t, column)
+    columns = _size(of)
+    heads = np.flatnonzero((key < 0) & (head >= 0) & (id_column[t] >= 0) & (k != id_column[t]))
+    order = heads[np.lexsort((position[heads], of[heads]))]
+    first = order[np.r_[True, np.diff(of[order]) != 0][: len(order)]]
+    headed = np.full(columns, -1, np.int64)
+    headed[of[first]] = head[first]
+
+    # How many claimed values fit a candidate: those of its column's dose where its compound has any, else all of the compound's.
+    p = np.flatnonzero(cand)
+    pt, pkey, pof, pname, pdose = t[p], key[p], of[p], compound[p], headed[of[p]]
+    pool = ckey >= 0
+    dosed = pool & (cdose >= 0)
+
+    def matches(keep: np.ndarray, of_claims: tuple, of_cells: tuple) -> np.ndarray:
+        """How many of the claims to keep each candidate equals."""
+        both = _group(*[np.r_[a[keep], b] for a, b in zip(of_claims, of_cells, strict=True)])
+        m = int(keep.sum())
+        return np.bincount(both[:m], minlength=_size(both))[both[m:]]
+
+    all_of = matches(pool, (ct, cname, ckey), (pt, pname, pkey))
+    by_dose = (matches(dosed, (ct, cname, cdose), (pt, pname, pdose)) > 0) & (pdose >= 0)
+    of_dose = matches(dosed, (ct, cname, cdose, ckey), (pt, pname, pdose, pkey))
+    most = np.where(by_dose, of_dose, all_of)
+    n = np.bincount(pof, minlength=columns)
+    fit = np.bincount(pof, most > 0, columns) / np.maximum(n, 1)
+    used = np.zeros(len(p), bool)
+    some = np.flatnonzero(most > 0)
+    taken = _group(pt[some], pname[some], np.where(by_dose[some], column[p][some], -1), pkey[some])
+    order = np.lexsort((position[p][some], column[p][some], -fit[pof[some]], taken))
+    starts = np.r_[True, np.diff(taken[order]) != 0][: len(order)]
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0))
+    used[some[order]] = place < most[some[order]]
+
+    # Of columns: which hold measurements, which are partial or look like ids.
+    m = np.bincount(pof, used, columns)
+    measured = (n > 0) & ((headed >= 0) | (m >= MEASURED * n))
+    b = np.flatnonzero(bare[p] >= 0)
+    bares = np.bincount(pof[b], minlength=columns)
+    pair, one = np.unique(_group(pof[b], bare[p][b]), return_index=True)
+    different = np.bincount(pof[b][one], minlength=columns)
+    looks = (column[p] < id_column[pt]) & (bares[pof] >= SUSPECT * n_rows[pt]) & (different[pof] >= SUSPECT * n_rows[pt])
+    part = np.flatnonzero((measured & (m < n))[pof])
+    top = part[position[p][part] == _least(pof[part], columns, position[p][part], 0)[pof[part]]]
+    top = top[k[p][top] == _least(pof[top], columns, k[p][top], 0)[pof[top]]]
+    none = np.iinfo(np.int64).max
+    suspect = _least(pt[looks], tables, column[p][looks], none)
+
+    # Of tables: compounds seen, rows that nobody claims, claims that a cell prints.
+    who = _group(t[ids], compound[ids])
+    new = position[ids] == _least(who, _size(who), position[ids], 0)[who]
+    odd, full = np.zeros(rows, bool), np.zeros(rows, bool)
+    odd[row[loose & (k == id_column[t]) & (bare >= 0)]] = True
+    full[row[loose & (key >= 0) & measured[of]]] = True
+    table_of = np.zeros(rows, np.int64)
+    table_of[row] = t
+    keys = int(max(key.max(initial=0), ckey.max(initial=0))) + 2
+    printed_too = pool & pc.is_in(pa.array(ct * keys + ckey), pa.array((t * keys + key)[key >= 0])).to_numpy(zero_copy_only=False)
+    which, one = np.unique(_group(ct, whole("position")[c])[printed_too], return_index=True)
+    count = lambda at: np.bincount(at, minlength=tables).astype(np.int64)
+    same = own.select(["table_id", "n_compounds", "n_values", "n_unprinted"]).take(pa.array(begins))
+    out = [*[same[n] if n == "table_id" else same[n].cast(pa.int64()) for n in same.column_names], n_rows, count(t[ids[new]]), count(pt[measured[pof]]), count(pt[used & measured[pof]]), count(pt[top]), count(table_of[odd & full]), count(ct[printed_too][one])]
+    names = [*same.column_names, "n_rows", "n_seen", "n_cells", "n_accounted", "n_partial", "n_dropped", "n_sourced", "suspect_column", "ragged"]
+    return pa.table([*out, pa.array(np.where(suspect == none, 0, suspect), mask=suspect == none).cast(pa.int32()), pa.array(ragged)], names)
+
+
+def _ranks(own: pa.Table, text: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
+    """Places of texts in their order, by their codes."""
+    texts = {code: value for column, of in zip(("digits", "name"), text, strict=True) for code, value in zip(of.tolist(), own[column].to_pylist(), strict=True) if code >= 0}
+    place = {code: i for i, code in enumerate(sorted(texts, key=lambda code: texts[code].encode()))}
+    return np.array([place[code] for code in codes.tolist()], np.int64)
+
+
 def report(rows: DataFrame, claims: DataFrame, mirror: bool = True) -> DataFrame:
     """A row a table of rows (table_id, position, cells) and claims (table_id, compound, dose in nM or null, value as text).
 
@@ -58,65 +242,19 @@ def report(rows: DataFrame, claims: DataFrame, mirror: bool = True) -> DataFrame
     unprinted = lambda x: F.when((F.size(x["asked"]) > 1) & (F.size(x["shown"]) > 0), F.size(F.filter(x["asked"], lambda a: ~F.exists(x["shown"], lambda s: F.abs(a - s) <= F.greatest(F.lit(0.01), 1e-3 * s))))).otherwise(0)
     whole = whole.select("*", F.size(F.array_distinct("said.compound")).alias("n_compounds"), F.size(F.filter("said.v", lambda v: v.isNotNull())).alias("n_values"), let(F.struct(asked.alias("asked"), shown.alias("shown")), unprinted).alias("n_unprinted"))
 
-    # Claimed values, each in its forms, and cells become rows of one kind, so that what follows looks them up in windows, in the table's own task.
+    # Claimed values, each in its forms, and cells become rows of one kind, a table's one after another, so that what follows looks them up there.
     none = lambda t: F.lit(None).cast(t)
     event = lambda claim, position, k, width, cell, compound, dose, key: F.struct(F.lit(claim).alias("claim"), position.alias("position"), k.alias("k"), width.alias("width"), cell.alias("cell"), compound.alias("compound"), dose.alias("dose"), key.alias("key"))
     one = lambda v: F.array(F.round(100 - F.get(v, F.lit(0)), 6))
     forms = lambda v: F.when(F.lit(mirror) & (F.size(v) == 1), F.array(_key(v), _key(one(v)))).otherwise(F.array(_key(v)))
     each = F.flatten(F.transform("said", lambda x, i: F.transform(forms(x["v"]), lambda key, f: event(True, i.cast("long"), f, none("int"), none("string"), x["compound"], x["dose"], key))))
     cells = F.flatten(F.transform("rows", lambda r: F.transform(r["cells"], lambda c, k: event(False, r["position"], k, F.size(r["cells"]), c, none("string"), none("double"), none("string")))))
-    at = whole.select("table_id", "n_compounds", "n_values", "n_unprinted", F.explode(F.concat(each, F.coalesce(cells, F.array().cast(EVENTS)))).alias("x")).select("table_id", "n_compounds", "n_values", "n_unprinted", "x.*")
-    at = at.withColumns({"key": F.when(F.col("claim"), F.col("key")).otherwise(_key(printed(F.col("cell")))), "__digits": F.when(F.col("claim"), F.col("compound")).otherwise(F.regexp_extract("cell", NUMBER, 0)), "__name": F.when(F.col("claim"), F.col("compound")).otherwise(F.lower(F.trim("cell"))), "is_bare": F.coalesce(F.col("cell").rlike(BARE), F.lit(False))})
-    over = lambda *by: Window.partitionBy("table_id", *by)
-
-    # The first cell that names a claimed compound, by its digits before its whole text.
-    for way, c in enumerate(("__digits", "__name")):
-        at = at.withColumn(f"__way{way}", F.max("claim").over(over(c)) & ~F.col("claim") & (F.col(c) != ""))
-    hit = F.when(F.col("__way0"), F.struct(F.lit(0).alias("way"), "k", F.col("__digits").alias("compound"))).when(F.col("__way1"), F.struct(F.lit(1).alias("way"), "k", F.col("__name").alias("compound")))
-    at = at.withColumn("__hit", hit).drop("__digits", "__name", "__way0", "__way1").withColumn("__f", F.min("__hit").over(over("claim", "position"))).drop("__hit")
-    at = at.withColumns({"id_k": F.col("__f.k"), "compound": F.when(F.col("claim"), F.col("compound")).otherwise(F.col("__f.compound"))}).drop("__f").withColumn("is_id", F.coalesce(F.col("k") == F.col("id_k"), F.lit(False)))
-    own_width = F.when(F.col("is_id"), F.col("width"))
-    at = at.withColumns({"id_column": F.mode(F.when(F.col("is_id"), F.col("k")), True).over(over()), "usual": -F.mode(-own_width, True).over(over()), "n_rows": F.count_if("is_id").over(over()), "ragged": F.min(own_width).over(over()) < F.max(own_width).over(over())})
-
-    # Columns: candidates are aligned, heads tell doses.
-    shifted = F.when(F.col("k") > F.col("id_k"), F.col("k") + F.col("usual") - F.col("width")).otherwise(F.col("k"))
-    cand = F.coalesce(~F.col("claim") & F.col("key").isNotNull() & (F.col("k") != F.col("id_k")), F.lit(False))
-    at = at.withColumn("cand", cand).withColumn("column", F.when(F.col("cand"), shifted).when(~F.col("claim"), F.col("k")))
-    head = F.when(~F.col("claim") & F.col("key").isNull() & (F.col("k") != F.col("id_column")), F.get(doses(F.col("cell")), F.lit(0)))
-    at = at.withColumn("__head", head).withColumn("__dose", F.min_by("__head", F.when(F.col("__head").isNotNull(), F.col("position"))).over(over("column")))
-    at = at.withColumn("dose", F.when(F.col("claim"), F.col("dose")).when(F.col("cand"), F.col("__dose"))).drop("__head", "__dose", "width", "usual")
-
-    # How many claimed values fit a candidate: those of its column's dose where its compound has any, else all of the compound's.
-    pool = F.col("claim") & F.col("key").isNotNull()
-    of_dose = pool & F.col("dose").isNotNull()
-    at = at.withColumn("__all", F.count_if(pool).over(over("compound", "key"))).withColumn("__seen", F.min(F.when(F.col("is_id"), F.col("position"))).over(over("compound")))
-    at = at.withColumn("__of", F.count_if(of_dose).over(over("compound", "dose", "key"))).withColumn("__dosed", (F.count_if(of_dose).over(over("compound", "dose")) > 0) & F.col("dose").isNotNull())
-    at = at.withColumns({"own": F.when(F.col("__dosed"), F.col("column")).otherwise(-1), "most": F.when(F.col("__dosed"), F.col("__of")).otherwise(F.col("__all")), "is_new": F.col("is_id") & (F.col("position") == F.col("__seen"))}).drop("__all", "__of", "__dosed", "__seen")
-    fit = F.avg(F.when(F.col("cand"), (F.col("most") > 0).cast("double"))).over(over("column"))
-    at = at.withColumn("__fit", fit).withColumn("turn", F.dense_rank().over(over().orderBy(F.desc("__fit"), "column"))).drop("__fit")
-    taken = over("cand", "compound", "own", "key").orderBy("turn", "position")
-    at = at.withColumn("used", F.col("cand") & (F.row_number().over(taken) <= F.col("most"))).drop("turn", "most", "own", "compound")
-
-    bare = F.when(F.col("cand") & F.col("is_bare"), F.col("cell"))
-    at = at.withColumn("__bare", bare).drop("cell").withColumn("__new", F.col("__bare").isNotNull() & (F.row_number().over(over("column", "__bare").orderBy("position")) == 1))
-    column = over("column")
-    at = at.withColumns({
-        "n": F.count_if("cand").over(column), "m": F.count_if("used").over(column), "__headed": F.max(F.when(F.col("cand"), F.col("dose"))).over(column).isNotNull(), "__bares": F.count("__bare").over(column), "__different": F.count_if("__new").over(column),
-        "__first": F.min(F.when(F.col("cand"), F.struct("position", "k"))).over(column),
-    })
-    at = at.withColumns({"measured": ~F.col("claim") & (F.col("n") > 0) & (F.col("__headed") | (F.col("m") >= MEASURED * F.col("n"))), "first": F.coalesce(F.col("cand") & (F.struct("position", "k") == F.col("__first")), F.lit(False)), "looks": F.col("cand") & (F.col("column") < F.col("id_column")) & (F.col("__bares") >= SUSPECT * F.col("n_rows")) & (F.col("__different") >= SUSPECT * F.col("n_rows"))})
-    at = at.withColumn("printed", F.max(~F.col("claim")).over(over("key")) & F.col("key").isNotNull())
-
-    # A claim or a row of the table, then the table.
-    is_loose = ~F.col("claim") & F.col("id_k").isNull()
-    same = ["n_compounds", "n_values", "n_unprinted", "n_rows", "ragged"]
-    line = at.groupBy("table_id", "claim", "position").agg(
-        *[F.first(c).alias(c) for c in same], F.count_if("is_new").alias("seen"), F.count_if(F.col("measured") & F.col("cand")).alias("cells"), F.count_if(F.col("measured") & F.col("used")).alias("accounted"), F.count_if(F.col("first") & F.col("measured") & (F.col("m") < F.col("n"))).alias("partial"),
-        F.min(F.when(F.col("looks"), F.col("column"))).alias("suspect"), F.max(is_loose & (F.col("k") == F.col("id_column")) & F.col("is_bare")).alias("odd"), F.max(is_loose & F.col("key").isNotNull() & F.col("measured")).alias("full"), F.max(F.col("claim") & F.col("printed")).alias("sourced"),
-    )
-    out = line.groupBy("table_id").agg(
-        *[F.first(c).alias(c) for c in same], *[F.sum(c).alias(f"n_{c}") for c in ("seen", "cells", "accounted", "partial")], F.min("suspect").alias("suspect_column"), F.count_if(F.col("odd") & F.col("full")).alias("n_dropped"), F.count_if("sourced").alias("n_sourced")
-    )
+    at = whole.select("table_id", "n_compounds", "n_values", "n_unprinted", F.posexplode(F.concat(each, F.coalesce(cells, F.array().cast(EVENTS)))).alias("at", "x")).select("table_id", "n_compounds", "n_values", "n_unprinted", "at", "x.*")
+    key = F.when(F.col("claim"), F.col("key")).otherwise(_key(printed(F.col("cell"))))
+    at = at.withColumn("key", key).withColumns({"digits": F.when(F.col("claim"), F.col("compound")).otherwise(F.regexp_extract("cell", NUMBER, 0)), "name": F.when(~F.col("claim"), F.lower(F.trim("cell"))), "bare": F.when(F.col("cell").rlike(BARE), F.col("cell")), "dose": F.when(F.col("claim"), F.col("dose")).when(F.col("key").isNull(), F.get(doses(F.col("cell")), F.lit(0)))})
+    at = at.select("table_id", "n_compounds", "n_values", "n_unprinted", "at", "claim", "position", "k", "width", "digits", F.when(F.col("name") != F.col("digits"), F.col("name")).alias("name"), "key", "bare", "dose")
+    own = at.select("table_id").schema.fields[0].dataType.simpleString()
+    out = at.mapInArrow(_counted, f"table_id {own}, n_compounds long, n_values long, n_unprinted long, n_rows long, n_seen long, n_cells long, n_accounted long, n_partial long, n_dropped long, n_sourced long, suspect_column int, ragged boolean")
     whole_number = lambda c: c.cast("long")
     return out.select(
         "table_id", whole_number(F.col("n_rows")).alias("n_rows"), whole_number(F.col("n_compounds")).alias("n_compounds"), whole_number(F.col("n_compounds") - F.col("n_seen")).alias("n_missing"), "n_cells", "n_accounted", F.round(F.try_divide(100 * F.col("n_accounted"), F.col("n_cells")), 2).alias("coverage_pct"),
