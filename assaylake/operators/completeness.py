@@ -25,7 +25,8 @@ UNITS = {"nm": 1.0, "um": 1e3, "µm": 1e3, "μm": 1e3, "mm": 1e6}
 MEASURED, SUSPECT = 0.5, 0.8
 #: Claims and cells that are looked at together; a table is never cut. Both are rows of one kind.
 EVENTS_AT_ONCE = 200_000
-EVENTS = "array<struct<claim:boolean,position:bigint,k:int,width:int,cell:string,compound:string,dose:double,key:string>>"
+#: A cell of digits only, whose number as a text is that of a double without an exponent.
+WHOLE = r"^\d{1,7}\z"
 
 
 def _key(values: Column) -> Column:
@@ -41,10 +42,10 @@ def doses(text: Column) -> Column:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Figures of tables from their claims and cells, some whole tables at a time; a table begins where `at` is 0."""
+    """Figures of tables from their claims and cells, some whole tables at a time; a table begins with cell 0 of line 0."""
     held, n = [], 0
     for batch in batches:
-        starts = np.flatnonzero(batch["at"].to_numpy() == 0)
+        starts = np.flatnonzero((batch["line"].to_numpy() == 0) & (batch["k"].to_numpy() == 0))
         if n + batch.num_rows >= EVENTS_AT_ONCE and len(starts):
             cut = int(starts[-1])
             if n + cut:
@@ -104,8 +105,9 @@ def figures(own: pa.Table) -> pa.Table:
     """A row a table of whole tables' claims and cells."""
     plain = lambda c: own[c].to_numpy()
     whole = lambda c: pc.fill_null(own[c], 0).to_numpy().astype(np.int64)
-    begins = np.flatnonzero(plain("at") == 0)
-    t, tables = np.cumsum(plain("at") == 0) - 1, len(begins)
+    start = (plain("line") == 0) & (plain("k") == 0)
+    begins = np.flatnonzero(start)
+    t, tables = np.cumsum(start) - 1, len(begins)
     claimed = plain("claim").astype(bool)
     # Claims and cells apart from here on: of each, its table, and the codes of its texts.
     text = _codes(own["digits"], own["name"])
@@ -203,7 +205,7 @@ def figures(own: pa.Table) -> pa.Table:
     table_of[row] = t
     keys = int(max(key.max(initial=0), ckey.max(initial=0))) + 2
     printed_too = pool & pc.is_in(pa.array(ct * keys + ckey), pa.array((t * keys + key)[key >= 0])).to_numpy(zero_copy_only=False)
-    which, one = np.unique(_group(ct, whole("position")[c])[printed_too], return_index=True)
+    which, one = np.unique(_group(ct, whole("line")[c])[printed_too], return_index=True)
     count = lambda at: np.bincount(at, minlength=tables).astype(np.int64)
     same = own.select(["table_id", "n_compounds", "n_values", "n_unprinted"]).take(pa.array(begins))
     out = [*[same[n] if n == "table_id" else same[n].cast(pa.int64()) for n in same.column_names], n_rows, count(t[ids[new]]), count(pt[measured[pof]]), count(pt[used & measured[pof]]), count(pt[top]), count(table_of[odd & full]), count(ct[printed_too][one])]
@@ -232,29 +234,40 @@ def report(rows: DataFrame, claims: DataFrame, mirror: bool = True) -> DataFrame
     rows and claims dealt by table_id alone move no more.
     """
     name = F.coalesce(F.nullif(F.regexp_extract(F.col("compound").cast("string"), NUMBER, 0), F.lit("")), F.lower(F.trim(F.col("compound").cast("string"))))
-    said = claims.select("table_id", name.alias("compound"), F.col("dose").cast("double").alias("dose"), printed(F.col("value").cast("string")).alias("v")).where("compound <> ''")
-    said = said.groupBy("table_id").agg(F.collect_list(F.struct("compound", "dose", "v")).alias("said"))
-    whole = said.join(rows.groupBy("table_id").agg(F.collect_list(F.struct(F.col("position").cast("long").alias("position"), "cells")).alias("rows")), "table_id", "left")
+    # A claim's line holds its value in its forms, a row's its cells.
+    text, value = F.col("text"), F.col("value").cast("string")
+    one = lambda v: F.array(F.round(100 - F.get(v, F.lit(0)), 6))
+    forms = lambda v: F.when(F.lit(mirror) & (F.size(v) == 1), F.array(_key(v), _key(one(v)))).otherwise(F.array(_key(v)))
+    number = value.cast("double")
+    whole_forms = F.array(number.cast("string"), *([(F.round(100 - number, 6) + 0.0).cast("string")] if mirror else []))
+    line = lambda claim, position, cells, compound, dose: F.struct(F.lit(claim).alias("claim"), position.cast("long").alias("position"), cells.alias("cells"), compound.cast("string").alias("compound"), dose.cast("double").alias("dose"))
+    said = claims.select("table_id", name.alias("compound"), "dose", F.when(value.rlike(WHOLE), whole_forms).otherwise(forms(printed(value))).alias("forms")).where("compound <> ''")
+    said = said.groupBy("table_id").agg(F.collect_list(line(True, F.lit(None), F.col("forms"), F.col("compound"), F.col("dose"))).alias("said"))
+    none = F.lit(None)
+    whole = said.join(rows.groupBy("table_id").agg(F.collect_list(line(False, F.col("position"), F.col("cells"), none, none)).alias("rows")), "table_id", "left")
 
     # Of the table as a whole: how much is claimed, and which claimed doses no cell prints.
     asked = F.array_distinct(F.filter(F.col("said.dose"), lambda d: d.isNotNull()))
-    shown = F.array_distinct(F.filter(doses(F.array_join(F.flatten("rows.cells"), "|")), lambda d: d.isNotNull()))
+    shown = F.array_distinct(F.filter(doses(F.array_join(F.filter(F.flatten("rows.cells"), lambda c: c.contains("M")), "|")), lambda d: d.isNotNull()))
     unprinted = lambda x: F.when((F.size(x["asked"]) > 1) & (F.size(x["shown"]) > 0), F.size(F.filter(x["asked"], lambda a: ~F.exists(x["shown"], lambda s: F.abs(a - s) <= F.greatest(F.lit(0.01), 1e-3 * s))))).otherwise(0)
-    whole = whole.select("*", F.size(F.array_distinct("said.compound")).alias("n_compounds"), F.size(F.filter("said.v", lambda v: v.isNotNull())).alias("n_values"), let(F.struct(asked.alias("asked"), shown.alias("shown")), unprinted).alias("n_unprinted"))
-
-    # Claimed values, each in its forms, and cells become rows of one kind, a table's one after another, so that what follows looks them up there.
-    none = lambda t: F.lit(None).cast(t)
-    event = lambda claim, position, k, width, cell, compound, dose, key: F.struct(F.lit(claim).alias("claim"), position.alias("position"), k.alias("k"), width.alias("width"), cell.alias("cell"), compound.alias("compound"), dose.alias("dose"), key.alias("key"))
-    one = lambda v: F.array(F.round(100 - F.get(v, F.lit(0)), 6))
-    forms = lambda v: F.when(F.lit(mirror) & (F.size(v) == 1), F.array(_key(v), _key(one(v)))).otherwise(F.array(_key(v)))
-    each = F.flatten(F.transform("said", lambda x, i: F.transform(forms(x["v"]), lambda key, f: event(True, i.cast("long"), f, none("int"), none("string"), x["compound"], x["dose"], key))))
-    cells = F.flatten(F.transform("rows", lambda r: F.transform(r["cells"], lambda c, k: event(False, r["position"], k, F.size(r["cells"]), c, none("string"), none("double"), none("string")))))
-    at = whole.select("table_id", "n_compounds", "n_values", "n_unprinted", F.posexplode(F.concat(each, F.coalesce(cells, F.array().cast(EVENTS)))).alias("at", "x")).select("table_id", "n_compounds", "n_values", "n_unprinted", "at", "x.*")
-    key = F.when(F.col("claim"), F.col("key")).otherwise(_key(printed(F.col("cell"))))
-    at = at.withColumn("key", key).withColumns({"digits": F.when(F.col("claim"), F.col("compound")).otherwise(F.regexp_extract("cell", NUMBER, 0)), "name": F.when(~F.col("claim"), F.lower(F.trim("cell"))), "bare": F.when(F.col("cell").rlike(BARE), F.col("cell")), "dose": F.when(F.col("claim"), F.col("dose")).when(F.col("key").isNull(), F.get(doses(F.col("cell")), F.lit(0)))})
-    at = at.select("table_id", "n_compounds", "n_values", "n_unprinted", "at", "claim", "position", "k", "width", "digits", F.when(F.col("name") != F.col("digits"), F.col("name")).alias("name"), "key", "bare", "dose")
-    own = at.select("table_id").schema.fields[0].dataType.simpleString()
-    out = at.mapInArrow(_counted, f"table_id {own}, n_compounds long, n_values long, n_unprinted long, n_rows long, n_seen long, n_cells long, n_accounted long, n_partial long, n_dropped long, n_sourced long, suspect_column int, ragged boolean")
+    n_values = F.size(F.filter("said", lambda x: F.get(x["cells"], F.lit(0)).isNotNull()))
+    whole = whole.select("*", F.size(F.array_distinct("said.compound")).alias("n_compounds"), n_values.alias("n_values"), let(F.struct(asked.alias("asked"), shown.alias("shown")), unprinted).alias("n_unprinted"))
+
+    # Claimed values and cells become rows of one kind, a table's one after another, so that what follows looks them up there.
+    own = ["table_id", "n_compounds", "n_values", "n_unprinted"]
+    at = whole.select(*own, F.posexplode(F.concat("said", F.coalesce("rows", F.filter("said", lambda x: F.lit(False))))).alias("line", "x"))
+    at = at.select(*own, "line", "x.claim", "x.position", "x.compound", "x.dose", F.size("x.cells").alias("width"), F.posexplode("x.cells").alias("k", "text"))
+    at = at.withColumn("plain", F.coalesce(~F.col("claim") & text.rlike(WHOLE), F.lit(False))).withColumn("key", F.when(F.col("claim"), text).when(F.col("plain"), text.cast("double").cast("string")).otherwise(_key(printed(text))))
+    plain, size = F.col("plain"), F.length(text)
+    at = at.withColumns({
+        "digits": F.when(F.col("claim"), F.col("compound")).when(plain, F.when(size >= 4, text).otherwise("")).otherwise(F.regexp_extract(text, NUMBER, 0)),
+        "name": F.when(F.col("claim") | (plain & (size >= 4)), None).when(plain, text).otherwise(F.lower(F.trim(text))),
+        "bare": F.when(F.col("claim"), None).when(plain, F.when(size >= 5, text)).when(text.rlike(BARE), text),
+        "dose": F.when(F.col("claim"), F.col("dose")).when(plain | F.col("key").isNotNull() | ~text.contains("M"), None).otherwise(F.get(doses(text), F.lit(0))),
+    })
+    at = at.select("table_id", "n_compounds", "n_values", "n_unprinted", "line", "claim", "position", "k", "width", "digits", "name", "key", "bare", "dose")
+    kind = at.schema["table_id"].dataType.simpleString()
+    out = at.mapInArrow(_counted, f"table_id {kind}, n_compounds long, n_values long, n_unprinted long, n_rows long, n_seen long, n_cells long, n_accounted long, n_partial long, n_dropped long, n_sourced long, suspect_column int, ragged boolean")
     whole_number = lambda c: c.cast("long")
     return out.select(
         "table_id", whole_number(F.col("n_rows")).alias("n_rows"), whole_number(F.col("n_compounds")).alias("n_compounds"), whole_number(F.col("n_compounds") - F.col("n_seen")).alias("n_missing"), "n_cells", "n_accounted", F.round(F.try_divide(100 * F.col("n_accounted"), F.col("n_cells")), 2).alias("coverage_pct"),
